@@ -41,6 +41,7 @@ TITLE_MID_LINE = r".{0,20}" + ORDINAL_PREFIX + ANY_TYPE + r"\b.{0,40}" + NUMBER_
 TYPE_WITH_MARK = ANY_TYPE + r"\b\s*" + NUMBER_SIGN + "?"
 ACT_HINT = r"n[o°.]?|aditivo|contrato|dispensa|homolog|extrato|decreto|portaria"
 SUBJECT_LABEL = r"\b(sumula|ementa|objeto|assunto)\b\s*[:\-]?\s*(.+)"
+SUBJECT_LABEL_RAW = r"(?i)\b(S[ÚU]MULA|EMENTA|OBJETO|ASSUNTO)\b\s*[:\-]?\s*(.+)"
 LEGAL_REFERENCE = r"\b(lei\s+(federal|estadual|organica)|art\.?\s*\d+|inciso|paragrafo|loa)\b"
 LEGAL_REFERENCE_KEPT = r"\b(lei|decreto|portaria|edital|aviso|extrato|termo|resolucao)\b\s*n[o°.]?"
 FOOTER_LINE = (

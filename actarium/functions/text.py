@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -22,6 +22,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def compute_once(df: DataFrame, **exprs: Column) -> DataFrame:
+    """Add costly columns so that they are evaluated exactly once per row.
+
+    Filters on plain projected columns are pushed below the projection, which would evaluate the expressions twice
+    (and carry them into join conditions). A one-element ``inline`` is a boundary the optimizer does not move filters
+    across, and it stays inside generated code.
+    """
+    kept = [F.col(c) for c in df.columns if c not in exprs]
+    return df.select(*kept, F.inline_outer(F.array(F.struct(*[e.alias(n) for n, e in exprs.items()]))))
+
+
 def text(x: ColumnLike) -> Column:
     """NULL becomes the empty string."""
     return F.coalesce(col(x), F.lit(""))
@@ -215,7 +226,7 @@ def offsets_of(x: Column, pattern: str) -> Column:
     lengths = F.transform(pieces, lambda p: F.length(p))
     sums = F.aggregate(
         F.slice(lengths, 1, F.greatest(F.size(lengths) - 1, F.lit(0))), F.array().cast("array<int>"),
-        lambda acc, n: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0)) + n)))
+        lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n)))
     return sums
 
 
@@ -223,5 +234,5 @@ def spaced(offsets: Column, gap: int) -> Column:
     """Greedy subset of sorted offsets that are at least ``gap`` apart."""
     return F.aggregate(
         offsets, F.array().cast("array<int>"),
-        lambda acc, o: F.when((F.size(acc) == 0) | (o - F.element_at(acc, -1) >= gap), F.concat(acc, F.array(o)))
+        lambda acc, o: F.when((F.size(acc) == 0) | (o - F.try_element_at(acc, F.lit(-1)) >= gap), F.concat(acc, F.array(o)))
         .otherwise(acc))

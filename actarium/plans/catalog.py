@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_functions",)
+MODULES = ("q_functions", "q_detect")
 
 
 def load() -> None:

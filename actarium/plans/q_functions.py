@@ -236,7 +236,7 @@ k AS (SELECT act_id, list_filter([c,
   CASE WHEN suffix(r, ',') THEN rtrim(r, ',') || '}}' END,
   CASE WHEN suffix(r, '"') OR suffix(r, '}}') THEN r || '}}' END,
   CASE WHEN contains(r, ',') THEN regexp_replace(r, '^(.*),[^,]*$', '\\1', 's') || '}}' END,
-  CASE WHEN instr(c, '"}}') > 1 THEN regexp_replace(c, '^(.*"}}).*$', '\\1', 's') || '}}' END], lambda x: x IS NOT NULL AND x <> '' AND json_valid(x)) AS good FROM c)
+  CASE WHEN instr(c, '"}}') > 1 THEN regexp_replace(c, '^(.*"}}).*$', '\\1', 's') || '}}' END], lambda x: x IS NOT NULL AND x <> '' AND json_valid(x) AND NOT regexp_matches(x, ',\\s*}}')) AS good FROM c)
 SELECT act_id, good[1] AS repaired FROM k""".replace("{{", "{").replace("}}", "}"))
 def _(t):
     cut = F.substring(F.col("response"), F.lit(1), F.length("response") - (F.col("act_id") % 40).cast("int"))

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.text import compute_once
 from .projections import PROJECTIONS
 
 RAW_TABLES = (
@@ -33,6 +35,21 @@ class Tables:
             return self.spark.sql(sql, **used)
         raise AttributeError(name)
 
+    def spread(self, name: str) -> DataFrame:
+        """A projection whose rows need much CPU: small inputs of few file splits are spread over all cores; inputs
+        with enough splits are left as they are."""
+        source = {"gz_pages": "orders", "gz_acts": "orders", "gz_responses": "orders"}.get(name, name)
+        cores = self.spark.sparkContext.defaultParallelism
+        raw = getattr(self, source)
+        wide = raw if raw.rdd.getNumPartitions() >= cores else raw.repartition(cores)
+        if source == name:
+            return wide
+        sql = PROJECTIONS[name]
+        used = {t: (wide if t == source else getattr(self, t)) for t in RAW_TABLES if "{" + t + "}" in sql}
+        df = self.spark.sql(sql, **used)
+        # a stored table would hold these texts; the projection must not rebuild them per reference
+        return compute_once(df, **{c: F.col(c) for c in ("text", "excerpt", "summary", "response") if c in df.columns})
+
     def scratch(self, name: str) -> str:
         """Folder for written results of a round-trip query, below the shared checkpoint folder if one is set."""
         import tempfile
