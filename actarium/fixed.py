@@ -89,6 +89,7 @@ GENERIC_NUMBER = r"n[o°.]?\s*(\d{1,6}\s*[/\-]\s*20\d{2})\b"
 MARKED_NUMBER = r"(?:n[o°.]?|numero\s*:?)\s*(\d{1,6}(?:\s*[/\-.]\s*\d{2,4})?)\b"
 
 # --- scan repairs ---------------------------------------------------------------------------
+# (pattern, replacement); SCAN_TRIGGERS gives a lower-case piece that any text matched by the rule holds
 GLUED_TITLES = (
     (r"(?i)\bLEI\s*N[º°O.]", "LEI Nº"),
     (r"(?i)\bLEIN[º°O.]", "LEI Nº"),
@@ -101,6 +102,9 @@ CUT_TITLES = (
     (r"(?i)\bEXTRATO\s+RE\s+CONTRATO\b", "EXTRATO DE CONTRATO"),
     (r"(?i)\bCONTRATO\s+ADMINISTRATIVO\b", "CONTRATO ADMINISTRATIVO"),
 )
+GLUED_TRIGGERS = ("lei", "lein", "portarian", "decreton")
+CUT_TRIGGERS = ("trato", "rato", "extrato", "administrativo")
+
 LITERAL_REPAIRS = (
     ("TPCA/IBGE", "IPCA/IBGE"), ("Art,", "Art."), ("virgnta", "vírgula"),
     ("deforma ligital", "de forma digital"), ("Agsirado", "Assinado"),

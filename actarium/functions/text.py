@@ -59,11 +59,14 @@ def squeeze(x: ColumnLike) -> Column:
 
 
 def any_contains(x: Column, words: Iterable[str]) -> Column:
-    """True if the text holds any of the given words."""
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(x, F.lit(w))
-    return out
+    """True if the text holds any of the given words. The text is evaluated once."""
+    def test(v: Column) -> Column:
+        out = F.lit(False)
+        for w in words:
+            out = out | F.contains(v, F.lit(w))
+        return out
+
+    return let(x, test)
 
 
 def rx(pattern: str) -> str:
@@ -77,27 +80,34 @@ def replace_all(x: Column, rules: Iterable[tuple[str, str]]) -> Column:
     return x
 
 
-def scan_rules(cfg: DetectionConfig) -> list[tuple[str, str]]:
-    """Ordered rewrite list of B3. Rules are data; the target name and tax ids come from the config."""
-    rules = list(fixed.GLUED_TITLES)
-    rules += [(rf"(?i)\b{v}\b", cfg.target) for v in cfg.scan_variants]
-    rules += list(fixed.CUT_TITLES)
+def scan_rules(cfg: DetectionConfig) -> list[tuple[str, str, str]]:
+    """Ordered rewrite list of B3 as (trigger, pattern, replacement). Rules are data; the target name and tax ids come
+    from the config. A trigger is a lower-case piece every match holds; '' means the pattern is always tried."""
+    rules = [(t, *r) for t, r in zip(fixed.GLUED_TRIGGERS, fixed.GLUED_TITLES)]
+    rules += [("", rf"(?i)\b{v}\b", cfg.target) for v in cfg.scan_variants]
+    rules += [(t, *r) for t, r in zip(fixed.CUT_TRIGGERS, fixed.CUT_TITLES)]
     if cfg.truncated_stem:
         stem = cfg.truncated_stem
         rest, head = cfg.target[len(stem):], cfg.key[len(stem):][:2]
         for organ in (r"PREFEITURA\s+MUNICIPAL", r"C[AÂ]MARA\s+MUNICIPAL", r"MUNIC[IÍ]PIO"):
-            rules.append((rf"(?i)\b({organ}\s+DE\s+{stem})\b(?!\s*{head})", "$1" + rest))
+            rules.append((stem.lower(), rf"(?i)\b({organ}\s+DE\s+{stem})\b(?!\s*{head})", "$1" + rest))
     gap = r"[\s.\-_/|]*"
     for tax in cfg.tax_ids:
         a, b, c = tax[:2], tax[3:6], tax[7:10]
         d, e = tax[-2], tax[-1]
-        rules.append((f"{a}{gap}{b}{gap}{c}{gap}0*0*0*1{gap}{d}?{e}?", tax))
+        rules.append((b, f"{a}{gap}{b}{gap}{c}{gap}0*0*0*1{gap}{d}?{e}?", tax))
     return rules
 
 
 def normalize_scan(x: ColumnLike, cfg: DetectionConfig) -> Column:
-    """B3 - undo frequent scan errors in titles, the target name and its tax ids."""
-    return replace_all(text(x), scan_rules(cfg))
+    """B3 - undo frequent scan errors in titles, the target name and its tax ids.
+
+    Most rules do not apply to most texts, so a cheap search for the trigger decides whether a pattern is run."""
+    out = text(x)
+    for trigger, pattern, replacement in scan_rules(cfg):
+        out = let(out, lambda t: F.when(
+            F.contains(F.lower(t), F.lit(trigger)) if trigger else F.lit(True), F.regexp_replace(t, rx(pattern), replacement)).otherwise(t))
+    return out
 
 
 def repair_scan(x: ColumnLike, cfg: DetectionConfig) -> Column:

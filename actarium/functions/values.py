@@ -96,8 +96,7 @@ def eta_label(ts: ColumnLike, as_of: Column) -> Column:
 
 
 def _number(s: Column) -> Column:
-    ok = s.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
-    return F.when(ok, s.try_cast("double"))
+    return F.when(s.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), s.try_cast("double"))
 
 
 def parse_money(x: ColumnLike, br_strict: bool = False) -> Column:
@@ -105,20 +104,21 @@ def parse_money(x: ColumnLike, br_strict: bool = False) -> Column:
 
     A dot without a comma stays a decimal point (``R$ 1.500`` is 1.5); ``br_strict`` reads it as thousands.
     """
-    s = strip(F.regexp_replace(text(x), r"[Rr]\$| ", ""))
-    thousands = F.contains(s, F.lit(".")) if not br_strict else F.lit(True)
-    plain = (
-        F.when(F.contains(s, F.lit(",")) & thousands, F.translate(s, ",.", "."))
-        .when(F.contains(s, F.lit(",")), F.translate(s, ",", ".")))
-    dots = F.when(s.rlike(r"^\d{1,3}(\.\d{3})+$"), F.replace(s, F.lit("."), F.lit(""))) if br_strict else F.lit(None)
-    return _number(F.coalesce(plain, dots, s))
+    def plain(s: Column) -> Column:
+        out = F.when(F.contains(s, F.lit(",")), F.translate(s, ",.", "."))
+        if br_strict:
+            out = out.when(s.rlike(r"^\d{1,3}(\.\d{3})+$"), F.replace(s, F.lit("."), F.lit("")))
+        return out.otherwise(s)
+
+    return let(let(strip(F.regexp_replace(text(x), r"[Rr]\$| ", "")), plain), _number)
 
 
 def money_amount(x: Column) -> Column:
     """Amount used to compare raw matches: 0 when unreadable."""
-    s = F.regexp_replace(x, r"[^\d,.]", "")
-    s = F.when(F.contains(s, F.lit(",")), F.translate(s, ",.", ".")).otherwise(s)
-    return F.coalesce(_number(s), F.lit(0.0))
+    def plain(s: Column) -> Column:
+        return F.when(F.contains(s, F.lit(",")), F.translate(s, ",.", ".")).otherwise(s)
+
+    return F.coalesce(let(let(F.regexp_replace(x, r"[^\d,.]", ""), plain), _number), F.lit(0.0))
 
 
 def format_money(x: ColumnLike) -> Column:
@@ -145,14 +145,16 @@ def normalize_money_text(x: ColumnLike) -> Column:
 
 def money_digit_variants(x: ColumnLike) -> Column:
     """B16 - digit runs under which an amount may appear in a scanned text."""
-    d = digits(x)
-    nz = F.coalesce(F.nullif(F.ltrim(d, F.lit("0")), F.lit("")), d)
-    cents = d.endswith("00") & (F.length(d) > 4)
-    cut = F.substring(d, F.lit(1), F.length(d) - 2)
-    cut_nz = F.coalesce(F.nullif(F.ltrim(cut, F.lit("0")), F.lit("")), cut)
-    tails = [F.when(F.length(nz) >= n, F.right(nz, F.lit(n))) for n in (6, 7, 8)]
-    cands = F.array(d, nz, F.when(cents, cut), F.when(cents, cut_nz), *tails)
-    return F.array_sort(F.array_distinct(F.filter(cands, lambda v: F.coalesce(F.length(v) >= 3, F.lit(False)))))
+    def bare(d: Column) -> Column:
+        return F.coalesce(F.nullif(F.ltrim(d, F.lit("0")), F.lit("")), d)
+
+    def forms(v: Column) -> Column:
+        d, nz = v["d"], v["nz"]
+        cut = F.when(d.endswith("00") & (F.length(d) > 4), F.substring(d, F.lit(1), F.length(d) - 2))
+        cands = F.array(d, nz, cut, bare(cut), *[F.when(F.length(nz) >= n, F.right(nz, F.lit(n))) for n in (6, 7, 8)])
+        return F.array_sort(F.array_distinct(F.filter(cands, lambda c: F.coalesce(F.length(c) >= 3, F.lit(False)))))
+
+    return let(let(digits(x), lambda d: F.struct(d.alias("d"), bare(d).alias("nz"))), forms)
 
 
 # ---- act numbers ---------------------------------------------------------------------------
@@ -164,31 +166,30 @@ def _bare(x: ColumnLike) -> Column:
 
 def normalize_act_number(x: ColumnLike) -> Column:
     """B17 - split a glued number from its year; digit runs without a year become ''."""
-    v = _bare(x)
-    glued = v.rlike(r"^\d{6,8}$")
-    year = F.right(v, F.lit(4))
-    return (
-        F.when(col(x).isNull(), None)
-        .when(glued & year.rlike("^(19|20)"), F.concat(F.substring(v, F.lit(1), F.length(v) - 4), F.lit("/"), year))
-        .when(glued, "").otherwise(v))
+    def split(v: Column) -> Column:
+        glued, year = v.rlike(r"^\d{6,8}$"), F.right(v, F.lit(4))
+        return (
+            F.when(glued & year.rlike("^(19|20)"), F.concat(F.substring(v, F.lit(1), F.length(v) - 4), F.lit("/"), year))
+            .when(glued, "").otherwise(v))
+
+    return F.when(col(x).isNotNull(), let(_bare(x), split))
 
 
 def valid_act_number(x: ColumnLike) -> Column:
     """B18 - the number in clean form, or NULL when it cannot be the number of an act."""
-    n = _bare(x)
-    year4 = F.right(n, F.lit(4))
     sep = r"^(\d{1,6})\s*[/\-]\s*(\d{2,4})$"
-    y = F.regexp_extract(n, sep, 2)
-    y = F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
-    y_ok = y.rlike("^(19|20)") & y.try_cast("int").between(1990, 2100)
-    return (
-        F.when(F.length(n) == 0, None)
-        .when(n.rlike(r"^\d{7,}$"),
-              F.when(year4.rlike("^(19|20)") & (F.length(n) <= 8),
-                     F.concat(F.substring(n, F.lit(1), F.length(n) - 4), F.lit("/"), year4)))
-        .when(n.rlike(sep), F.when(y_ok, F.concat(F.regexp_extract(n, sep, 1), F.lit("/"), y)))
-        .when(n.rlike(r"^\d{1,5}$"), n)
-        .when((F.length(n) <= 12) & n.rlike(r"\d"), n))
+
+    def with_year(n: Column) -> Column:
+        y = F.regexp_extract(n, sep, 2)
+        return let(F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y), lambda v: F.when(
+            v.rlike("^(19|20)") & v.try_cast("int").between(1990, 2100), F.concat(F.regexp_extract(n, sep, 1), F.lit("/"), v)))
+
+    def rules(n: Column) -> Column:
+        return (
+            F.when(n.rlike(r"^\d{7,}$"), F.when(n.rlike(r"^\d{3,4}(19|20)\d{2}$"), F.regexp_replace(n, r"^(\d+)(\d{4})$", "$1/$2")))
+            .when(n.rlike(sep), with_year(n)).when(n.rlike(r"^\d{1,5}$"), n).when((F.length(n) <= 12) & n.rlike(r"\d"), n))
+
+    return let(_bare(x), rules)
 
 
 def number_seq(x: ColumnLike) -> Column:
@@ -239,8 +240,7 @@ def _type_chain(key: Column, raw: Column) -> Column:
 
 def is_generic_type(x: ColumnLike) -> Column:
     """True if the type says nothing (empty, 'Outros', 'Ato', ...)."""
-    k = F.trim(fold(F.coalesce(normalize_act_type(x), text(x))))
-    return k.isin(*fixed.GENERIC_TYPES)
+    return F.trim(fold(F.coalesce(normalize_act_type(x), F.lit("")))).isin(*fixed.GENERIC_TYPES)
 
 
 def normalize_theme(x: ColumnLike) -> Column:

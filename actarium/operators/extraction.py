@@ -108,9 +108,11 @@ def extract_organ(x: ColumnLike, cfg: DetectionConfig, clean: bool = False) -> C
     exec_, council = f"Prefeitura Municipal de {t}", f"Câmara Municipal de {t}"
 
     def rules(n: Column) -> Column:
-        def by_head(h: Column) -> Column:
-            full = fold(F.substring(squeeze(n), 1, 800))
-            whole = fold(n)
+        flat = let(squeeze(n), lambda q: F.struct(
+            n.alias("n"), fold(F.substring(q, 1, 280)).alias("head"), fold(F.substring(q, 1, 800)).alias("full"), fold(n).alias("whole")))
+
+        def choose(v: Column) -> Column:
+            h, full, whole = v["head"], v["full"], v["whole"]
             named = F.contains(whole, F.lit(k))
             other = F.substring(full, 1, 200).rlike(rf"\bprefeitura\s+(municipal\s+)?de\s+(?!{k})\w+")
             out = (
@@ -120,20 +122,19 @@ def extract_organ(x: ColumnLike, cfg: DetectionConfig, clean: bool = False) -> C
                 .when(h.rlike(rf"^municipio de {k}\b"), f"Município de {t}")
                 .when(h.rlike(rf"^prefeitura\s+municipal\s+de\s+{stem}\b"), exec_)
                 .when(h.rlike(rf"^camara\s+municipal\s+de\s+{stem}\b"), council)
-                .when(full.rlike(rf"\bprefeitura\s+(municipal\s+)?de\s+{k}\b") & ~other, exec_)
-                .when(full.rlike(rf"\bmunicipio\s+de\s+{k}\b"), f"Município de {t}")
-                .when(h.rlike(r"^conselho municipal de saude\b") & named, f"Conselho Municipal de Saúde de {t}")
-                .when(h.rlike(r"^fundo municipal\b") & named, f"Fundo Municipal de {t}")
-                .when(h.rlike(r"^(conselho municipal|comite municipal|comissao municipal)\b") & named,
-                      f"Conselho Municipal de {t}"))
+                .when(named & full.rlike(rf"\bprefeitura\s+(municipal\s+)?de\s+{k}\b") & ~other, exec_)
+                .when(named & full.rlike(rf"\bmunicipio\s+de\s+{k}\b"), f"Município de {t}")
+                .when(named & h.rlike(r"^conselho municipal de saude\b"), f"Conselho Municipal de Saúde de {t}")
+                .when(named & h.rlike(r"^fundo municipal\b"), f"Fundo Municipal de {t}")
+                .when(named & h.rlike(r"^(conselho municipal|comite municipal|comissao municipal)\b"), f"Conselho Municipal de {t}"))
             if cfg.tax_ids:
-                out = out.when(F.contains(n, F.lit(cfg.tax_ids[0])), exec_)
+                out = out.when(F.contains(v["n"], F.lit(cfg.tax_ids[0])), exec_)
             for tax in cfg.tax_ids[1:]:
                 is_council = any_contains(whole, ("camara municipal", f"camara de {k}"))
-                out = out.when(F.contains(n, F.lit(tax[:15])), F.when(is_council, council).otherwise(f"Município de {t}"))
+                out = out.when(F.contains(v["n"], F.lit(tax[:15])), F.when(is_council, council).otherwise(f"Município de {t}"))
             return out
 
-        return let(fold(F.substring(squeeze(n), 1, 280)), by_head)
+        return let(flat, choose)
 
     return let(scanned(x, cfg, clean), rules)
 
@@ -151,15 +152,18 @@ def looks_personal(number: Column, line: Column) -> Column:
         .otherwise(any_contains(f, ("cpf", "rg", "cnpj"))))
 
 
-def _title_of(line: Column) -> Column:
-    """struct(type, number) of a line that announces an act, else NULL."""
-    def on_folded(f: Column) -> Column:
-        m0 = F.regexp_extract(f, fixed.TITLE_TYPE_NUMBER, 0)
-        m1 = F.regexp_extract(f, fixed.TITLE_TYPE_NUMBER, 1)
-        number = F.nullif(F.regexp_extract(f, fixed.TITLE_TYPE_NUMBER, 2), F.lit(""))
-        title, marked = f.rlike(fixed.TITLE_LINE), f.rlike(fixed.TYPE_WITH_MARK)
-        legal, n_sign = f.rlike(fixed.LEGAL_REFERENCE), F.contains(f, F.lit("n"))
-        raw = F.substring(line, F.instr(f, m0) + F.instr(m0, m1) - 1, F.length(m1))
+def _title_of(row: Column) -> Column:
+    """struct(act_type, number) of a (line, folded line) pair that announces an act, else NULL."""
+    line, f = row["line"], row["f"]
+    facts = F.struct(
+        line.alias("line"), f.alias("f"), F.regexp_extract(f, fixed.TITLE_TYPE_NUMBER, 0).alias("m0"),
+        F.regexp_extract(f, fixed.TITLE_TYPE_NUMBER, 1).alias("m1"),
+        F.nullif(F.regexp_extract(f, fixed.TITLE_TYPE_NUMBER, 2), F.lit("")).alias("num"), f.rlike(fixed.TITLE_LINE).alias("title"),
+        f.rlike(fixed.TYPE_WITH_MARK).alias("marked"), f.rlike(fixed.LEGAL_REFERENCE).alias("legal"), F.contains(f, F.lit("n")).alias("sign"))
+
+    def decide(v: Column) -> Column:
+        m1, legal, sign, plain = v["m1"], v["legal"], v["sign"], ~v["title"] & ~v["marked"]
+        raw = F.substring(v["line"], F.instr(v["f"], v["m0"]) + F.instr(v["m0"], m1) - 1, F.length(m1))
 
         def has(w: str) -> Column:
             return F.contains(m1, F.lit(w))
@@ -169,14 +173,13 @@ def _title_of(line: Column) -> Column:
             .when(has("dispensa"), "Dispensa").when(has("homolog"), "Homologação/Adjudicação").when(has("pregao"), "Pregão")
             .otherwise(title_case(squeeze(raw))))
         skip = (
-            (legal & ~title & ~marked) | (F.length(m1) == 0)
-            | (~title & ~marked & ~f.rlike(fixed.ACT_HINT))
-            | ((m1 == "lei") & (legal | ~n_sign))
-            | (legal & ~n_sign & ~(has("aditivo") | has("extrato") | has("dispensa"))))
-        kept = F.when(number.isNull() | F.coalesce(looks_personal(number, line), F.lit(False)), F.lit(None)).otherwise(normalize_act_number(number))
+            (legal & plain) | (plain & ~v["f"].rlike(fixed.ACT_HINT)) | ((m1 == "lei") & (legal | ~sign))
+            | (legal & ~sign & ~(has("aditivo") | has("extrato") | has("dispensa"))))
+        personal = F.coalesce(looks_personal(v["num"], v["line"]), F.lit(False))
+        kept = F.when(v["num"].isNotNull(), F.when(~personal, normalize_act_number(v["num"])))
         return F.when(~skip, F.struct(label.alias("act_type"), kept.alias("number")))
 
-    return let(fold(line), on_folded)
+    return let(facts, decide)
 
 
 def extract_type_number(x: ColumnLike, cfg: DetectionConfig, clean: bool = False) -> Column:
@@ -184,7 +187,9 @@ def extract_type_number(x: ColumnLike, cfg: DetectionConfig, clean: bool = False
     as one line, since scans break titles."""
     def scan(lines: Column) -> Column:
         joined = F.when(F.size(lines) > 0, F.array(F.array_join(F.slice(lines, 1, 3), " "))).otherwise(F.array().cast("array<string>"))
-        hits = F.filter(F.transform(F.concat(lines, joined), _title_of), lambda s: s.isNotNull())
+        rows = F.transform(F.concat(lines, joined), lambda s: F.struct(s.alias("line"), fold(s).alias("f")))
+        titled = F.filter(rows, lambda r: r["f"].rlike(fixed.TITLE_TYPE))
+        hits = F.filter(F.transform(titled, _title_of), lambda s: s.isNotNull())
         return F.try_element_at(hits, F.lit(1))
 
     return let(lines_of(scanned(x, cfg, clean)), scan)
@@ -195,19 +200,19 @@ def extract_type_number(x: ColumnLike, cfg: DetectionConfig, clean: bool = False
 
 def number_anchored(number: ColumnLike, x: ColumnLike) -> Column:
     """D10 - the number stands behind a number sign in the text."""
-    raw = text(number)
-    n = fold(F.coalesce(valid_act_number(raw), strip(raw)))
-    quoted = F.regexp_replace(n, r"([^a-z0-9/])", r"\\$1")
-    spaced_ = F.regexp_replace(quoted, r"/", r"\\s*[/\\-.]\\s*")
-    pattern = F.concat(F.lit(r"(?:n[o°.]?\s*|numero\s*[:\s]*)"), spaced_, F.lit(r"\b"))
-    return (F.length(n) > 0) & (F.length(text(x)) > 0) & F.regexp_like(fold(text(x)), pattern)
+    def anchored(n: Column) -> Column:
+        quoted = F.regexp_replace(F.regexp_replace(n, r"([^a-z0-9/])", r"\\$1"), r"/", r"\\s*[/\\-.]\\s*")
+        pattern = F.concat(F.lit(r"(?:n[o°.]?\s*|numero\s*[:\s]*)"), quoted, F.lit(r"\b"))
+        return (F.length(n) > 0) & (F.length(text(x)) > 0) & F.regexp_like(fold(text(x)), pattern)
+
+    return let(let(text(number), lambda r: fold(F.coalesce(valid_act_number(r), strip(r)))), anchored)
 
 
 def reliable_number(number: ColumnLike, *texts: ColumnLike) -> Column:
     """D10 - a valid number that is anchored in one of the texts (or has no text to be checked against)."""
-    n = valid_act_number(number)
     blob = F.array_join(F.filter(F.array(*[text(t) for t in texts]), lambda s: F.length(s) > 0), "\n")
-    return F.when(F.length(strip(blob)) == 0, n).when(number_anchored(n, blob), n)
+    facts = F.struct(valid_act_number(number).alias("n"), blob.alias("blob"))
+    return let(facts, lambda v: F.when(v["n"].isNotNull() & ((F.length(strip(v["blob"])) == 0) | number_anchored(v["n"], v["blob"])), v["n"]))
 
 
 def preferred_number(x: ColumnLike, act_type: ColumnLike, cfg: DetectionConfig) -> Column:
@@ -253,21 +258,28 @@ def extract_subject(x: ColumnLike, cfg: DetectionConfig, clean: bool = False) ->
         return F.concat(title_case(F.regexp_extract(s, label, 1)), F.lit(": "), F.trim(F.regexp_extract(s, label, 2)))
 
     def first(arr: Column) -> Column:
-        return F.try_element_at(arr, F.lit(1))
+        return F.try_element_at(arr, F.lit(1))["s"]
 
     def from_lines(lines: Column) -> Column:
-        at = F.array_position(F.transform(lines, is_title_line), True)
-        title = F.try_element_at(lines, F.nullif(at, F.lit(0)).cast("int"))
-        following = F.slice(lines, at.cast("int") + 1, 4)
-        label_next = first(F.filter(following, lambda s: s.rlike(label)))
-        plain_next = first(F.filter(following, lambda s: ~is_footer_line(s, cfg) & ~is_title_line(s)))
+        rows = F.transform(lines, lambda s: let(fold(s), lambda f: F.struct(
+            s.alias("s"), f.alias("f"), f.rlike(fixed.TITLE_LINE).alias("title"), f.rlike(fixed.SUBJECT_LABEL).alias("label"))))
+        return let(rows, from_rows)
+
+    def from_rows(rows: Column) -> Column:
+        return let(F.array_position(F.transform(rows, lambda r: r["title"]), True).cast("int"), lambda at: pick(rows, at))
+
+    def pick(rows: Column, at: Column) -> Column:
+        title = F.try_element_at(rows, F.nullif(at, F.lit(0)))
+        following = F.slice(rows, at + 1, 4)
+        label_next = first(F.filter(following, lambda r: r["label"]))
+        plain_next = first(F.filter(following, lambda r: ~r["title"] & ~is_footer_line(r["s"], cfg)))
         after_title = (
-            F.when(title.rlike(label), labelled(title))
-            .when(label_next.isNotNull(), F.concat(title, F.lit(" - "), F.trim(F.regexp_extract(label_next, label, 2))))
-            .otherwise(F.coalesce(plain_next, title)))
-        anywhere = first(F.filter(lines, lambda s: s.rlike(label)))
-        keyword = first(F.filter(lines, lambda s: any_contains(fold(s), fixed.SUBJECT_KEYWORDS)))
-        plain = first(F.filter(lines, lambda s: ~is_footer_line(s, cfg)))
+            F.when(title["label"], labelled(title["s"]))
+            .when(label_next.isNotNull(), F.concat(title["s"], F.lit(" - "), F.trim(F.regexp_extract(label_next, label, 2))))
+            .otherwise(F.coalesce(plain_next, title["s"])))
+        anywhere = first(F.filter(rows, lambda r: r["label"]))
+        keyword = first(F.filter(rows, lambda r: any_contains(r["f"], fixed.SUBJECT_KEYWORDS)))
+        plain = first(F.filter(rows, lambda r: ~is_footer_line(r["s"], cfg)))
         out = F.when(at > 0, after_title).otherwise(F.coalesce(labelled(anywhere), keyword, plain))
         return F.substring(squeeze(out), 1, 300)
 
@@ -314,7 +326,8 @@ def foreign_entity(x: ColumnLike, cfg: DetectionConfig) -> Column:
         dominant = F.lit(False)
         for n in names:
             dominant = dominant | (F.contains(F.substring(full, 1, 120), F.lit(n)) & h600.rlike(_organ_of(n)))
-        by_organ = h600.rlike(_organ_of("|".join(names))) & (~own | dominant)
+        named = any_contains(h600, names)
+        by_organ = named & h600.rlike(_organ_of("|".join(names))) & (~own | dominant)
         short = (
             F.substring(full, 1, 80).rlike("prefeitura|camara|municipio")
             & ~F.contains(F.substring(full, 1, 120), F.lit(k)) & any_contains(F.substring(full, 1, 140), names))

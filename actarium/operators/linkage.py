@@ -10,6 +10,8 @@ from ..config import DetectionConfig
 from ..functions.text import (ColumnLike, any_contains, filled, fold, let, nonblank, sha1_12, strip, text)
 from ..functions.values import valid_act_number
 from .extraction import preferred_number, reliable_number
+from .lineage import cut
+from .windows import numbered
 
 SALTS = 32
 
@@ -234,24 +236,27 @@ def match_keys(df: DataFrame) -> DataFrame:
 
 
 def match_reprocessed(new: DataFrame, old: DataFrame, scope: tuple[str, ...] = ("edition_id",)) -> DataFrame:
-    """E7 - pairs (new act_id, old act_id, level). Levels are tried from the strictest to the loosest; within a level
-    equal keys are paired in order of their ids, and every old act is used once.
+    """E7 - pairs (new_id, old_id, level). Levels are tried from the strictest key to the loosest; within a level equal
+    keys are paired in order of their ids, and every old act is used once.
 
-    Each level is one equi-join on (scope, key, position), so a large group of equal keys is spread by position.
+    Both sides travel as one narrow table (ids and hashes). The position inside a key is counted per chunk of ids (see
+    ``windows.numbered``), and pairs meet by (key, position), so a key that holds many copies is spread out. Each level
+    reads the table twice, hence the checkpoint after each.
     """
-    n = match_keys(new).select(*scope, F.col("act_id").alias("new_id"), "k1", "k2", "k3", "k4")
-    o = match_keys(old).select(*scope, F.col("act_id").alias("old_id"), "k1", "k2", "k3", "k4")
-    pairs: DataFrame | None = None
+    def side(df: DataFrame, is_new: bool) -> DataFrame:
+        return match_keys(df).select(*scope, F.col("act_id").alias("id"), F.lit(is_new).alias("is_new"), "k1", "k2", "k3", "k4")
+
+    rows = side(new, True).unionByName(side(old, False)).withColumns({"mate": F.lit(None).cast("bigint"), "level": F.lit(None).cast("int")})
     for level, k in enumerate(("k1", "k2", "k3", "k4"), start=1):
-        left, right = n, o
-        if pairs is not None:
-            left = left.join(pairs.select("new_id"), "new_id", "left_anti")
-            right = right.join(pairs.select("old_id"), "old_id", "left_anti")
-        left = left.select(*scope, k, "new_id", F.row_number().over(Window.partitionBy(*scope, k).orderBy("new_id")).alias("at"))
-        right = right.select(*scope, k, "old_id", F.row_number().over(Window.partitionBy(*scope, k).orderBy("old_id")).alias("at"))
-        hit = left.join(right, [*scope, k, "at"]).select("new_id", "old_id", F.lit(level).alias("level"))
-        pairs = hit if pairs is None else pairs.unionByName(hit)
-    return pairs
+        rows = cut(rows)
+        done, open_ = rows.where("mate is not null"), rows.where("mate is null")
+        n = numbered(open_, [*scope, k, "is_new"], "id", name="at")
+        w = Window.partitionBy(*scope, k, "at")
+        both = F.count("*").over(w) == 2
+        mate = F.when(F.col("is_new"), F.min(F.when(~F.col("is_new"), F.col("id"))).over(w)).otherwise(F.min(F.when(F.col("is_new"), F.col("id"))).over(w))
+        n = n.withColumn("_m", F.when(both, mate)).withColumn("level", F.when(F.col("_m").isNotNull(), level)).withColumn("mate", F.col("_m"))
+        rows = done.unionByName(n.drop("_m", "at"))
+    return rows.where("is_new and mate is not null").select(F.col("id").alias("new_id"), F.col("mate").alias("old_id"), "level")
 
 
 def merge_reprocessed(new: DataFrame, old: DataFrame, pairs: DataFrame | None = None, scope: tuple[str, ...] = ("edition_id",)) -> DataFrame:

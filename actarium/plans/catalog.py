@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_functions", "q_detect")
+MODULES = ("q_functions", "q_detect", "q_linkage")
 
 
 def load() -> None:

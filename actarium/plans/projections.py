@@ -41,7 +41,7 @@ SELECT o.o_orderkey AS k, o.o_custkey AS cust, CAST(o.o_orderdate AS DATE) AS d,
 FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey
 """
 
-_FIELDS = f"""
+_FIELDS = """
 SELECT b.*, CAST(year(d) AS BIGINT) * 10000 + month(d) * 100 + day(d) AS edition_id, CAST(d AS STRING) AS ds,
   CASE WHEN prio = '1-URGENT' THEN 'Dispensa'
        WHEN prio = '2-HIGH' THEN 'Extrato de Contrato'
@@ -68,10 +68,10 @@ SELECT b.*, CAST(year(d) AS BIGINT) * 10000 + month(d) * 100 + day(d) AS edition
        ELSE lpad(CAST(day(d) AS STRING), 2, '0') || '/' || lpad(CAST(month(d) AS STRING), 2, '0') || '/' || CAST(year(d) AS STRING) END AS doc_date,
   CASE WHEN cents >= 100000 THEN CAST(CAST(floor(cents / 100000) AS BIGINT) AS STRING) || '.' || lpad(CAST(CAST(floor(cents / 100) AS BIGINT) % 1000 AS STRING), 3, '0')
        ELSE CAST(CAST(floor(cents / 100) AS BIGINT) AS STRING) END || ',' || lpad(CAST(cents % 100 AS STRING), 2, '0') AS money
-FROM ({_BASE}) b
+FROM {base} b
 """
 
-_TITLES = f"""
+_TITLES = """
 SELECT f.*,
   CASE h % 7 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'R S ' || money WHEN 3 THEN 'no valor de R$ ' || money
        ELSE 'R$ ' || money END AS value,
@@ -79,10 +79,10 @@ SELECT f.*,
        WHEN act_type = 'LEI' THEN 'LEI Nº' ELSE upper(act_type) || CASE WHEN h % 5 = 0 THEN ' ' ELSE ' Nº ' END END, 'Comunicado') AS title_head,
   CASE h % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Aquisição de veículo para a secretaria de ' || lower(seg)
        WHEN 2 THEN 'Contratação de serviços de asfalto e obra - ' || cname ELSE 'Nomeação de servidor ' || lower(seg) END AS subject
-FROM ({_FIELDS}) f
+FROM {fields} f
 """
 
-ACTS = f"""
+ACTS = """
 SELECT k AS act_id, edition_id, CAST(1 + h % 12 AS INT) AS page, CAST(1 + k % 7 AS INT) AS block,
   CASE WHEN st = 'P' AND h % 3 = 0 THEN 'materia_jornalistica' ELSE 'publicacao_oficial' END AS category,
   organ, act_type, number, doc_date, subject, value,
@@ -95,8 +95,8 @@ SELECT k AS act_id, edition_id, CAST(1 + h % 12 AS INT) AS page, CAST(1 + k % 7
   CAST(CASE WHEN h % 8 = 7 THEN NULL ELSE h % 6 END AS INT) AS importance,
   CASE WHEN h % 5 = 0 THEN NULL ELSE CAST(h % 2 AS INT) END AS notify,
   CASE h % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'licitacao, obra' WHEN 3 THEN 'Saúde,rh, saúde' ELSE 'fiscal' END AS themes,
-  CASE h % 7 WHEN 0 THEN NULL WHEN 1 THEN '{{{{"ok": false, "flags": [{{{{"campo": "valor"}}}}]}}}}' WHEN 2 THEN '{{{{"ok": true, "avisos": ["x"]}}}}'
-       WHEN 3 THEN 'not json' ELSE '{{{{"ok": true, "flags": []}}}}' END AS validation,
+  CASE h % 7 WHEN 0 THEN NULL WHEN 1 THEN '{{"ok": false, "flags": [{{"campo": "valor"}}]}}' WHEN 2 THEN '{{"ok": true, "avisos": ["x"]}}'
+       WHEN 3 THEN 'not json' ELSE '{{"ok": true, "flags": []}}' END AS validation,
   CASE h % 7 WHEN 0 THEN '["numero_corrigido:x"]' WHEN 1 THEN '' WHEN 2 THEN '"leve"' WHEN 3 THEN 'texto solto' WHEN 4 THEN '["a","b"]' ELSE NULL END AS flags,
   CAST(CASE WHEN h % 10 = 0 THEN 1 ELSE 0 END AS INT) AS anomaly,
   CASE WHEN h % 10 = 0 THEN CASE WHEN h % 4 < 2 THEN 'valor alto' ELSE 'outra razao' END END AS anomaly_reason,
@@ -105,10 +105,10 @@ SELECT k AS act_id, edition_id, CAST(1 + h % 12 AS INT) AS page, CAST(1 + k % 7
   CAST(h % 101 AS INT) AS confidence,
   CASE WHEN h % 101 >= 85 THEN 'alta' WHEN h % 101 >= 55 THEN 'media' WHEN h % 101 < 5 THEN NULL ELSE 'revisar' END AS confidence_level,
   ds AS created_day
-FROM ({_TITLES}) t
-""".replace("{{{{", "{{").replace("}}}}", "}}")
+FROM {titles} t
+"""
 
-PAGES = f"""
+PAGES = """
 SELECT edition_id, CAST(k AS INT) AS page, CASE h % 4 WHEN 0 THEN 'ocr' WHEN 1 THEN 'pdfplumber' WHEN 2 THEN 'ocr-hq' ELSE 'texto' END AS method,
   CASE h % 10 WHEN 0 THEN 'PREFEITURA MUNICIPAL DE ' || place || chr(10) WHEN 1 THEN 'CÂMARA MUNICIPAL DE ' || place || chr(10)
     WHEN 2 THEN 'MUNICÍPIO DE ' || place || chr(10) WHEN 3 THEN '' WHEN 4 THEN 'PREFEITURA MUNICIPAL DE NAT' || chr(10)
@@ -125,7 +125,7 @@ SELECT edition_id, CAST(k AS INT) AS page, CASE h % 4 WHEN 0 THEN 'ocr' WHEN 1 T
   CASE WHEN h % 2 = 0 THEN repeat('Fica aprovado o repasse mensal para ' || cname || ' na forma da legislação em vigor e do plano plurianual.' || chr(10), 5) ELSE '' END ||
   CASE WHEN h % 12 = 5 THEN 'MUNICÍPIO DE ' || place || chr(10) || 'EDITAL Nº ' || CAST(k % 40 AS STRING) || '/' || CAST(year(d) AS STRING) || chr(10) || 'OBJETO: compra de merenda' || chr(10) ELSE '' END ||
   place || ', ' || coalesce(doc_date, 'sem data') AS text
-FROM ({_TITLES}) t
+FROM {titles} t
 """
 
 EDITIONS = """
@@ -174,9 +174,9 @@ SELECT event_id + 1 AS job_id,
 FROM (SELECT e.*, DATE '1995-01-01' + CAST(user_id AS INT) AS d FROM {events} e) x
 """
 
-RESPONSES = f"""
+RESPONSES = """
 SELECT k AS act_id,
-  '{{{{"acao": "' || CASE h % 6 WHEN 0 THEN 'descartar' WHEN 1 THEN 'so-mencao' WHEN 2 THEN 'Discard ' ELSE 'manter' END || '"' ||
+  '{{"acao": "' || CASE h % 6 WHEN 0 THEN 'descartar' WHEN 1 THEN 'so-mencao' WHEN 2 THEN 'Discard ' ELSE 'manter' END || '"' ||
   CASE WHEN h % 19 = 0 THEN ', "pertence_a_alvo": false' ELSE ', "pertence_a_alvo": true' END ||
   CASE WHEN h % 23 = 0 THEN ', "tem_mencao_alvo": false' ELSE '' END ||
   CASE WHEN h % 4 = 0 THEN ', "orgao": "Prefeitura Municipal de ' || place || '"' ELSE '' END ||
@@ -189,11 +189,11 @@ SELECT k AS act_id,
   CASE WHEN h % 6 = 5 THEN ', "importancia": ' || CAST(h % 8 AS STRING) ELSE '' END ||
   CASE WHEN h % 10 = 3 THEN ', "notificar": false' ELSE '' END ||
   CASE WHEN h % 4 = 1 THEN ', "temas": ["Obras", "Saúde"]' ELSE ', "tags": ["licita", "x y"]' END ||
-  ', "partes": {{{{"contratante": "' || place || '", "contratada": "Lourdes Emas Fernande"}}}}' ||
+  ', "partes": {{"contratante": "' || place || '", "contratada": "Lourdes Emas Fernande"}}' ||
   ', "i": ' || CAST(1 + h % 9 AS STRING) || ', "classificacao": "' || CASE h % 3 WHEN 0 THEN 'Ato' WHEN 1 THEN 'materia' ELSE '' END || '"' ||
-  CASE WHEN h % 29 = 0 THEN '' ELSE '}}}}' END AS response
-FROM ({_TITLES}) t
-""".replace("{{{{", "{{").replace("}}}}", "}}")
+  CASE WHEN h % 29 = 0 THEN '' ELSE '}}' END AS response
+FROM {titles} t
+"""
 
 METRICS = """
 SELECT CAST(year(d) AS BIGINT) * 10000 + month(d) * 100 + day(d) AS edition_id,
@@ -229,6 +229,9 @@ FROM (SELECT CAST(l_shipdate AS DATE) AS d, l_linestatus, l_quantity, l_shipdate
 GROUP BY d, l_linestatus
 """
 
+# intermediate steps of the order-based tables, in order of use
+STEPS: dict[str, str] = {"base": _BASE, "fields": _FIELDS, "titles": _TITLES}
+
 PROJECTIONS: dict[str, str] = {
     "gz_acts": ACTS, "gz_pages": PAGES, "gz_editions": EDITIONS, "gz_mentions": MENTIONS, "gz_jobs": JOBS,
     "gz_responses": RESPONSES, "gz_metrics": METRICS, "gz_words": WORDS, "gz_blocks": BLOCKS, "gz_files": FILES,

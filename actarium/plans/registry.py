@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import compute_once
-from .projections import PROJECTIONS
+from .projections import PROJECTIONS, STEPS
 
 RAW_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages",
@@ -30,24 +30,28 @@ class Tables:
         if name in RAW_TABLES:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         if name in PROJECTIONS:
-            sql = PROJECTIONS[name]
-            used = {t: getattr(self, t) for t in RAW_TABLES if "{" + t + "}" in sql}
-            return self.spark.sql(sql, **used)
+            return self._project(PROJECTIONS[name], {})
         raise AttributeError(name)
 
+    def _project(self, sql: str, given: dict[str, DataFrame]) -> DataFrame:
+        used = {t: given.get(t) or getattr(self, t) for t in RAW_TABLES if "{" + t + "}" in sql}
+        for step, text in STEPS.items():
+            if "{" + step + "}" in sql:
+                df = self._project(text, given)
+                # a boundary keeps every step's generated code small and its columns computed once
+                used[step] = compute_once(df, **{c: F.col(c) for c in df.columns})
+        return self.spark.sql(sql, **used)
+
     def spread(self, name: str) -> DataFrame:
-        """A projection whose rows need much CPU: small inputs of few file splits are spread over all cores; inputs
-        with enough splits are left as they are."""
+        """A table whose rows need much CPU: small inputs of few file splits are spread over all cores; inputs with
+        enough splits are left as they are. The long texts are computed once, as if they were stored."""
         source = {"gz_pages": "orders", "gz_acts": "orders", "gz_responses": "orders"}.get(name, name)
         cores = self.spark.sparkContext.defaultParallelism
         raw = getattr(self, source)
         wide = raw if raw.rdd.getNumPartitions() >= cores else raw.repartition(cores)
         if source == name:
             return wide
-        sql = PROJECTIONS[name]
-        used = {t: (wide if t == source else getattr(self, t)) for t in RAW_TABLES if "{" + t + "}" in sql}
-        df = self.spark.sql(sql, **used)
-        # a stored table would hold these texts; the projection must not rebuild them per reference
+        df = self._project(PROJECTIONS[name], {source: wide})
         return compute_once(df, **{c: F.col(c) for c in ("text", "excerpt", "summary", "response") if c in df.columns})
 
     def scratch(self, name: str) -> str:
@@ -80,7 +84,10 @@ def with_projections(sql: str) -> str:
     used = [p for p in PROJECTIONS if re.search(rf"\b{p}\b", sql)]
     if not used:
         return sql.strip()
-    ctes = ",\n".join(f"{p} AS ({PROJECTIONS[p].format(**{t: t for t in RAW_TABLES})})" for p in used)
+    names = {t: t for t in RAW_TABLES}
+    for step, text in STEPS.items():
+        names[step] = "(" + text.format(**names) + ")"
+    ctes = ",\n".join(f"{p} AS ({PROJECTIONS[p].format(**names)})" for p in used)
     body = sql.strip()
     if re.match(r"(?i)with\s+recursive\b", body):
         return f"WITH RECURSIVE {ctes},\n{body[body.lower().index('recursive') + 9:]}"
