@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_functions", "q_detect", "q_linkage")
+MODULES = ("q_functions", "q_detect", "q_linkage", "q_enrich", "q_quality")
 
 
 def load() -> None:
