@@ -178,7 +178,7 @@ def _(t):
     rows = S.mirror_rows(t.spread("gz_acts"), t.gz_editions)
     S.write_mirror(rows, path)
     S.write_mirror(rows.where(F.col("year") == "1998"), path)  # a second run replaces only its own editions
-    return t.spark.read.parquet(path).select("act_id", "edition_id", "seq", "base")
+    return t.spark.read.parquet(path).select("act_id", F.col("edition_id").cast("bigint").alias("edition_id"), "seq", "base")
 
 
 def _y(x: str) -> str:

@@ -36,7 +36,8 @@ def replace_by_edition(target: DataFrame, new: DataFrame) -> DataFrame:
 
 def write_by_edition(acts: DataFrame, path: str) -> None:
     """A19 on disk - dynamic partition overwrite touches only the editions that are written."""
-    acts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("edition_id").parquet(path)
+    # one directory is written by few tasks; a very large edition is split again by the adaptive rebalance
+    acts.hint("rebalance", "edition_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("edition_id").parquet(path)
 
 
 def export_rows(acts: DataFrame, editions: DataFrame) -> DataFrame:
@@ -77,7 +78,7 @@ def mirror_tree(rows: DataFrame) -> DataFrame:
 def write_mirror(rows: DataFrame, path: str) -> None:
     """A12 on disk - records by year/month/day and edition; rewriting an edition replaces only its own partition."""
     (rows.withColumn("record", render_json(rows)).select("act_id", "seq", "base", "record", "year", "month", "day", "edition_id")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month", "day", "edition_id").parquet(path))
+     .hint("rebalance", "year", "month", "day", "edition_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month", "day", "edition_id").parquet(path))
 
 
 def render_json(rows: DataFrame) -> Column:
