@@ -94,7 +94,7 @@ def act_quality(df: DataFrame) -> Column:
     for c, w in FILL_WEIGHTS.items():
         score = score + F.when(filled(optional(df, c)), w).otherwise(0.0)
     return (
-        score + F.coalesce(F.least(F.lit(5), optional(df, "importance", "int")), F.lit(0))
+        score + F.least(F.lit(5), F.coalesce(optional(df, "importance", "int"), F.lit(0)))
         + F.when(F.contains(organ, F.lit("prefeitura")), 4).when(F.contains(organ, F.lit("municipio")), 2)
         .when(F.contains(organ, F.lit("camara")), 3).otherwise(0)
         + F.when(F.contains(number, F.lit("/")), 3).when(F.length(number) > 0, 1).otherwise(0)

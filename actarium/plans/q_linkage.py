@@ -42,7 +42,7 @@ def _(t):
 
 def score_sql(organ: str = "organ") -> str:
     o = Q.fold(Q.txt(organ))
-    return f"""(CASE WHEN {Q.filled('summary')} THEN 12.0 ELSE 0 END + CASE WHEN {Q.filled('value')} THEN 5 ELSE 0 END + CASE WHEN {Q.filled('subject')} THEN 2 ELSE 0 END + coalesce(least(5, importance), 0)
+    return f"""(CASE WHEN {Q.filled('summary')} THEN 12.0 ELSE 0 END + CASE WHEN {Q.filled('value')} THEN 5 ELSE 0 END + CASE WHEN {Q.filled('subject')} THEN 2 ELSE 0 END + least(5, coalesce(importance, 0))
       + CASE WHEN contains({o}, 'prefeitura') THEN 4 WHEN contains({o}, 'municipio') THEN 2 WHEN contains({o}, 'camara') THEN 3 ELSE 0 END
       + CASE WHEN contains(coalesce(number, ''), '/') THEN 3 WHEN {Q.filled('number')} THEN 1 ELSE 0 END + least(length(coalesce(excerpt, '')), 800) / 200.0::DOUBLE + CASE WHEN enriched = 1 THEN 2 ELSE 0 END)::DOUBLE"""
 

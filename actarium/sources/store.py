@@ -76,9 +76,10 @@ def mirror_tree(rows: DataFrame) -> DataFrame:
 
 
 def write_mirror(rows: DataFrame, path: str) -> None:
-    """A12 on disk - records by year/month/day and edition; rewriting an edition replaces only its own partition."""
-    (rows.withColumn("record", render_json(rows)).select("act_id", "seq", "base", "record", "year", "month", "day", "edition_id")
-     .hint("rebalance", "year", "month", "day", "edition_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month", "day", "edition_id").parquet(path))
+    """A12 on disk - one partition per edition (the date tree is in the columns); rewriting an edition replaces only its
+    own partition. The rebalance puts an edition into few files and splits a very large one."""
+    out = rows.withColumn("record", render_json(rows)).select("act_id", "seq", "base", "record", "year", "month", "day", "edition_id")
+    out.hint("rebalance", "edition_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("edition_id").parquet(path)
 
 
 def render_json(rows: DataFrame) -> Column:
