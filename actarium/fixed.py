@@ -32,8 +32,19 @@ ORDINALS = (
 )
 # a "number sign": the ordinal signs fold to "o"
 NUMBER_SIGN = r"n[o°.]"
-ORDINAL_PREFIX = r"(?:(?:" + "|".join(ORDINALS) + r")\s+)?"
-ANY_TYPE = "(?:" + "|".join(COMPOUND_TYPES + SIMPLE_TYPES) + ")"
+
+
+def _by_first_letter(alternatives: tuple[str, ...]) -> str:
+    """The alternatives as one group, joined under their first letter (order kept within a letter): a matcher then
+    compares a dozen letters per word instead of fifty phrases."""
+    groups: dict[str, list[str]] = {}
+    for a in alternatives:
+        groups.setdefault(a[0], []).append(a[1:])
+    return "(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in groups.items()) + ")"
+
+
+ORDINAL_PREFIX = "(?:" + _by_first_letter(ORDINALS) + r"\s+)?"
+ANY_TYPE = _by_first_letter(COMPOUND_TYPES + SIMPLE_TYPES)
 TITLE_LINE = r"^\s*" + ORDINAL_PREFIX + ANY_TYPE + r"\b"
 TITLE_TYPE = r"\b" + ORDINAL_PREFIX + "(" + ANY_TYPE + r")\b"
 TITLE_TYPE_NUMBER = TITLE_TYPE + r"\s*(?:" + NUMBER_SIGN + r"?\s*)?(\d{1,6}(?:[./-]\d{1,4})?)?"

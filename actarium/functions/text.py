@@ -240,6 +240,18 @@ def offsets_of(x: Column, pattern: str) -> Column:
     return sums
 
 
+def spans_of(x: Column, pattern: str) -> Column:
+    """0-based (o, n) offset and length of all matches, from one pass over the text."""
+    def measure(pieces: Column) -> Column:
+        found = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.struct(
+            (F.length(p) - 1).alias("len"), (F.instr(p, "\u0002") - 1).alias("n")))
+        start = F.struct(F.length(F.get(pieces, F.lit(0))).alias("at"), F.array().cast("array<struct<o:int,n:int>>").alias("out"))
+        return F.aggregate(found, start, lambda acc, p: F.struct(
+            (acc["at"] + p["len"]).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("o"), p["n"].alias("n")))).alias("out")))["out"]
+
+    return let(F.split(F.regexp_replace(x, pattern, "\u0001$0\u0002"), "\u0001"), measure)
+
+
 def spaced(offsets: Column, gap: int) -> Column:
     """Greedy subset of sorted offsets that are at least ``gap`` apart."""
     return F.aggregate(
