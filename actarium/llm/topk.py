@@ -31,8 +31,8 @@ def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(usable, v).alias("v")).where("vec_id is not null and v is not null").groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def _matrix(rows: pd.DataFrame) -> np.ndarray:
-    return np.stack(rows["v"].to_numpy()) if len(rows) else np.zeros((0, 0), np.int64)
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy())
 
 
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -76,22 +76,22 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, query_block: int =
     n, n_queries = v.agg(F.count("*"), F.count_if("is_query")).first()
     shards, blocks = max(1, -(-n // shard)), max(1, -(-n_queries // query_block))
     spread = F.pmod(F.xxhash64("vec_id"), F.lit(shards))
-    candidates = v.select("vec_id", "v", spread.cast("int").alias("s")).select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    candidates = v.select(F.col("vec_id").alias("c_id"), F.col("v").alias("c_v"), spread.cast("int").alias("c_s")).select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("c_b"))
     queries = v.where("is_query").select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("b"))
     queries = queries.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"))
 
     def tile(key, left, right):
         found = []
         if len(left) and len(right):
-            size = right["v"].map(len).to_numpy()
+            size = right["c_v"].map(len).to_numpy()
             for d in sorted(set(left["v"].map(len))):
                 a, b = left[left["v"].map(len) == d], right[size == d]
                 if len(b):
-                    query, vec, score = best_of_tile(a["vec_id"].to_numpy(), _matrix(a), b["vec_id"].to_numpy(), _matrix(b), k)
+                    query, vec, score = best_of_tile(a["vec_id"].to_numpy(), _matrix(a["v"]), b["c_id"].to_numpy(), _matrix(b["c_v"]), k)
                     found.append(pd.DataFrame({"query_id": query, "node": int(key[1]), "vec_id": vec, "score": score}))
         return pd.concat(found) if found else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "node", "vec_id", "score")})
 
-    lists = queries.groupBy("b", "s").cogroup(candidates.groupBy("b", "s")).applyInPandas(tile, _OUT)
+    lists = queries.groupBy("b", "s").cogroup(candidates.groupBy("c_b", "c_s")).applyInPandas(tile, _OUT)
     nodes = shards
     while True:
         nodes = -(-nodes // _FAN)
