@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automaton, bpe, jaccard, quality, suffix_array, topk
-from .shared import documents
+from . import automaton, bpe, jaccard, lm, mixing, order, pii, quality, suffix_array, topk
+from .shared import documents, folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,6 +62,28 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.remove_repeats(documents(spark, sf_dir), window=20).drop("kept")
 
 
+@query("op9_contextual_pii")
+def op9_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf_dir)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_id", "base_sha256", "spans")
+
+
 @query("op10_quality_rules")
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
+
+
+@query("op1_training_order")
+def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.materialise(documents(spark, sf_dir), folder(spark, "training-order"))
+
+
+@query("op3_cross_entropy_difference")
+def op3_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return lm.cross_entropy_difference(documents(spark, sf_dir), labels.where("quality = 1 and toxic = 0"))
+
+
+@query("op5_soft_mixing")
+def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = mixing.mixed(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return m.select("doc_id", "n_words", *(F.round(F.col("p")[k], 9).alias(f"p_{name}") for k, name in enumerate(mixing.DOMAINS)), F.round("rate", 6).alias("rate"), "copies")
