@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import small_batches
+
 _NONE = np.int32((1 << 31) - 1)
 _REMEMBERED = 1_000_000
 _LONG = 128
@@ -214,4 +216,4 @@ def encode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = True) -> D
 
     names = ["doc_id", "n_tokens", *["ids"] * keep_ids, "ids_sha256", "decoded_sha256"]
     schema = "doc_id long, n_tokens long, " + "ids binary, " * keep_ids + "ids_sha256 string, decoded_sha256 string"
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
+    return small_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .seqhash import chunks, lower_ascii, word_hashes
+from .shared import small_batches
 
 
 def _as_long(x: np.ndarray) -> pa.Array:
@@ -84,7 +85,7 @@ def losses(pair: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, size: int = 2048) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss and score of every row; target_ids holds the target's doc_id."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = vocabulary(docs, size)
     tables = []
     for part in (docs.join(target_ids.select("doc_id").distinct(), "doc_id", "left_semi"), docs):

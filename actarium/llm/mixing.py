@@ -20,7 +20,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +37,10 @@ class Mix:
     weights: tuple[float, ...] = (0.95, 0.05, 0.0)
     protected: int = 0
     labelled: int = 20000
-    features: int = 1 << 16
+    terms: int = 4096
+    least_documents: int = 10
+    iterations: int = 50
+    regularisation: float = 1e-4
     steps: int = 40
     pull: float = 1e-3
 
@@ -50,14 +53,18 @@ def _share(text: Column, pattern: str) -> Column:
     return F.char_length(F.regexp_replace(text, pattern, "")) / F.greatest(F.char_length(text), F.lit(1))
 
 
-def with_features(docs: DataFrame, features: int) -> DataFrame:
-    """Adds n_words and features: hashed words (letters only, lower case), and shares of kinds of characters."""
+def with_terms(docs: DataFrame) -> DataFrame:
+    """Adds n_words, terms (distinct words: letters only, lower case), and shares of kinds of characters."""
     text = F.coalesce("text", F.lit(""))
-    d = docs.withColumns({
-        "terms": F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), "n_words": F.when(F.btrim(text, F.lit(" \t\n\x0b\f\r")) == "", 0).otherwise(F.size(F.split(F.btrim(text, F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+"))).cast("long"),
-        "symbols": _share(text, r"[\p{L}\p{N}\s.,]+"), "upper": _share(text, r"[^\p{Lu}]+"), "figures": _share(text, r"[^\p{N}]+")})
-    d = HashingTF(inputCol="terms", outputCol="hashed", numFeatures=features, binary=True).transform(d)
-    return VectorAssembler(inputCols=["hashed", "symbols", "upper", "figures"], outputCol="features").transform(d).drop("terms", "hashed", "symbols", "upper", "figures")
+    bare = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    return docs.withColumns({
+        "n_words": F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"[\x20\x09-\x0D]+"))).cast("long"), "terms": F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")),
+        "symbols": _share(text, r"[\p{L}\p{N}\s.,]+"), "upper": _share(text, r"[^\p{Lu}]+"), "figures": _share(text, r"[^\p{N}]+")}).drop("text")
+
+
+def with_features(termed: DataFrame, model: CountVectorizerModel) -> DataFrame:
+    d = model.transform(termed)
+    return VectorAssembler(inputCols=["counted", "symbols", "upper", "figures"], outputCol="features").transform(d).drop("terms", "counted", "symbols", "upper", "figures")
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, mix: Mix) -> DataFrame:
@@ -66,16 +73,17 @@ def posteriors(docs: DataFrame, labels: DataFrame, mix: Mix) -> DataFrame:
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(mix.labelled).select("doc_id", domain(F.col("quality"), F.col("toxic")).alias("label"))
     # the sample has a proven bound, which is the parameter
-    training = written(with_features(rows.join(F.broadcast(known), "doc_id"), mix.features).select("features", "label"), "labelled")
+    training = written(with_terms(rows.join(F.broadcast(known), "doc_id")), "labelled")
     classes = [r[0] for r in training.select("label").distinct().collect()]
+    every = with_terms(rows)
     if len(classes) < 2:
         only = int(classes[0]) if classes else 0
-        words = with_features(rows, mix.features)
-        return words.select("doc_id", "mark", "n_words", F.array(*(F.lit(float(k == only)) for k in range(len(DOMAINS)))).alias("p"))
-    fitted = LogisticRegression(maxIter=40, regParam=0.01, family="multinomial").fit(training)
+        return every.select("doc_id", "mark", "n_words", F.array(*(F.lit(float(k == only)) for k in range(len(DOMAINS)))).alias("p"))
+    terms = CountVectorizer(inputCol="terms", outputCol="counted", vocabSize=mix.terms, minDF=mix.least_documents, binary=True).fit(training)
+    fitted = LogisticRegression(maxIter=mix.iterations, regParam=mix.regularisation, standardization=False, family="multinomial").fit(written(with_features(training, terms).select("features", "label"), "training"))
     p = vector_to_array("probability")
     n = fitted.numClasses
-    return fitted.transform(with_features(rows, mix.features)).select("doc_id", "mark", "n_words", F.array(*(p[k] if k < n else F.lit(0.0) for k in range(len(DOMAINS)))).alias("p"))
+    return fitted.transform(with_features(every, terms)).select("doc_id", "mark", "n_words", F.array(*(p[k] if k < n else F.lit(0.0) for k in range(len(DOMAINS)))).alias("p"))
 
 
 def rates(members: DataFrame, mix: Mix) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .seqhash import chunks, mix
+from .shared import small_batches
 
 END, PAD = 0xFF, 0xFE
 _ROUNDS = 4
@@ -131,7 +132,7 @@ def materialise(docs: DataFrame, folder: str, length: int = 2048, per_shard: int
             yield _rows([record(parts)], names)
         close()
 
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, "shard int, slot long, offset int, sequence long, doc_id long, ids binary")
+    cut = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, "shard int, slot long, offset int, sequence long, doc_id long, ids binary")
     cut = cut.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot", "offset")
     return cut.mapInArrow(write, "slot long, shard int, sequence long, first_doc_id long, n_ids int, sha256 string")
 

@@ -43,23 +43,23 @@ def _repeat_words(hashes: Column, repeated: Column) -> Column:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of every row. Equal windows are
+    """doc_id, mark (a hash of the text), lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of every row. Equal windows are
     found by their 64-bit hashes."""
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),
         F.char_length(F.regexp_replace(text, f"[^{_SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
         F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(_SPACES)) != "").alias("lines"),
         F.btrim(text, F.lit(_SPACES)).alias("text"))
-    d = d.select("doc_id", "lang", "source", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+    d = d.select("doc_id", "mark", "lang", "source", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
                  F.when(F.col("text") != "", F.split("text", _SPLIT)).otherwise(F.array().cast("array<string>")).alias("words"))
-    d = d.select("doc_id", "lang", "source", "n_symbols", "n_dup_lines", F.size("words").cast("long").alias("n_words"),
+    d = d.select("doc_id", "mark", "lang", "source", "n_symbols", "n_dup_lines", F.size("words").cast("long").alias("n_words"),
                  F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
     h = F.col("h")
     pairs = F.zip_with(h, F.slice(h, 2, F.size(h)), lambda a, b: F.xxhash64(a, b))
-    d = d.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+    d = d.select("doc_id", "mark", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                  F.slice(F.zip_with(pairs, F.slice(h, 3, F.size(h)), lambda a, b: F.xxhash64(a, b)), 1, F.greatest(F.size(h) - 2, F.lit(0))).alias("windows"))
-    counts = ("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines")
+    counts = ("doc_id", "mark", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines")
     ordered = F.col("ordered")
     d = d.select(*counts, "windows", F.sort_array("windows").alias("ordered"))
     d = d.select(*counts, "windows", F.array_distinct(F.filter(ordered, lambda x, i: F.get(ordered, i - 1) == x)).alias("repeated"))

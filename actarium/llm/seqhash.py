@@ -16,7 +16,7 @@ _POWERS: dict[str, np.ndarray] = {}
 #: Bytes that separate words: space and 09 to 0D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def _powers(kind: str, base: int, n: int) -> np.ndarray:

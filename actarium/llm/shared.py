@@ -31,6 +31,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Arrow batches of a few MB, so that a task's memory does not follow the length of the texts. Bounds the session's
+    setting only where that is larger."""
+    conf, most = df.sparkSession.conf, 4 << 20
+    kept = conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    if not kept or not kept.isdigit() or not 0 < int(kept) <= most:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
