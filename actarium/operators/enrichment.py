@@ -295,14 +295,15 @@ def question_context(ranked: DataFrame, key: str = "query_id") -> DataFrame:
     return context_pack(ranked, key, [F.col("rank")], line, 8, "\n\n")
 
 
-def align_indexed(items: DataFrame, answers: DataFrame, key: str = "edition_id", n: int = 15) -> DataFrame:
+def align_indexed(items: DataFrame, answers: DataFrame, key: str = "edition_id", n: int | None = None) -> DataFrame:
     """F15 - classifications by item number mapped back to the numbered items; unanswered items are 'outro'.
 
-    items: key, idx, mention_id, page, excerpt; answers: key, i, classificacao, confianca (the last answer of a number wins).
+    n: items that were asked for (all, if not given). items: key, idx, mention_id, page, excerpt; answers: key, i, classificacao, confianca (the last answer of a number wins).
     """
     a = answers.where(F.col("i").isNotNull()).groupBy(key, F.col("i").alias("idx")).agg(
         F.max_by(F.struct("classificacao", "confianca"), "seq").alias("a"))
-    return items.where(F.col("idx") <= n).join(a, [key, "idx"], "left").select(
+    asked = items if n is None else items.where(F.col("idx") <= n)
+    return asked.join(a, [key, "idx"], "left").select(
         key, "idx", "mention_id", "page", F.substring(text("excerpt"), 1, 200).alias("excerpt"),
         F.lower(F.coalesce(F.nullif(F.col("a.classificacao"), F.lit("")), F.lit("outro"))).alias("class"), F.col("a.confianca").alias("score"))
 

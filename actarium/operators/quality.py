@@ -168,33 +168,34 @@ def post_process(acts: DataFrame, editions: DataFrame, cfg: DetectionConfig, as_
 
 
 def reenrich_queue(acts: DataFrame, editions: DataFrame, k: int = 20, month: str = "", q: QualityConfig = QualityConfig()) -> DataFrame:
-    """G6 - acts worth another enrichment: pool of the newest max(6k, 40), weighted, heaviest first, older first on ties."""
-    k = max(1, min(200, k))
+    """G6 - acts worth another enrichment: all of them weighted, heaviest first, older first on ties; the first k."""
+    return weighed_queue(acts, editions, month, q).orderBy(F.desc("weight"), F.coalesce("pub_date", F.lit("")), F.desc("act_id")).limit(k)
+
+
+def weighed_queue(acts: DataFrame, editions: DataFrame, month: str = "", q: QualityConfig = QualityConfig()) -> DataFrame:
+    """G6 - all acts worth another enrichment, with their weight."""
     weak = (~nonblank("summary") | ~nonblank("organ") | ~nonblank("act_type") | (F.coalesce("enriched", F.lit(0)) == 0)
             | (F.lower(text("confidence_level")) == "revisar"))
     c = acts.where((F.coalesce("attempts", F.lit(0)) < q.max_attempts) & (F.lower(text("enrich_status")) != "esgotado") & weak)
     j = c.join(editions.select("edition_id", "pub_date"), "edition_id")
     if month:
         j = j.where(F.col("pub_date").startswith(month))
-    pool = j.orderBy(F.desc_nulls_last("pub_date"), F.desc("act_id")).limit(max(k * 6, 40))
     weight = (
         F.when(~nonblank("summary"), 20).otherwise(0) + F.when(is_generic_type("act_type"), 15).otherwise(0) + F.when(~nonblank("organ"), 12).otherwise(0)
         + F.when(~nonblank("value") & any_contains(fold(text("act_type")), fixed.REQUEUE_VALUE_TYPES), 10).otherwise(0)
         + F.when(F.coalesce("enriched", F.lit(0)) == 0, 8).otherwise(0)
         + F.when((F.lower(text("confidence_level")) == "revisar") & ~filled("summary"), 5).otherwise(0))
     text_ = strip(F.coalesce(F.nullif(F.col("excerpt"), F.lit("")), F.nullif(F.col("subject"), F.lit("")), optional(acts, "corrected_text"), F.lit("")))
-    return pool.withColumn("excerpt", text_).where(F.length("excerpt") > 0).withColumn("weight", weight).orderBy(
-        F.desc("weight"), F.coalesce("pub_date", F.lit("")), F.desc("act_id")).limit(k)
+    return j.withColumn("excerpt", text_).where(F.length("excerpt") > 0).withColumn("weight", weight)
 
 
 def weak_acts(acts: DataFrame, editions: DataFrame, k: int = 10) -> DataFrame:
     """G7 - acts without summary or value; contract-like ones first."""
     j = acts.where(~nonblank("summary") | ~nonblank("value")).join(editions.select("edition_id", "pub_date"), "edition_id")
-    pool = j.orderBy(F.desc_nulls_last("pub_date"), F.desc("act_id")).limit(max(k * 4, 20))
     kind = fold(text("act_type"))
     bonus = sum((F.when(F.contains(kind, F.lit(w)), 10).otherwise(0) for w in fixed.WEAK_BONUS_TYPES), F.lit(0))
     bonus = bonus + F.when(~nonblank("value"), 3).otherwise(0) + F.when(~nonblank("summary"), 2).otherwise(0)
-    return pool.withColumn("bonus", bonus).orderBy(F.desc("bonus"), F.coalesce("pub_date", F.lit("")), F.desc("act_id")).limit(k)
+    return j.withColumn("bonus", bonus).orderBy(F.desc("bonus"), F.coalesce("pub_date", F.lit("")), F.desc("act_id")).limit(k)
 
 
 # ---- gaps ----------------------------------------------------------------------------------
@@ -281,14 +282,14 @@ def only_mentions(editions: DataFrame, acts: DataFrame, open_only: bool = True)
 
 
 def operational_summary(acts: DataFrame, editions: DataFrame, q: QualityConfig = QualityConfig()) -> DataFrame:
-    """G12 - ten counters in one row. Each part is a one-row aggregate; the queue counter looks at 80 acts."""
+    """G12 - ten counters in one row. Each part is a one-row aggregate over all its rows."""
     lv = F.lower(text("confidence_level"))
     a = acts.agg(F.count_if(lv == "revisar").alias("level_review"), F.count_if(lv == "alta").alias("level_high"), F.count_if(lv == "media").alias("level_medium"),
                  F.count_if(F.col("anomaly") == 1).alias("anomalies"), F.count_if(F.contains(text("flags"), F.lit("numero_corrigido"))).alias("year_fixes"))
     e = editions.agg(F.count_if(F.col("gap_status") == "pendente").alias("gaps_open"), F.count_if(F.col("gap_severity") == "under").alias("gaps_under"),
                      F.count_if(F.col("gap_severity") == "critical").alias("gaps_critical"))
     m = only_mentions(editions, acts).agg(F.count("*").alias("only_mention"))
-    r = reenrich_queue(acts, editions, 80, q=q).agg(F.count("*").alias("requeue"))
+    r = weighed_queue(acts, editions, q=q).agg(F.count("*").alias("requeue"))
     return one_row(a, e, m, r)
 
 

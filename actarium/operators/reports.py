@@ -166,16 +166,16 @@ def edition_board(editions: DataFrame, acts: DataFrame, mentions: DataFrame, job
 
 
 def job_board(jobs: DataFrame, k: int = 200, first_stage: str = "baixando PDF") -> DataFrame:
-    """I12 - the last k job rows grouped into runs: a run starts at the download stage, at the first row of an edition, or
-    at a row without edition. Worst status and last update per run. The rows are cut to k first."""
-    j = jobs.orderBy(F.desc("job_id")).limit(k)
+    """I12 - the k newest runs, by their first row: a run starts at the download stage, at the first row of an edition, or
+    at a row without edition. Worst status and last update per run."""
+    j = jobs
     key = F.coalesce(F.col("edition_id").cast("string"), F.concat(F.lit("none-"), F.col("job_id").cast("string")))
     w = Window.partitionBy("_key").orderBy("job_id")
     j = j.withColumn("_key", key).withColumn("_run", F.sum(F.when((F.row_number().over(w) == 1) | (F.col("stage") == first_stage), 1).otherwise(0)).over(w))
     rank = F.when(F.col("status") == "erro", 3).when(F.col("status") == "rodando", 2).when(F.col("status") == "aviso", 1).otherwise(0)
     g = j.groupBy("_key", "_run").agg(F.first("edition_id").alias("edition_id"), F.min("job_id").alias("first_job"), F.count("*").alias("n_jobs"), F.max(rank).alias("r"), F.max("updated_at").alias("updated_at"))
     status = F.when(F.col("r") == 3, "erro").when(F.col("r") == 2, "rodando").when(F.col("r") == 1, "aviso").otherwise("concluido")
-    return g.select("edition_id", "first_job", "n_jobs", status.alias("status"), "updated_at")
+    return g.orderBy(F.desc("first_job")).limit(k).select("edition_id", "first_job", "n_jobs", status.alias("status"), "updated_at")
 
 
 def job_counts(jobs: DataFrame) -> DataFrame:
@@ -195,9 +195,8 @@ def job_activity(jobs: DataFrame, editions: DataFrame) -> DataFrame:
 
 
 def live_state(jobs: DataFrame) -> DataFrame:
-    """I13 - per edition: has it a running row among its last 20, and which stage runs."""
-    w = Window.partitionBy("edition_id").orderBy(F.desc("job_id"))
-    j = jobs.where("edition_id is not null").withColumn("_rn", F.row_number().over(w)).where("_rn <= 20")
+    """I13 - per edition: its rows, has it a running one, and which stage runs."""
+    j = jobs.where("edition_id is not null")
     run = F.col("status") == "rodando"
     return j.groupBy("edition_id").agg(F.count("*").alias("n_jobs"), F.max(run).alias("has_running"), F.max_by("stage", F.when(run, F.col("job_id"))).alias("current_stage"))
 

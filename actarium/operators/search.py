@@ -82,18 +82,17 @@ def pending_queue(editions: DataFrame, as_of: str, k: int | None = None, recent_
 
 
 def agent_pick(editions: DataFrame, k: int, as_of: str, cfg: DetectionConfig, since: str | None = None, q: QualityConfig = QualityConfig()) -> DataFrame:
-    """H4 - over-fetch, then re-rank by recency, title and stored file."""
+    """H4 - the k best waiting editions by recency, title and stored file; all of them are scored."""
     e = editions.where((F.col("processed") == 0) & (F.coalesce("failures", F.lit(0)) < q.quarantine_failures))
     if since:
         e = e.where(F.col("pub_date").isNull() | (F.col("pub_date") >= since))
     base = [F.coalesce("priority", F.lit(1)).desc(), F.coalesce("candidacy", F.lit(0)).desc(), F.desc_nulls_last("pub_date"), F.desc("edition_id")]
-    pool = e.orderBy(*base).limit(max(k * 8, 40))
     age = F.date_diff(F.lit(as_of).cast("date"), F.try_to_date(F.substring(text("pub_date"), 1, 10), "yyyy-MM-dd"))
     score = (
         10 * F.coalesce("priority", F.lit(0)) + F.coalesce("candidacy", F.lit(0)) + F.when(age <= 7, 50).when(age <= 30, 25).when(age <= 120, 10).otherwise(0)
         + F.when(F.contains(fold(text("title")), F.lit(cfg.key)), 40).otherwise(0) + F.when(filled("file_path"), 15).otherwise(0)
         + F.when(filled("file_path") & filled("text_path"), 5).otherwise(0))
-    return pool.withColumn("pick_score", score.cast("int")).orderBy(F.desc("pick_score"), *base).limit(k)
+    return e.withColumn("pick_score", score.cast("int")).orderBy(F.desc("pick_score"), *base).limit(k)
 
 
 def select_batch(editions: DataFrame, as_of: str, month: str | None = None, last_days: int | None = None, k: int | None = None, exclude_url: str | None = None,

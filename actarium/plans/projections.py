@@ -225,7 +225,7 @@ FROM {lineitem}
 FILES = """
 SELECT 'edicoes/' || CAST(d AS STRING) || CASE l_linestatus WHEN 'F' THEN '.pdf' ELSE '.ocr.json' END AS path,
   CAST(sum(l_quantity) * 100 AS BIGINT) AS bytes, CAST(max(l_shipdate) AS TIMESTAMP) AS modified
-FROM (SELECT CAST(l_shipdate AS DATE) AS d, l_linestatus, l_quantity, l_shipdate FROM {lineitem} WHERE l_returnflag = 'A') s
+FROM (SELECT CAST(l_shipdate AS DATE) AS d, l_linestatus, l_quantity, l_shipdate FROM {lineitem}) s
 GROUP BY d, l_linestatus
 """
 

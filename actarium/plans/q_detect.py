@@ -278,7 +278,7 @@ _HASH = f"md5(CAST(page AS VARCHAR) || '|' || {Q.squeeze('excerpt')})"
 
 @query("D6_upsert_mentions", f"""
 WITH old AS (SELECT edition_id, page, excerpt, term, notified, {_HASH} AS hash FROM gz_mentions WHERE edition_id % 2 = 0 OR notified = 1),
-new AS (SELECT edition_id, page, excerpt, term, {_HASH} AS hash FROM gz_mentions WHERE edition_id % 3 = 0),
+new AS (SELECT edition_id, page, excerpt, term, {_HASH} AS hash FROM gz_mentions WHERE edition_id % 2 = 1 OR edition_id % 3 = 0),
 kept AS (SELECT * FROM old WHERE notified = 1 OR edition_id NOT IN (SELECT edition_id FROM new)),
 one AS (SELECT edition_id, hash, min((page, excerpt, term)) AS r FROM new GROUP BY ALL)
 SELECT edition_id, page, excerpt, term, notified, hash FROM kept
@@ -286,7 +286,7 @@ UNION ALL SELECT edition_id, r[1], r[2], r[3], CAST(0 AS INTEGER), hash FROM one
 def _(t):
     m = t.gz_mentions.drop("mention_id")
     old = m.where("edition_id % 2 = 0 OR notified = 1")
-    new = m.where("edition_id % 3 = 0").drop("notified")
+    new = m.where("edition_id % 2 = 1 OR edition_id % 3 = 0").drop("notified")
     return D.upsert_mentions(old, new)
 
 

@@ -239,7 +239,7 @@ def _(t):
 
 @query("F15_align_indexed", f"""WITH {_PARSED}, it AS (SELECT edition_id, CAST(row_number() OVER (PARTITION BY edition_id ORDER BY page, mention_id) AS INTEGER) AS idx, mention_id, page, excerpt FROM gz_mentions),
 an AS (SELECT a.edition_id, p.i AS idx, arg_max_null(p.classificacao, p.act_id) AS c FROM par p JOIN gz_acts a USING (act_id) WHERE p.ok AND p.i IS NOT NULL GROUP BY ALL)
-SELECT it.edition_id, idx, mention_id, page, excerpt[:200] AS excerpt, lower(coalesce(nullif(c, ''), 'outro')) AS "class" FROM it LEFT JOIN an USING (edition_id, idx) WHERE idx <= 15""")
+SELECT it.edition_id, idx, mention_id, page, excerpt[:200] AS excerpt, lower(coalesce(nullif(c, ''), 'outro')) AS "class" FROM it LEFT JOIN an USING (edition_id, idx)""")
 def _(t):
     from pyspark.sql import Window
     m = t.gz_mentions

@@ -51,13 +51,13 @@ def _(t):
 
 
 @query("B6_snippet", """
-SELECT doc_id, '...' || trim(regexp_replace(substr(text, greatest(0, p - 120) + 1, p + 2 + 120 - greatest(0, p - 120)), '\\s+', ' ', 'g')) || '...' AS snippet,
-  substr(text, greatest(0, p - 180) + 1, p + 2 + 180 - greatest(0, p - 180)) AS context
-FROM (SELECT doc_id, text, instr(lower(text), 'de') - 1 AS p FROM documents) WHERE p >= 0""")
+SELECT doc_id, CASE WHEN p >= 0 THEN '...' || trim(regexp_replace(substr(text, greatest(0, p - 120) + 1, p + 2 + 120 - greatest(0, p - 120)), '\\s+', ' ', 'g')) || '...' END AS snippet,
+  CASE WHEN p >= 0 THEN substr(text, greatest(0, p - 180) + 1, p + 2 + 180 - greatest(0, p - 180)) END AS context
+FROM (SELECT doc_id, text, instr(lower(text), 'de') - 1 AS p FROM documents)""")
 def _(t):
-    d = t.documents.withColumn("p", F.instr(F.lower("text"), "de") - 1).where("p >= 0")
+    d = t.documents.withColumn("p", F.instr(F.lower("text"), "de") - 1)
     p = F.col("p")
-    return d.select("doc_id", T.snippet("text", p, p + 2).alias("snippet"), T.context("text", p, p + 2).alias("context"))
+    return d.select("doc_id", F.when(p >= 0, T.snippet("text", p, p + 2)).alias("snippet"), F.when(p >= 0, T.context("text", p, p + 2)).alias("context"))
 
 
 @query("B7_abbreviate", f"""SELECT doc_id, CASE WHEN length(s) <= 150 THEN s ELSE s[:147] || '...' END AS short

@@ -106,17 +106,17 @@ def _(t):
 
 _FT = Q.fold(Q.txt("act_type"))
 _REQ = f"""p0 AS (SELECT a.*, e.pub_date FROM gz_acts a JOIN gz_editions e USING (edition_id) WHERE coalesce(attempts, 0) < 3 AND coalesce(enrich_status, '') <> 'esgotado' AND (NOT {Q.nonblank('summary')} OR NOT {Q.nonblank('organ')} OR NOT {Q.nonblank('act_type')}
-  OR coalesce(enriched, 0) = 0 OR coalesce(confidence_level, '') = 'revisar') ORDER BY pub_date DESC NULLS LAST, act_id DESC LIMIT {{pool}}),
+  OR coalesce(enriched, 0) = 0 OR coalesce(confidence_level, '') = 'revisar')),
 p1 AS (SELECT *, CASE WHEN NOT {Q.nonblank('summary')} THEN 20 ELSE 0 END + CASE WHEN {Q.generic_type('act_type')} THEN 15 ELSE 0 END + CASE WHEN NOT {Q.nonblank('organ')} THEN 12 ELSE 0 END
   + CASE WHEN NOT {Q.nonblank('value')} AND {Q.any_of(_FT, fixed.REQUEUE_VALUE_TYPES)} THEN 10 ELSE 0 END + CASE WHEN coalesce(enriched, 0) = 0 THEN 8 ELSE 0 END + CASE WHEN confidence_level = 'revisar' AND coalesce(summary, '') = '' THEN 5 ELSE 0 END AS weight FROM p0)"""
 
 
-@query("G6_reenrich_queue", f"WITH {_REQ.replace('{pool}', '120')} SELECT act_id, pub_date, CAST(weight AS INTEGER) AS weight FROM p1 ORDER BY weight DESC, coalesce(pub_date, ''), act_id DESC LIMIT 20")
+@query("G6_reenrich_queue", f"WITH {_REQ} SELECT act_id, pub_date, CAST(weight AS INTEGER) AS weight FROM p1 ORDER BY weight DESC, coalesce(pub_date, ''), act_id DESC LIMIT 20")
 def _(t):
     return G.reenrich_queue(t.gz_acts, t.gz_editions, 20).select("act_id", "pub_date", "weight")
 
 
-@query("G7_weak_acts", f"""WITH p AS (SELECT a.*, e.pub_date FROM gz_acts a JOIN gz_editions e USING (edition_id) WHERE NOT {Q.nonblank('summary')} OR NOT {Q.nonblank('value')} ORDER BY pub_date DESC NULLS LAST, act_id DESC LIMIT 40)
+@query("G7_weak_acts", f"""WITH p AS (SELECT a.*, e.pub_date FROM gz_acts a JOIN gz_editions e USING (edition_id) WHERE NOT {Q.nonblank('summary')} OR NOT {Q.nonblank('value')})
 SELECT act_id, pub_date, CAST({' + '.join(f"CASE WHEN contains({_FT}, '{w}') THEN 10 ELSE 0 END" for w in fixed.WEAK_BONUS_TYPES)} + CASE WHEN NOT {Q.nonblank('value')} THEN 3 ELSE 0 END + CASE WHEN NOT {Q.nonblank('summary')} THEN 2 ELSE 0 END AS INTEGER) AS bonus FROM p
 ORDER BY bonus DESC, coalesce(pub_date, ''), act_id DESC LIMIT 10""")
 def _(t):
@@ -171,10 +171,10 @@ def _(t):
 
 
 _OM = "SELECT count(*) FROM gz_editions e WHERE has_target = 1 AND (review IS NULL OR review IN ('', 'pendente')) AND NOT EXISTS (SELECT 1 FROM gz_acts a WHERE a.edition_id = e.edition_id)"
-_OPS = f"""{_REQ.replace('{pool}', '480')}, ops AS (SELECT (SELECT count(*) FROM gz_acts WHERE confidence_level = 'revisar') AS level_review, (SELECT count(*) FROM gz_acts WHERE confidence_level = 'alta') AS level_high,
+_OPS = f"""{_REQ}, ops AS (SELECT (SELECT count(*) FROM gz_acts WHERE confidence_level = 'revisar') AS level_review, (SELECT count(*) FROM gz_acts WHERE confidence_level = 'alta') AS level_high,
   (SELECT count(*) FROM gz_acts WHERE confidence_level = 'media') AS level_medium, (SELECT count(*) FROM gz_acts WHERE anomaly = 1) AS anomalies, (SELECT count(*) FROM gz_acts WHERE flags LIKE '%numero_corrigido%') AS year_fixes,
   (SELECT count(*) FROM gz_editions WHERE gap_status = 'pendente') AS gaps_open, (SELECT count(*) FROM gz_editions WHERE gap_severity = 'under') AS gaps_under, (SELECT count(*) FROM gz_editions WHERE gap_severity = 'critical') AS gaps_critical,
-  ({_OM}) AS only_mention, (SELECT least(80, count(*)) FROM p1) AS requeue)"""
+  ({_OM}) AS only_mention, (SELECT count(*) FROM p1) AS requeue)"""
 
 
 @query("G12_operational_summary", f"WITH {_OPS} SELECT * FROM ops")

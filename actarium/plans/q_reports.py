@@ -96,9 +96,9 @@ def _(t):
     return R.edition_board(t.gz_editions, t.gz_acts, t.gz_mentions, t.gz_jobs)
 
 
-@query("I12_job_board", """WITH l AS (SELECT *, coalesce(CAST(edition_id AS VARCHAR), 'none-' || job_id) AS k FROM gz_jobs ORDER BY job_id DESC LIMIT 200),
+@query("I12_job_board", """WITH l AS (SELECT *, coalesce(CAST(edition_id AS VARCHAR), 'none-' || job_id) AS k FROM gz_jobs),
 r AS (SELECT *, sum(CASE WHEN p IS NULL OR stage = 'baixando PDF' THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY job_id) AS run FROM (SELECT *, lag(job_id) OVER (PARTITION BY k ORDER BY job_id) AS p FROM l))
-SELECT any_value(edition_id) AS edition_id, min(job_id) AS first_job, count(*) AS n_jobs, CASE WHEN bool_or(status = 'erro') THEN 'erro' WHEN bool_or(status = 'rodando') THEN 'rodando' WHEN bool_or(status = 'aviso') THEN 'aviso' ELSE 'concluido' END AS status, strftime(max(updated_at), '%Y-%m-%d %H:%M:%S') AS updated_at FROM r GROUP BY k, run""")
+SELECT any_value(edition_id) AS edition_id, min(job_id) AS first_job, count(*) AS n_jobs, CASE WHEN bool_or(status = 'erro') THEN 'erro' WHEN bool_or(status = 'rodando') THEN 'rodando' WHEN bool_or(status = 'aviso') THEN 'aviso' ELSE 'concluido' END AS status, strftime(max(updated_at), '%Y-%m-%d %H:%M:%S') AS updated_at FROM r GROUP BY k, run ORDER BY first_job DESC LIMIT 200""")
 def _(t):
     return R.job_board(t.gz_jobs).withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss"))
 
@@ -114,7 +114,7 @@ def _(t):
     return R.job_counts(t.gz_jobs)
 
 
-@query("I13_live_state", "SELECT edition_id, count(*) AS n_jobs, bool_or(status = 'rodando') AS has_running, arg_max(stage, job_id) FILTER (status = 'rodando') AS current_stage FROM (SELECT *, row_number() OVER (PARTITION BY edition_id ORDER BY job_id DESC) AS rn FROM gz_jobs WHERE edition_id IS NOT NULL) WHERE rn <= 20 GROUP BY 1")
+@query("I13_live_state", "SELECT edition_id, count(*) AS n_jobs, bool_or(status = 'rodando') AS has_running, arg_max(stage, job_id) FILTER (status = 'rodando') AS current_stage FROM gz_jobs WHERE edition_id IS NOT NULL GROUP BY 1")
 def _(t):
     return R.live_state(t.gz_jobs)
 

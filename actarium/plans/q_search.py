@@ -56,7 +56,7 @@ def _(t):
     return H.pending_queue(t.gz_editions, AS_OF_DAY, recent_days=120, include_quarantine=True).select("edition_id", "pub_date")
 
 
-@query("H4_agent_pick", f"""WITH p AS (SELECT * FROM gz_editions WHERE processed = 0 AND failures < 3 ORDER BY coalesce(priority, 1) DESC, coalesce(candidacy, 0) DESC, pub_date DESC NULLS LAST, edition_id DESC LIMIT 80)
+@query("H4_agent_pick", f"""WITH p AS (SELECT * FROM gz_editions WHERE processed = 0 AND failures < 3)
 SELECT edition_id, CAST(10 * coalesce(priority, 0) + coalesce(candidacy, 0) + CASE WHEN DATE '{AS_OF_DAY}' - CAST(pub_date AS DATE) <= 7 THEN 50 WHEN DATE '{AS_OF_DAY}' - CAST(pub_date AS DATE) <= 30 THEN 25 WHEN DATE '{AS_OF_DAY}' - CAST(pub_date AS DATE) <= 120 THEN 10 ELSE 0 END
   + CASE WHEN contains(lower(title), '{KEY}') THEN 40 ELSE 0 END + CASE WHEN file_path IS NOT NULL THEN 15 ELSE 0 END + CASE WHEN file_path IS NOT NULL AND text_path IS NOT NULL THEN 5 ELSE 0 END AS INTEGER) AS pick_score FROM p
 ORDER BY pick_score DESC, coalesce(priority, 1) DESC, coalesce(candidacy, 0) DESC, pub_date DESC NULLS LAST, edition_id DESC LIMIT 10""")

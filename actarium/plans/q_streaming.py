@@ -26,9 +26,9 @@ def _(t):
         late = F.lit(n == 2)
         part = e if n == 1 else e.where("edition_id % 4 > 0")
         part.select("url", F.when((F.col("edition_id") % 3 == 0) & late, "").otherwise(F.concat("title", F.lit(f" v{n}"))).alias("title"),
-                    F.when((F.col("edition_id") % 2 == 0) & late, F.lit(None)).otherwise(F.lit(f"2002-01-0{n}")).alias("pub_date"), F.lit(n).alias("seq")).coalesce(1).write.mode("append").parquet(src)
+                    F.when((F.col("edition_id") % 2 == 0) & late, F.lit(None)).otherwise(F.lit(f"2002-01-0{n}")).alias("pub_date"), F.lit(n).alias("seq")).write.mode("append").parquet(src)
     table = S.EditionTable(t.spark, tab)
-    S.stream_editions(S.read_stream(t.spark, src, "url string, title string, pub_date string, seq int"), table, ckpt)
+    S.stream_editions(S.read_stream(t.spark, src, "url string, title string, pub_date string, seq int", 4), table, ckpt)
     return table.read().select("url", "title", "pub_date")
 
 
@@ -55,8 +55,8 @@ def _(t):
 def _(t):
     src, ckpt, out = t.scratch("events"), t.scratch("ckpt"), t.scratch("alerts")
     e = _ev(t).select(F.col("user_id").cast("string").alias("key"), "ts")
-    e.coalesce(1).write.parquet(src)
-    S.to_parquet(S.cooldown_stream(S.read_stream(t.spark, src, e.schema)), out, ckpt)
+    e.write.parquet(src)
+    S.to_parquet(S.cooldown_stream(S.read_stream(t.spark, src, e.schema, 1000)), out, ckpt)
     return t.spark.read.parquet(out).select("key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
 
 
@@ -92,11 +92,11 @@ def _(t):
     return J.liveness(e, F.lit(AS_OF_TS).cast("timestamp"))
 
 
-@query("K7_failure_quarantine", """WITH a AS (SELECT user_id, event_id, event_type = 'purchase' AS ok, props FROM events WHERE event_type IN ('purchase', 'error', 'view')), l AS (SELECT user_id, max(event_id) FILTER (ok) AS lo FROM a GROUP BY 1),
+@query("K7_failure_quarantine", """WITH a AS (SELECT user_id, event_id, event_type = 'purchase' AS ok, props FROM events), l AS (SELECT user_id, max(event_id) FILTER (ok) AS lo FROM a GROUP BY 1),
 f AS (SELECT a.user_id, count(*) AS n, arg_max(props, event_id) AS m FROM a JOIN l USING (user_id) WHERE NOT ok AND (lo IS NULL OR event_id > lo) GROUP BY 1)
 SELECT l.user_id AS key, coalesce(n, 0) AS failures, m AS last_message, coalesce(n, 0) >= 3 AS quarantined FROM l LEFT JOIN f USING (user_id)""")
 def _(t):
-    a = t.events.where(F.col("event_type").isin("purchase", "error", "view")).select(
+    a = t.events.select(
         F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.col("event_type") == "purchase").alias("ok"), F.col("props").alias("message"))
     return J.failure_counts(a)
 
@@ -138,8 +138,8 @@ def _(t):
 def _(t):
     src, ckpt, out = t.scratch("jobs"), t.scratch("ckpt"), t.scratch("windows")
     j = t.gz_jobs
-    j.coalesce(1).write.parquet(src)
-    S.stream_job_windows(S.read_stream(t.spark, src, j.schema), out, ckpt)
+    j.write.parquet(src)
+    S.stream_job_windows(S.read_stream(t.spark, src, j.schema, 1000), out, ckpt)
     return t.spark.read.parquet(out).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "status", "n")
 
 
@@ -148,7 +148,7 @@ def _(t):
     src, ckpt, out = t.scratch("mentions"), t.scratch("ckpt"), t.scratch("once")
     m = t.gz_mentions.select("edition_id", "page", "excerpt", F.lit(AS_OF_TS).cast("timestamp").alias("seen_at"))
     for part in (m, m.where("page % 2 = 0")):  # the second delivery repeats half of the first
-        part.coalesce(1).write.mode("append").parquet(src)
+        part.write.mode("append").parquet(src)
     S.to_parquet(S.mentions_once(S.read_stream(t.spark, src, m.schema)).select("edition_id", "hash"), out, ckpt)
     return t.spark.read.parquet(out)
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import compute_once
+from ..operators.lineage import shared_folder
 from .projections import PROJECTIONS, STEPS
 
 RAW_TABLES = (
@@ -43,26 +44,21 @@ class Tables:
         return self.spark.sql(sql, **used)
 
     def spread(self, name: str) -> DataFrame:
-        """A table whose rows need much CPU: small inputs of few file splits are spread over all cores; inputs with
-        enough splits are left as they are. The long texts are computed once, as if they were stored."""
+        """A table whose rows need much CPU. It is read in its file splits, unless the session names a number of parts
+        (spark.actarium.spread) to deal it to. The long texts are computed once, as if they were stored."""
         source = {"gz_pages": "orders", "gz_acts": "orders", "gz_responses": "orders"}.get(name, name)
-        cores = self.spark.sparkContext.defaultParallelism
-        raw = getattr(self, source)
-        wide = raw if raw.rdd.getNumPartitions() >= cores else raw.repartition(cores)
+        raw, parts = getattr(self, source), self.spark.conf.get("spark.actarium.spread", None)
+        wide = raw.repartition(int(parts)) if parts else raw
         if source == name:
             return wide
         df = self._project(PROJECTIONS[name], {source: wide})
         return compute_once(df, **{c: F.col(c) for c in ("text", "excerpt", "summary", "response") if c in df.columns})
 
     def scratch(self, name: str) -> str:
-        """Folder for written results of a round-trip query, below the shared checkpoint folder if one is set."""
-        import tempfile
+        """Folder for written results of a round-trip query, below the shared checkpoint folder."""
         import uuid
 
-        base = self.spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="run-")
-        return f"{base}/{name}-{uuid.uuid4().hex}"
+        return f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def query(name: str, oracle: str | None = None):

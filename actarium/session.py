@@ -19,5 +19,6 @@ def local_session(cpus: str | None = None, app: str = "actarium") -> SparkSessio
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("ACTARIUM_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.actarium.spread", n)
         .getOrCreate()
     )
