@@ -268,11 +268,21 @@ def global_search(acts: DataFrame, editions: DataFrame, q: str) -> DataFrame:
         a.select(F.lit("act").alias("kind"), F.col("act_id").alias("id"), F.concat_ws(" ", "act_type", "number", "subject").alias("label")))
 
 
+def _stretches(organ: Column, starts: Column, size: int) -> Column:
+    return F.transform(starts, lambda i: organ.substr(i, F.lit(size)))
+
+
+def _heads(organ: Column) -> Column:
+    """All distinct stretches of up to three letters, the empty one included."""
+    every = F.sequence(F.lit(1), F.greatest(F.length(organ), F.lit(1)))
+    return F.array_distinct(F.flatten(F.array(F.array(F.lit("")), *(_stretches(organ, every, n) for n in (1, 2, 3)))))
+
+
 def act_timeline(acts: DataFrame, editions: DataFrame, targets: DataFrame, k: int = 12) -> DataFrame:
     """H9 - related acts of each target in order of time: same number, else acts of the contract chain of the same organ.
 
-    ``targets`` is a handful of acts chosen by the caller (a page shows one). Numbered targets meet the acts by an
-    equi-join; the others are few and are compared as a broadcast list."""
+    Numbered targets meet the acts by an equi-join; the others by the first letters of their organ, which any organ that
+    contains it holds somewhere."""
     num = F.lower(F.trim(text("number")))
     t = targets.select(F.col("act_id").alias("target_id"), num.alias("t_num"), fold(text("act_type")).alias("t_type"),
                        F.lower(F.substring(text("organ"), 1, 40)).alias("t_org"))
@@ -280,7 +290,8 @@ def act_timeline(acts: DataFrame, editions: DataFrame, targets: DataFrame, k: in
     by_number = a.join(t.where("t_num != ''").withColumnRenamed("t_num", "_num"), "_num").where("act_id != target_id").select("target_id", "act_id", "edition_id")
     chain = a.where(any_contains(fold(text("act_type")), fixed.CHAIN_TYPES)).select("act_id", "edition_id", F.lower(text("organ")).alias("_org"))
     loose = t.where("t_num = '' and t_type != ''")
-    by_chain = chain.join(F.broadcast(loose), F.contains(F.col("_org"), F.col("t_org"))).where("act_id != target_id").select("target_id", "act_id", "edition_id")
+    by_chain = chain.withColumn("_head", F.explode(_heads(F.col("_org")))).join(loose.withColumn("_head", F.substring("t_org", 1, 3)), "_head")
+    by_chain = by_chain.where(F.contains(F.col("_org"), F.col("t_org"))).where("act_id != target_id").select("target_id", "act_id", "edition_id")
     j = by_number.unionByName(by_chain).join(editions.select("edition_id", "pub_date"), "edition_id")
     w = Window.partitionBy("target_id").orderBy(F.asc_nulls_first("pub_date"), "act_id")
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
