@@ -20,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import Kind, covered, repeated, with_intervals
-from .shared import ranked
+from .repeats import Kind, covered, cut, repeated
+from .shared import ranked, small_batches
 
 
 class SuffixAutomaton:
@@ -79,10 +79,10 @@ def shard_spans(contents: list[np.ndarray], window: int) -> list[tuple[int, int,
 
 def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 5) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the kept words, joined by one space) of every row."""
-    rows = ranked(docs)
+    rows = small_batches(ranked(docs))
     found = repeated(rows, Kind(True, window, gram), lambda contents: shard_spans(contents, window))
 
-    def cut(batches):
+    def keep(batches):
         for batch in batches:
             counts, removed, kept = [], [], []
             for text, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "ends")), strict=True):
@@ -95,4 +95,4 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 5) -> DataFram
             columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array([k.decode() for k in kept], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return with_intervals(rows, found).mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return cut(rows, found, keep, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .seqhash import Rolling, chunks, mix, ragged, segments, window_min, word_hashes
 from .shared import written
 
-PATTERN_BITS = 26
+PATTERN_BITS, _DOCUMENT_BITS = 26, 24
 #: Runs of one key from which it is divided, and the number of further hashes.
 MANY, FURTHER = 64, 4
 
@@ -102,6 +102,33 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def bits_of(frame: DataFrame, bit, size: int) -> np.ndarray:
+    """A pattern of 2**size bits with those of the column set; combined in the tasks before it comes to the driver."""
+    words = frame.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+    pattern = np.zeros(1 << (size - 6), np.uint64)
+    pattern[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return pattern
+
+
+def has_bit(pattern: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return (pattern[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
+def parted(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, Callable[[Callable, str], DataFrame]]:
+    """docs in two: those that may be among the keys (rank, mark), by a bit pattern of a fixed size, and those that are not.
+    Only the first part needs a shuffle to be joined with them. The second one is given as a function that maps it."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits_of(keys, F.shiftrightunsigned("mark", 64 - _DOCUMENT_BITS), _DOCUMENT_BITS))
+
+    def side(batches, inside: bool):
+        for batch in batches:
+            yield batch.filter(pa.array(has_bit(shared.value, batch.column("mark").to_numpy().view(np.uint64) >> np.uint64(64 - _DOCUMENT_BITS)) == inside))
+
+    def others(fn: Callable, schema) -> DataFrame:
+        return docs.mapInArrow(lambda batches: fn(side(batches, False)), schema)
+
+    return docs.mapInArrow(lambda batches: side(batches, True), docs.schema), others
+
+
 def repeated(docs: DataFrame, kind: Kind, shard: Callable[[list[np.ndarray]], list[tuple[int, int, int]]]) -> DataFrame:
     """Intervals (rank, mark, start, end) of symbols that repeated windows cover, in `docs` (rank, mark, text).
 
@@ -112,11 +139,7 @@ def repeated(docs: DataFrame, kind: Kind, shard: Callable[[list[np.ndarray]], li
                 yield pa.RecordBatch.from_arrays([_long(runs(p, kind)[3])], names=["key"])
 
     twice = docs.select("text").mapInArrow(keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    bits = twice.select(F.shiftrightunsigned("key", 64 - PATTERN_BITS).alias("bit"))
-    words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
-    pattern = np.zeros(1 << (PATTERN_BITS - 6), np.uint64)
-    pattern[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(pattern)
+    shared = docs.sparkSession.sparkContext.broadcast(bits_of(twice, F.shiftrightunsigned("key", 64 - PATTERN_BITS), PATTERN_BITS))
 
     def candidates(batches):
         pattern = shared.value
@@ -124,8 +147,7 @@ def repeated(docs: DataFrame, kind: Kind, shard: Callable[[list[np.ndarray]], li
             rank, mark = batch.column("rank").to_numpy(), batch.column("mark").to_numpy()
             for first, p in packed(batch.column("text"), kind):
                 row, start, count, key, content = runs(p, kind)
-                bit = key >> np.uint64(64 - PATTERN_BITS)
-                keep = (pattern[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+                keep = has_bit(pattern, key >> np.uint64(64 - PATTERN_BITS))
                 at = first + row[keep]
                 columns = [pa.array(rank[at]), pa.array(mark[at]), pa.array(start[keep], pa.int32()), pa.array(count[keep], pa.int32()), _long(key[keep]), _long(content[keep])]
                 yield pa.RecordBatch.from_arrays(columns, names=["rank", "mark", "start", "windows", "key", "content"])
@@ -139,7 +161,8 @@ def repeated(docs: DataFrame, kind: Kind, shard: Callable[[list[np.ndarray]], li
     several = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
     wanted = kinds.join(several, "key").select("first.rank", "first.mark", F.struct(F.col("first.start").alias("start"), "windows", "key", "kinds").alias("run"))
     wanted = wanted.groupBy("rank", "mark").agg(F.collect_list("run").alias("runs"))
-    texts = docs.join(wanted, ["rank", "mark"]).dropDuplicates(["rank", "mark"]).select("rank", "mark", "text", "runs")
+    wanted = written(wanted, "wanted-runs")
+    texts = parted(docs, wanted)[0].join(wanted, ["rank", "mark"]).dropDuplicates(["rank", "mark"]).select("rank", "mark", "text", "runs")
 
     def contents(batches):
         for batch in batches:
@@ -185,11 +208,19 @@ def repeated(docs: DataFrame, kind: Kind, shard: Callable[[list[np.ndarray]], li
     return later.unionByName(inside)
 
 
-def with_intervals(docs: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Every row of docs with the list of its intervals (starts, ends); a document has no more of them than symbols."""
+def cut(docs: DataFrame, intervals: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """fn over Arrow batches of all rows of docs with the lists of their intervals (starts, ends; null: none). A document has no
+    more of them than symbols; documents without any are not shuffled."""
     lists = intervals.groupBy("rank", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    lists = lists.select("rank", "mark", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
-    return docs.join(lists, ["rank", "mark"], "left").select("doc_id", "text", "starts", "ends")
+    lists = written(lists.select("rank", "mark", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends")), "intervals")
+    inside, outside = parted(docs, lists)
+
+    def without(batches):
+        for batch in batches:
+            none = pa.nulls(batch.num_rows, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), none, none], names=["doc_id", "text", "starts", "ends"])
+
+    return inside.join(lists, ["rank", "mark"], "left").select("doc_id", "text", "starts", "ends").mapInArrow(fn, schema).unionByName(outside(lambda batches: fn(without(batches)), schema))
 
 
 def covered(n: int, starts: list[int] | None, ends: list[int] | None) -> np.ndarray:

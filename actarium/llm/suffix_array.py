@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import Kind, covered, repeated, with_intervals
-from .shared import ranked
+from .repeats import Kind, covered, cut, repeated
+from .seqhash import Rolling, segments
+from .shared import ranked, small_batches
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -98,6 +99,8 @@ def suffix_array(text: list[int]) -> list[int]:
 
 def shard_spans(contents: list[np.ndarray], window: int) -> list[tuple[int, int, int]]:
     """(content, start, end) of the stretches covered by windows that start earlier in the shard."""
+    kept = candidates(contents, window)
+    contents = [contents[i][a:b] for i, a, b in kept]
     raw = b"\0".join(c.tobytes() for c in contents)
     text, owner, first, full = [], [], [], []
     for i, c in enumerate(contents):
@@ -122,11 +125,12 @@ def shard_spans(contents: list[np.ndarray], window: int) -> list[tuple[int, int,
                     spans.setdefault(owner[m], []).append(m)
         before, members = here, [p]
     out = []
-    for i, places in spans.items():
+    for k, places in spans.items():
+        i, begin, _ = kept[k]
         places.sort()
         start = end = -1
         for p in places:
-            p -= first[i]
+            p += begin - first[k]
             if p > end:
                 if end >= 0:
                     out.append((i, start, end))
@@ -136,12 +140,29 @@ def shard_spans(contents: list[np.ndarray], window: int) -> list[tuple[int, int,
     return out
 
 
+def candidates(contents: list[np.ndarray], window: int) -> list[tuple[int, int, int]]:
+    """(content, start, end) of the stretches of windows whose hash occurs twice in the shard; no other window can repeat."""
+    text = np.concatenate([np.append(c.astype(np.int64) + 1, 0) for c in contents])
+    hashes = Rolling(text).grams(window, 4)
+    order = np.argsort(hashes)
+    same = hashes[order][1:] == hashes[order][:-1]
+    twice = np.zeros(len(text), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    out, at = [], 0
+    for i, c in enumerate(contents):
+        own = twice[at:at + len(c) - window + 1]
+        at += len(c) + 1
+        out += [(i, int(a), int(b) + window - 1) for a, b in zip(*segments(own), strict=True) if own[a]]
+    return out
+
+
 def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 24) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every row."""
-    rows = ranked(docs)
+    rows = small_batches(ranked(docs))
     found = repeated(rows, Kind(False, window, gram), lambda contents: shard_spans(contents, window))
 
-    def cut(batches):
+    def keep(batches):
         for batch in batches:
             sizes, removed, spans, kept = [], [], [], []
             for text, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "ends")), strict=True):
@@ -155,4 +176,4 @@ def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 24) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array(kept, pa.binary())],
                                              names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return with_intervals(rows, found).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return cut(rows, found, keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
