@@ -37,10 +37,10 @@ class Mix:
     weights: tuple[float, ...] = (0.95, 0.05, 0.0)
     protected: int = 0
     labelled: int = 20000
-    terms: int = 4096
-    least_documents: int = 10
+    terms: int = 1 << 16
+    least_documents: int = 20
     iterations: int = 50
-    regularisation: float = 1e-4
+    regularisation: float = 0.01
     steps: int = 40
     pull: float = 1e-3
 
@@ -80,7 +80,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, mix: Mix) -> DataFrame:
         only = int(classes[0]) if classes else 0
         return every.select("doc_id", "mark", "n_words", F.array(*(F.lit(float(k == only)) for k in range(len(DOMAINS)))).alias("p"))
     terms = CountVectorizer(inputCol="terms", outputCol="counted", vocabSize=mix.terms, minDF=mix.least_documents, binary=True).fit(training)
-    fitted = LogisticRegression(maxIter=mix.iterations, regParam=mix.regularisation, standardization=False, family="multinomial").fit(written(with_features(training, terms).select("features", "label"), "training"))
+    fitted = LogisticRegression(maxIter=mix.iterations, regParam=mix.regularisation, family="multinomial").fit(written(with_features(training, terms).select("features", "label"), "training"))
     p = vector_to_array("probability")
     n = fitted.numClasses
     return fitted.transform(with_features(every, terms)).select("doc_id", "mark", "n_words", F.array(*(p[k] if k < n else F.lit(0.0) for k in range(len(DOMAINS)))).alias("p"))
