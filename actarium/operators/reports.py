@@ -120,11 +120,11 @@ def value_keys(acts: DataFrame, exclude_news: bool = True) -> DataFrame:
 
 
 def sum_values(acts: DataFrame, dedup: bool = True, exclude_news: bool = True) -> DataFrame:
-    """I9 - raw and de-duplicated money totals. The maximum per key combines before the shuffle, so a key that holds a
+    """I9 - raw and de-duplicated money totals, summed as decimals so that the order of rows does not matter. The maximum per key combines before the shuffle, so a key that holds a
     third of the acts costs one row per task."""
-    v = value_keys(acts, exclude_news)
+    v = value_keys(acts, exclude_news).withColumn("amount", F.col("amount").cast("decimal(28,2)"))
     per = v.groupBy("value_key").agg(F.max("amount").alias("best"), F.sum("amount").alias("raw"), F.count("*").alias("n"))
-    agg = per.agg(F.coalesce(F.sum("best" if dedup else "raw"), F.lit(0.0)).alias("total"), F.coalesce(F.sum("raw"), F.lit(0.0)).alias("raw_total"),
+    agg = per.agg(F.coalesce(F.sum("best" if dedup else "raw").cast("double"), F.lit(0.0)).alias("total"), F.coalesce(F.sum("raw").cast("double"), F.lit(0.0)).alias("raw_total"),
                   F.coalesce(F.sum("n"), F.lit(0)).alias("n_valued"), (F.count("*") if dedup else F.coalesce(F.sum("n"), F.lit(0))).alias("n_unique"))
     return agg.withColumns({"total": F.round("total", 2), "raw_total": F.round("raw_total", 2)})
 
