@@ -37,11 +37,11 @@ class Mix:
     weights: tuple[float, ...] = (0.95, 0.05, 0.0)
     protected: int = 0
     labelled: int = 20000
-    terms: int = 1 << 16
+    terms: int = 1 << 15
     least_documents: int = 20
-    iterations: int = 50
+    iterations: int = 25
     regularisation: float = 0.01
-    steps: int = 40
+    steps: int = 30
     pull: float = 1e-3
 
 
@@ -49,17 +49,17 @@ def domain(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, 2.0).when(quality == 1, 0.0).otherwise(1.0)
 
 
-def _share(text: Column, pattern: str) -> Column:
-    return F.char_length(F.regexp_replace(text, pattern, "")) / F.greatest(F.char_length(text), F.lit(1))
+def _share(part: Column, pattern: str, text: Column) -> Column:
+    return F.char_length(F.regexp_replace(part, pattern, "")) / F.greatest(F.char_length(text), F.lit(1))
 
 
 def with_terms(docs: DataFrame) -> DataFrame:
-    """Adds n_words, terms (distinct words: letters only, lower case), and shares of kinds of characters."""
-    text = F.coalesce("text", F.lit(""))
-    bare = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
-    return docs.withColumns({
-        "n_words": F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"[\x20\x09-\x0D]+"))).cast("long"), "terms": F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")),
-        "symbols": _share(text, r"[\p{L}\p{N}\s.,]+"), "upper": _share(text, r"[^\p{Lu}]+"), "figures": _share(text, r"[^\p{N}]+")}).drop("text")
+    """Adds n_words (stretches of letters), terms (distinct ones, lower case), and shares of kinds of characters."""
+    text, rest = F.coalesce("text", F.lit("")), F.col("rest")
+    d = docs.withColumns({"words": F.array_remove(F.split(F.lower(text), r"[^\p{L}]+"), ""), "rest": F.regexp_replace(text, r"[\p{Ll}\s]+", "")})
+    return d.withColumns({
+        "n_words": F.size("words").cast("long"), "terms": F.array_distinct("words"), "symbols": _share(rest, r"[\p{L}\p{N}.,]+", text),
+        "upper": _share(rest, r"[^\p{Lu}]+", text), "figures": _share(rest, r"[^\p{N}]+", text)}).drop("text", "words", "rest")
 
 
 def with_features(termed: DataFrame, model: CountVectorizerModel) -> DataFrame:
