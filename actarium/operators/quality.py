@@ -335,6 +335,14 @@ def field_completeness(acts: DataFrame, editions: DataFrame | None = None, month
         "pct", F.when(F.col("total") > 0, F.round(100.0 * F.col("missing") / F.col("total"), 1)).otherwise(0.0))
 
 
+def incomplete_acts(acts: DataFrame, editions: DataFrame, month: str = "", k: int | None = None) -> DataFrame:
+    """G15 - acts without a number or a summary, newest first (the first k, if given)."""
+    j = acts.where(~nonblank("number") | ~nonblank("summary")).join(editions.select("edition_id", "pub_date"), "edition_id")
+    j = j.where(F.col("pub_date").startswith(month)) if month else j
+    out = j.select("act_id", "pub_date", "act_type", "number", filled("value").alias("has_value"), nonblank("summary").alias("has_summary")).orderBy(F.desc_nulls_last("pub_date"), F.desc("act_id"))
+    return out if k is None else out.limit(k)
+
+
 def neighbour_suspects(acts: DataFrame, cfg: DetectionConfig) -> DataFrame:
     """G16 - acts that name a neighbour and never the target, with the first neighbour of the list."""
     blob = fold(F.array_join(F.array(*[text(c) for c in ("organ", "summary", "subject", "excerpt")]), " "))

@@ -194,6 +194,11 @@ def job_activity(jobs: DataFrame, editions: DataFrame) -> DataFrame:
     return out.join(editions.select("edition_id", F.col("title").alias("edition_title"), "pub_date"), "edition_id", "left")
 
 
+def latest_actions(log: DataFrame, k: int = 30) -> DataFrame:
+    """I13 - the k newest rows of an action log (action_id, at, cycle, action, level, detail), newest first."""
+    return log.orderBy(F.desc("action_id")).limit(k)
+
+
 def live_state(jobs: DataFrame) -> DataFrame:
     """I13 - per edition: its rows, has it a running one, and which stage runs."""
     j = jobs.where("edition_id is not null")

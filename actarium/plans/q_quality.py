@@ -235,3 +235,9 @@ def _(t):
 @query("G20_renormalize_types", f"SELECT * FROM (SELECT act_id, act_type, {Q.act_type('act_type')} AS new_type FROM gz_acts WHERE coalesce(act_type, '') <> '') WHERE new_type <> act_type")
 def _(t):
     return G.renormalize_types(t.gz_acts)
+
+
+@query("G15_incomplete_acts", f"""SELECT a.act_id, e.pub_date, a.act_type, a.number, coalesce(a.value, '') <> '' AS has_value, {Q.nonblank('a.summary')} AS has_summary FROM gz_acts a JOIN gz_editions e USING (edition_id)
+WHERE NOT {Q.nonblank('a.number')} OR NOT {Q.nonblank('a.summary')}""")
+def _(t):
+    return G.incomplete_acts(t.gz_acts, t.gz_editions)

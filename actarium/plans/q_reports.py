@@ -273,3 +273,10 @@ def _(t):
     J.append_notifications(J.notification_log(n, AS_OF_DAY), path)
     log = t.spark.read.parquet(path).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
     return J.list_notifications(log, t.gz_editions)
+
+
+@query("I13_latest_actions", "SELECT event_id AS action_id, strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS at, user_id AS cycle, event_type AS action, CASE WHEN event_type = 'error' THEN 'erro' ELSE 'info' END AS level, props AS detail FROM events ORDER BY event_id DESC LIMIT 30")
+def _(t):
+    log = t.events.select(F.col("event_id").alias("action_id"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("at"), F.col("user_id").alias("cycle"), F.col("event_type").alias("action"),
+                          F.when(F.col("event_type") == "error", "erro").otherwise("info").alias("level"), F.col("props").alias("detail"))
+    return R.latest_actions(log)
