@@ -88,7 +88,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, size: int =
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = vocabulary(docs, size)
     tables = []
-    for part in (docs.join(target_ids.select("doc_id").distinct(), "doc_id", "left_semi"), docs):
+    # the target's ids grow with the corpus: they are merged with the documents at every size, not broadcast
+    for part in (docs.join(target_ids.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), docs):
         counts = pair_counts(part, words, size).toArrow()
         tables.append(losses(counts["pair"].to_numpy(), counts["n"].to_numpy(), size))
     shared = docs.sparkSession.sparkContext.broadcast((words, *tables))
