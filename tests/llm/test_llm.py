@@ -186,6 +186,60 @@ def test_near_duplicates_frequent_tokens(spark, monkeypatch):
     check_components(got, items)
 
 
+def components_of(items, size, percent):
+    """Least ids of the components, by brute force."""
+    sets = []
+    for _, t in items:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i:i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    label = list(range(len(items)))
+    for i in range(len(items)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if label[i] != label[j] and both and 100 * both >= percent * len(sets[i] | sets[j]):
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    return {items[i][0]: min(items[j][0] for j in range(len(items)) if label[j] == label[i]) for i in range(len(items))}
+
+
+def altered(rng, source, n):
+    """n words of a text changed, far apart, or its tail cut off."""
+    source = list(source)
+    if n < 0:
+        return " ".join(source[:n])
+    for k in range(n):
+        source[(2 * k + 1) * len(source) // (2 * n)] = prose(rng, 1)
+    return " ".join(source)
+
+
+@pytest.mark.parametrize("frequent, percent", [(64, 80), (3, 80), (3, 75)])
+def test_near_duplicates_at_lower_percentages(spark, monkeypatch, frequent, percent):
+    """Pairs near the border, at sizes of all tiers, with rare and with frequent tokens."""
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    rng = random.Random(11)
+    texts = []
+    for n in (6, 12, 25, 40, 55, 68, 80, 104, 150, 210, 262, 330, 520, 1100):
+        for _ in range(3):
+            source = prose(rng, n).split()
+            texts += [" ".join(source), altered(rng, source, -(n // 6)), altered(rng, source, -(n // 4)), altered(rng, source, max(1, n // 50)), altered(rng, source, max(1, n // 42))]
+    items = list(enumerate(texts))
+    got = jaccard.near_duplicates(spark.createDataFrame(items, "doc_id long, text string").repartition(3), size=5, percent=percent).collect()
+    want = components_of(items, 5, percent)
+    assert len(set(want.values())) < len(set(components_of(items, 5, 90).values()))
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_near_duplicates_stage(spark):
+    """The stage of the pipeline compares shingles of five words at 80 %: two words in a hundred may differ."""
+    rng = random.Random(12)
+    source = prose(rng, 100).split()
+    items = [(1, " ".join(source)), (2, altered(rng, source, 2)), (3, altered(rng, source, 3)), (4, prose(rng, 100))]
+    table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in items], "doc_id long, text string, lang string, source string, n_chars long")
+    assert components_of(items, 3, 90) == {1: 1, 2: 2, 3: 3, 4: 4}
+    assert components_of(items, 5, 80) == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, table, "").collect()) == [1, 3, 4]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(40, 50), (50, 60), (7, 7)] + [(100, k) for k in range(101, 160)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
