@@ -1,12 +1,15 @@
 """Cross-entropy difference of two n-gram models that share one vocabulary.
 
-The vocabulary holds the most frequent words of all documents (`size` - 2 of them, by count, then by hash; the others are one
-unknown word; 0 is the start of a text). The background model is estimated on all documents, the target model on those that
-the labels name; both are bigram models, interpolated with unigrams by Witten-Bell weights. The score of a document is the
-mean over its words of the target loss minus the background loss, in nats: the lower, the more it is like the target.
+The vocabulary holds all words of all documents; 0 is the start of a text. (A caller may name a `size`: then it holds the size
+- 2 most frequent words, by count, then by hash, and the others are one unknown word.) The background model is estimated on
+all documents, the target model on those that the labels name; both are bigram models, interpolated with unigrams by
+Witten-Bell weights. The score of a document is the mean over its words of the target loss minus the background loss, in
+nats: the lower, the more it is like the target.
 
-Counts cover the whole corpus: each task sums its own in a table of size x size cells, and sends those that are not zero. The
-table of losses has at most size x size cells whatever the corpus holds, and so may be broadcast (33 MB at 2048 words).
+Documents are dealt by their ids into blocks of some 8 MB, whose number grows with the input. A block counts its own
+bigrams, heads and words and sends each once, packed by buckets of their hashes; a bucket sums the counts of equal ones over
+the blocks and sends the sums back in the order in which each block's came. So a bigram that every document holds counts once
+per block, and the tables of counts, which grow with the input like the number of buckets, are nowhere whole.
 
 Defined results: documents without words have null losses and score; null text counts as empty; labels without a document
 and null ids are left out, repeated labels count once; repeated rows are scored and counted as rows.
@@ -16,11 +19,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .seqhash import chunks, lower_ascii, word_hashes
-from .shared import small_batches
+from .seqhash import chunks, lower_ascii, mix, word_hashes
+from .shared import small_batches, written
+
+#: Bytes of text of a block.
+BLOCK_BYTES = 8 << 20
+LEAST_BUCKETS = 64
+#: Ids below those of words: start of a text, unknown word. As second parts of a key: counts of a word as head, as a word, and kinds of its followers.
+_START, _UNKNOWN, _HEAD, _WORD, _KINDS = range(5)
 
 
 def _as_long(x: np.ndarray) -> pa.Array:
@@ -28,7 +38,7 @@ def _as_long(x: np.ndarray) -> pa.Array:
 
 
 def vocabulary(docs: DataFrame, size: int) -> np.ndarray:
-    """Hashes of the words, ascending; the id of a word is its place + 2."""
+    """Hashes of the words, ascending."""
     def count(batches):
         for batch in batches:
             for _, _, buf, starts in chunks(batch.column("text")):
@@ -40,68 +50,166 @@ def vocabulary(docs: DataFrame, size: int) -> np.ndarray:
     return np.sort(top.view(np.uint64))
 
 
-def pairs(buf: np.ndarray, starts: np.ndarray, words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """previous * size + own id of every word of some texts, and the number of words of each."""
-    hashes, _, _, first = word_hashes(lower_ascii(buf), starts)
-    at = np.searchsorted(words, hashes)
-    known = np.zeros(len(hashes), bool)
-    if len(words):
-        known = words[np.minimum(at, len(words) - 1)] == hashes
-    ids = np.where(known, at + 2, 1)
-    before = np.concatenate([[0], ids[:-1]]) if len(ids) else ids
-    before[first[:-1][first[:-1] < len(ids)]] = 0
-    return before * size + ids, np.diff(first)
-
-
-def pair_counts(docs: DataFrame, words: np.ndarray, size: int) -> DataFrame:
-    """(pair, n) over all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
-
-    def count(batches):
-        counts = np.zeros(size * size, np.int32)
-        for batch in batches:
-            for _, _, buf, starts in chunks(batch.column("text")):
-                np.add.at(counts, pairs(buf, starts, shared.value, size)[0], 1)
-        found = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(counts[found].astype(np.int64))], names=["pair", "n"])
-
-    return docs.select("text").mapInArrow(count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-
-
-def losses(pair: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
-    """-log p(word | previous) of every cell, single precision."""
-    counts = np.zeros((size, size), np.float32)
-    counts.ravel()[pair] = n
-    seen = counts.sum(axis=0, dtype=np.float64)
-    single = ((seen + 1) / (seen.sum() + size)).astype(np.float32)
-    total, kinds = counts.sum(axis=1, dtype=np.float64), np.count_nonzero(counts, axis=1)
-    denominator = np.maximum(total + kinds, 1)
-    share = np.where(total + kinds > 0, kinds / denominator, 1.0).astype(np.float32)
-    counts /= denominator.astype(np.float32)[:, None]
-    counts += share[:, None] * single[None, :]
-    np.log(counts, out=counts)
-    return np.negative(counts, out=counts).ravel()
-
-
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, size: int = 2048) -> DataFrame:
+def _bigrams(table: pa.Table, known: np.ndarray | None) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the documents of a block: ids, whether they belong to the target, their numbers of words, and previous and own id of every word."""
+    named = table.column("named").combine_chunks()
+    docs, ids = table.filter(pa.compute.invert(named)), table.filter(named).column("doc_id")
+    target = pa.compute.is_in(docs.column("doc_id"), value_set=ids.combine_chunks(), skip_nulls=True).to_numpy(zero_copy_only=False).astype(bool)
+    before, own, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for part in docs.column("text").chunks:
+        for _, _, buf, starts in chunks(part):
+            hashes, _, _, first = word_hashes(lower_ascii(buf), starts)
+            ids = np.maximum(hashes, np.uint64(_KINDS + 1))
+            if known is not None:
+                at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
+                ids = np.where(known[at] == hashes, ids, np.uint64(_UNKNOWN)) if len(known) else np.full(len(ids), _UNKNOWN, np.uint64)
+            previous = np.concatenate([np.array([_START], np.uint64), ids[:-1]]) if len(ids) else ids
+            previous[first[:-1][first[:-1] < len(ids)]] = _START
+            before.append(previous)
+            own.append(ids)
+            n.append(np.diff(first))
+    return docs.column("doc_id").combine_chunks(), target, np.concatenate(n), np.concatenate(before), np.concatenate(own)
+
+
+def _counted(a: np.ndarray, b: np.ndarray, n: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys (a, b) in order, the sums of n and t of each, and the place of every given key among them."""
+    order = np.lexsort((b, a))
+    x, y = a[order], b[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    at = np.flatnonzero(new)
+    place = np.empty(len(x), np.int64)
+    place[order] = np.cumsum(new) - 1
+    sums = [np.add.reduceat(v[order], at) if len(at) else v for v in (n, t)]
+    return x[at], y[at], *sums, place
+
+
+def _own_counts(before: np.ndarray, own: np.ndarray, in_target: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Keys with their counts in all documents and in the target: bigrams, heads and words; and the place of the bigram of every word."""
+    a, b, n, t, place = _counted(before, own, np.ones(len(own), np.int64), in_target.astype(np.int64))
+    heads, words = _counted(a, np.full(len(a), _HEAD, np.uint64), n, t), _counted(b, np.full(len(b), _WORD, np.uint64), n, t)
+    return *(np.concatenate(x) for x in zip((a, b, n, t), heads[:4], words[:4], strict=True)), len(a), heads[4], words[4], place
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of equal length, each in its least type."""
+    least = [c.astype(np.min_scalar_type(c.max())) if len(c) else c for c in columns]
+    return b"".join([bytes([c.itemsize for c in least]), *(c.tobytes() for c in least)])
+
+
+def _unpacked(blob: bytes, columns: int) -> list[np.ndarray]:
+    sizes = list(blob[:columns])
+    n, at, out = (len(blob) - columns) // sum(sizes), columns, []
+    for size in sizes:
+        out.append(np.frombuffer(blob, f"u{size}", n, at).astype(np.uint64))
+        at += n * size
+    return out
+
+
+def _by_bucket(a: np.ndarray, b: np.ndarray, buckets: int):
+    """(bucket, places of its keys) of every bucket that has keys."""
+    bucket = (mix(mix(a, 31) + b, 32) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    at = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    for first, end in zip(at, [*at[1:], len(order)]):
+        yield int(bucket[order[first]]), order[first:end]
+
+
+_SENT = "block int, bucket int, blob binary"
+_BACK = "block int, bucket int, blob binary, a long, b long, n long, t long"
+
+
+def _merged(key, table):
+    """The keys of a bucket, packed by block, become: their sums, packed in the same order; all (block, head) pairs; and, for no
+    block (-1), the followers of each head, the number of words, and the kinds of words."""
+    block = table.column("block").to_numpy()
+    sent = [_unpacked(x.as_py(), 4) for x in table.column("blob")]
+    a, b, n, t = (np.concatenate(x) for x in zip(*sent, strict=True))
+    ends = np.cumsum([len(x[0]) for x in sent])
+    x, y, n, t, place = _counted(a, b, n.astype(np.int64), t.astype(np.int64))
+    blobs = [_packed(n[place[e - len(s[0]):e]].astype(np.uint64), t[place[e - len(s[0]):e]].astype(np.uint64)) for s, e in zip(sent, ends, strict=True)]
+    held = b == _HEAD
+    words, bigrams = y == _WORD, (y != _WORD) & (y != _HEAD)
+    heads, _, kinds, in_target, _ = _counted(x[bigrams], np.zeros(bigrams.sum(), np.uint64), np.ones(bigrams.sum(), np.int64), (t[bigrams] > 0).astype(np.int64))
+    zeros = np.zeros(held.sum(), np.int64)
+    columns = [
+        np.concatenate([np.repeat(block, np.diff(ends, prepend=0))[held], np.full(len(heads) + 2, -1)]).astype(np.int32),
+        np.concatenate([a[held], heads, np.zeros(2, np.uint64)]).view(np.int64),
+        np.concatenate([zeros + _HEAD, np.full(len(heads), _HEAD), [_WORD, _KINDS]]),
+        np.concatenate([zeros, kinds, [n[words].sum(), words.sum()]]),
+        np.concatenate([zeros, in_target, [t[words].sum(), 0]])]
+    rest = len(columns[0])
+    return pa.table({
+        "block": pa.concat_arrays([pa.array(block.astype(np.int32)), pa.array(columns[0])]),
+        "bucket": pa.concat_arrays([pa.array(np.full(len(block), key[0].as_py(), np.int32)), pa.nulls(rest, pa.int32())]),
+        "blob": pa.concat_arrays([pa.array(blobs, pa.binary()), pa.nulls(rest, pa.binary())]),
+        **{c: pa.concat_arrays([pa.nulls(len(block), pa.int64()), pa.array(v.astype(np.int64))]) for c, v in zip("abnt", columns[1:], strict=True)}})
+
+
+def _looked_up(a: np.ndarray, b: np.ndarray, given: tuple[np.ndarray, ...], otherwise: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Given counts (a, b, n, t: each key at most once) of distinct keys, or the others where none is given."""
+    x, y, _, _, place = _counted(np.concatenate([a, given[0]]), np.concatenate([b, given[1]]), *(np.zeros(len(a) + len(given[0]), np.int64),) * 2)
+    out = []
+    for own, found in zip(otherwise, given[2:], strict=True):
+        value = np.zeros(len(x), np.int64)
+        value[place[:len(a)]] = own
+        value[place[len(a):]] = found
+        out.append(value[place[:len(a)]])
+    return out[0], out[1]
+
+
+def losses(n: np.ndarray, heads: np.ndarray, kinds: np.ndarray, words: np.ndarray, total: int, size: int) -> np.ndarray:
+    """-log p(word | previous) from the counts of the bigram, its head, the kinds of followers of the head, and the word."""
+    known = heads + kinds > 0
+    share = np.where(known, kinds / np.maximum(heads + kinds, 1), 1.0)
+    return -np.log(n / np.maximum(heads + kinds, 1) + share * ((words + 1) / (total + size)))
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, size: int | None = None) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss and score of every row; target_ids holds the target's doc_id."""
-    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    words = vocabulary(docs, size)
-    tables = []
-    # the target's ids grow with the corpus: they are merged with the documents at every size, not broadcast
-    for part in (docs.join(target_ids.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), docs):
-        counts = pair_counts(part, words, size).toArrow()
-        tables.append(losses(counts["pair"].to_numpy(), counts["n"].to_numpy(), size))
-    shared = docs.sparkSession.sparkContext.broadcast((words, *tables))
-
-    def score(batches):
-        words, target, background = shared.value
-        for batch in batches:
-            for first, end, buf, starts in chunks(batch.column("text")):
-                cells, n = pairs(buf, starts, words, size)
-                row = np.repeat(np.arange(end - first), n)
-                means = [np.round(np.bincount(row, t[cells], end - first) / np.maximum(n, 1), 6) for t in (target, background)]
-                columns = [pa.array(x, mask=n == 0) for x in (*means, np.round(means[0] - means[1], 6))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), pa.array(n), *columns], names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
-
-    return docs.mapInArrow(score, "doc_id long, n_words long, target_loss double, background_loss double, score double")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-n_bytes // BLOCK_BYTES))
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(None if size is None else vocabulary(small_batches(docs), size))
+    names = target_ids.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("").alias("text"), F.lit(True).alias("named")).distinct()
+    dealt = docs.withColumn("named", F.lit(False)).unionByName(names)
+    dealt = dealt.withColumn("block", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(blocks)).cast("int")).groupBy("block")
+
+    buckets = max(LEAST_BUCKETS, blocks)
+
+    def count(key, table):
+        _, target, n, before, own = _bigrams(table, shared.value)
+        keys = _own_counts(before, own, np.repeat(target, n))[:4]
+        sent = [(bucket, _packed(*(x[at] for x in keys))) for bucket, at in _by_bucket(keys[0], keys[1], buckets)]
+        return pa.table({"block": pa.array([key[0].as_py()] * len(sent), pa.int32()), "bucket": pa.array([x[0] for x in sent], pa.int32()), "blob": pa.array([x[1] for x in sent], pa.binary())})
+
+    counts = written(dealt.applyInArrow(count, _SENT).groupBy("bucket").applyInArrow(_merged, _BACK), "bigram-counts")
+    sums = {r.b: r for r in counts.where(f"block = -1 and b in ({_WORD}, {_KINDS})").groupBy("b").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()}
+    totals = (sums[_WORD].n, sums[_WORD].t) if sums else (0, 0)
+    cells = size if size is not None else (sums[_KINDS].n if sums else 0) + 2
+    kinds = counts.where(f"block = -1 and b = {_HEAD}").groupBy("a").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    of_heads = counts.where(f"block >= 0 and b = {_HEAD}").select("block", "a").join(kinds, "a")
+    back = counts.where("blob is not null").select("block", "bucket", "blob", *(F.lit(None).cast("long").alias(c) for c in "ant"))
+    back = back.unionByName(of_heads, allowMissingColumns=True).groupBy("block")
+
+    def score(_, table, given):
+        ids, target, n, before, own = _bigrams(table, shared.value)
+        a, b, all_n, all_t, grams, head, word, place = _own_counts(before, own, np.repeat(target, n))
+        whole = pa.compute.is_valid(given.column("blob"))
+        blobs, followed = given.filter(whole), given.filter(pa.compute.invert(whole))
+        blobs = dict(zip(blobs.column("bucket").to_pylist(), blobs.column("blob").to_pylist(), strict=True))
+        for bucket, at in _by_bucket(a, b, buckets):
+            all_n[at], all_t[at] = _unpacked(blobs[bucket], 2)
+        found, heads = (all_n, all_t), a[b == _HEAD]
+        x, *counted = (followed.column(c).to_numpy() for c in "ant")
+        kinds = _looked_up(heads, np.zeros(len(heads), np.uint64), (x.view(np.uint64), np.zeros(len(x), np.uint64), *counted), (np.zeros(len(heads), np.int64),) * 2)
+        row, means = np.repeat(np.arange(len(n)), n), []
+        for k in (1, 0):
+            c = found[k]
+            loss = losses(c[:grams], c[grams:grams + len(heads)][head], kinds[k][head], c[grams + len(heads):][word], totals[k], cells)
+            means.append(np.round(np.bincount(row, loss[place], len(n)) / np.maximum(n, 1), 6))
+        columns = [pa.array(x, mask=n == 0) for x in (*means, np.round(means[0] - means[1], 6))]
+        return pa.Table.from_arrays([ids, pa.array(n), *columns], names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
+
+    return dealt.cogroup(back).applyInArrow(score, "doc_id long, n_words long, target_loss double, background_loss double, score double")

@@ -419,6 +419,39 @@ def test_cross_entropy_difference(spark, docs, rows, empty):
         assert key and (r.score is None or abs(r.score - (r.target_loss - r.background_loss)) < 2e-6)
 
 
+def test_cross_entropy_difference_counts_every_word(spark, monkeypatch):
+    """Words beyond the 2046 most frequent ones decide; several blocks share counts."""
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 20000)
+    rng = random.Random(13)
+    common = [f"common{k}" for k in range(2200)]
+    texts = [" ".join(rng.sample(common, 900)) for _ in range(30)]
+    base = rng.sample(common, 40)
+    for i in range(8):
+        topic = [f"{'law' if i % 2 else 'sea'}{k}" for k in range(6)]
+        texts.append(" ".join(w for pair in zip(base, topic * 7) for w in pair))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    chosen = [30, 32, 34]
+    got = {r.doc_id: r for r in lm.cross_entropy_difference(table, spark.createDataFrame([(i,) for i in chosen], "doc_id long")).collect()}
+    low = [t.split() for t in texts]
+    size = len({w for ws in low for w in ws}) + 2
+
+    def losses(among):
+        pair, heads, kinds, n1 = (collections.Counter() for _ in range(4))
+        for ws in among:
+            pair.update(zip([None, *ws], ws))
+        for (h, w), c in pair.items():
+            heads[h] += c
+            kinds[h] += 1
+            n1[w] += c
+        total = sum(n1.values())
+        return [sum(-math.log((pair[h, w] + (kinds[h] or 1) * (n1[w] + 1) / (total + size)) / ((heads[h] + kinds[h]) or 1)) for h, w in zip([None, *ws], ws)) / len(ws) for ws in low]
+
+    assert size > 2048 and len(got) == len(texts)
+    for i, (t, b) in enumerate(zip(losses([low[i] for i in chosen]), losses(low))):
+        assert abs(got[i].target_loss - t) < 2e-6 and abs(got[i].background_loss - b) < 2e-6 and got[i].n_words == len(low[i])
+    assert got[36].score < got[37].score - 1
+
+
 def test_mixing(spark, docs, empty):
     rng = random.Random(8)
     rude = ["scum", "idiots", "vile"]
