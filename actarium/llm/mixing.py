@@ -2,9 +2,10 @@
 
 A classifier, fitted on labelled documents, predicts for each document the probabilities of its domains. Rates, the expected
 numbers of copies, are then fitted so that the expected words per domain, sum of rate x words x probability, match the
-targets: least squares on the relative residuals plus a slight pull to one copy, by projected gradient steps. A step needs the
-residuals alone, one number per domain, which are summed over all documents; rates stay distributed. Rates are nonnegative,
-and at least one for documents that belong to a protected domain.
+targets: least squares on the relative residuals plus a slight pull to one copy. The rate at which the projected gradient of a
+document vanishes follows from its probabilities and the residuals alone, one number per domain; these are found by damped
+Newton steps, each one pass over all documents, until the gradient is within `tolerance`. Rates stay distributed. They are
+nonnegative, and at least one for documents that belong to a protected domain. The residuals reached are logged.
 
 DataFrame functions and the DataFrame-based classifier only. The classifier is fitted on at most `labelled` rows (those of
 least id hash), which bounds its training whatever the size of the tables; everything else covers all documents.
@@ -17,8 +18,10 @@ as rows; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -37,11 +40,11 @@ class Mix:
     weights: tuple[float, ...] = (0.95, 0.05, 0.0)
     protected: int = 0
     labelled: int = 20000
-    terms: int = 1 << 15
+    terms: int = 1 << 16
     least_documents: int = 20
-    iterations: int = 25
+    iterations: int = 50
     regularisation: float = 0.01
-    steps: int = 30
+    tolerance: float = 1e-9
     pull: float = 1e-3
 
 
@@ -54,11 +57,12 @@ def _share(part: Column, pattern: str, text: Column) -> Column:
 
 
 def with_terms(docs: DataFrame) -> DataFrame:
-    """Adds n_words (stretches of letters), terms (distinct ones, lower case), and shares of kinds of characters."""
+    """Adds n_words, terms (distinct stretches of letters, lower case), and shares of kinds of characters."""
     text, rest = F.coalesce("text", F.lit("")), F.col("rest")
+    bare = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
     d = docs.withColumns({"words": F.array_remove(F.split(F.lower(text), r"[^\p{L}]+"), ""), "rest": F.regexp_replace(text, r"[\p{Ll}\s]+", "")})
     return d.withColumns({
-        "n_words": F.size("words").cast("long"), "terms": F.array_distinct("words"), "symbols": _share(rest, r"[\p{L}\p{N}.,]+", text),
+        "n_words": F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"[\x20\x09-\x0D]+"))).cast("long"), "terms": F.array_distinct("words"), "symbols": _share(rest, r"[\p{L}\p{N}.,]+", text),
         "upper": _share(rest, r"[^\p{Lu}]+", text), "figures": _share(rest, r"[^\p{N}]+", text)}).drop("text", "words", "rest")
 
 
@@ -90,21 +94,37 @@ def rates(members: DataFrame, mix: Mix) -> DataFrame:
     """Adds rate. `members` is read in every step and should be a table."""
     d = range(len(DOMAINS))
     own = F.col("p")[mix.protected] >= 0.5
-    current = members.select("*", F.when(own, 1.0).otherwise(0.0).alias("least"), F.lit(1.0).alias("rate"))
+    least = F.when(own, 1.0).otherwise(0.0)
     total, *sums = members.agg(F.coalesce(F.sum("n_words"), F.lit(0)), *(F.coalesce(F.sum(F.col("n_words") * F.col("p")[k]), F.lit(0.0)) for k in d)).first()
     if not total:
-        return current.drop("least")
+        return members.withColumn("rate", F.lit(1.0))
     aim = sums[mix.protected] / mix.weights[mix.protected]
-    targets = [w * aim for w in mix.weights]
-    scale = [max(s, total * 1e-9) for s in sums]
-    step = 1 / (1 + mix.pull)
-    for k in range(mix.steps):
-        at = sums if k == 0 else list(current.agg(*(F.sum(F.col("n_words") * F.col("rate") * F.col("p")[j]) for j in d)).first())
-        slope = sum((F.col("p")[j] * float((at[j] - targets[j]) / scale[j]) for j in d), F.lit(0.0))
-        current = current.withColumn("rate", F.greatest(F.col("least"), F.col("rate") * (1 - step * mix.pull) + step * mix.pull - step * slope))
-        if k % 10 == 9:
-            current = written(current, f"rates-{k}")
-    return current.drop("least")
+    targets = np.array([w * aim for w in mix.weights])
+    scale = np.maximum(sums, total * 1e-9)
+
+    def free(residuals):
+        return 1 - sum((F.col("p")[k] * float(residuals[k] / mix.pull) for k in d), F.lit(0.0))
+
+    def gradient(residuals):
+        """What the residuals miss those of the rates that they give, and its derivatives."""
+        words, moves = F.col("n_words") * F.greatest(least, free(residuals)), F.when(free(residuals) > least, F.col("n_words")).otherwise(0)
+        found = members.agg(*(F.sum(words * F.col("p")[k]) for k in d), *(F.sum(moves * F.col("p")[k] * F.col("p")[j]) for k in d for j in d)).first()
+        at, bend = np.array(found[:len(DOMAINS)]), np.array(found[len(DOMAINS):]).reshape(len(DOMAINS), -1)
+        return residuals - (at - targets) / scale, np.eye(len(DOMAINS)) + bend / (mix.pull * scale[:, None])
+
+    residuals = np.zeros(len(DOMAINS))
+    off, slopes = gradient(residuals)
+    while np.abs(off).max() > mix.tolerance:
+        step, share = np.linalg.solve(slopes, off), 1.0
+        after = gradient(residuals - step)
+        while np.linalg.norm(after[0] * np.sqrt(scale)) >= np.linalg.norm(off * np.sqrt(scale)):
+            share /= 2
+            if share < 1e-9:
+                raise ArithmeticError(f"rates: gradient {off} stays above the tolerance {mix.tolerance}")
+            after = gradient(residuals - share * step)
+        residuals, (off, slopes) = residuals - share * step, after
+    logging.getLogger(__name__).info("relative residuals of %s: %s", DOMAINS, residuals)
+    return members.withColumn("rate", F.greatest(least, free(residuals)))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, mix: Mix = Mix()) -> DataFrame:

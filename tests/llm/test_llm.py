@@ -478,6 +478,22 @@ def test_mixing(spark, docs, empty):
     assert len(odd) == docs.count() and all(r.p == [1.0, 0.0, 0.0] and r.copies == 1 for r in odd)
 
 
+def test_mixing_rates_of_a_skewed_corpus(spark):
+    """Few words in the wanted domain: rates are those at which the projected gradient vanishes. Numbers count as words."""
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([0.4, 0.01, 0.6], 400)
+    p[::40] = [0.3, 0.69, 0.01]
+    n = rng.integers(1, 2000, 400)
+    members = spark.createDataFrame([(i, int(n[i]), [float(x) for x in p[i]]) for i in range(400)], "doc_id long, n_words long, p array<double>")
+    mix = mixing.Mix()
+    r = np.array([x.rate for x in mixing.rates(members, mix).orderBy("doc_id").collect()])
+    sums, at = n @ p, (n * r) @ p
+    residuals = (at - np.array(mix.weights) * sums[0] / mix.weights[0]) / sums
+    assert np.allclose(r, np.maximum(p[:, 0] >= 0.5, 1 - p @ residuals / mix.pull), atol=1e-4)
+    termed = mixing.with_terms(spark.createDataFrame([("12 34 two-part *** word",), (None,), (" ",)], "text string")).collect()
+    assert [x.n_words for x in termed] == [5, 0, 0]
+
+
 def test_pipeline(spark, tmp_path, rows):
     docs = spark.createDataFrame(rows, SCHEMA).select("doc_id", "text", "lang", "source", "n_chars")
     planted = docs.unionByName(spark.createDataFrame([(700, prose(random.Random(1), 80) + " mail me at some.one@mail.org", "en", "s", 1)], docs.schema))
