@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automaton, bpe, jaccard, lm, mixing, order, pii, quality, suffix_array, topk
+from . import automaton, bpe, codes, fim, jaccard, line_runs, lm, mixing, order, pii, quality, suffix_array, topk
 from .shared import documents, folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,65 @@ def op3_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mixed(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return m.select("doc_id", "n_words", *(F.round(F.col("p")[k], 9).alias(f"p_{name}") for k, name in enumerate(mixing.DOMAINS)), F.round("rate", 6).alias("rate"), "copies")
+
+
+@query("op11_fill_in_middle", """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (
+    SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+        CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+    FROM d
+), f AS (
+    SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM u
+), p AS (SELECT *, substr(t, 1, a) AS x, substr(t, a + 1, b - a) AS y, substr(t, b + 1) AS z FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256,
+    sha256(t) AS restored_sha256
+FROM p
+""")
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digested(fim.pieces(documents(spark, sf_dir), key=1, plain_from=90, spm_below=20))
+
+
+@query("op12_line_dedup", r"""
+WITH l AS (
+    SELECT doc_id, row, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos
+    FROM (SELECT doc_id, row_number() OVER () AS row, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)
+), k AS (
+    SELECT *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), r AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+j AS (SELECT k.doc_id, k.row, k.pos, k.line, r.key IS NOT NULL AND k.doc_id <> r.last AS gone FROM k LEFT JOIN r ON k.key = r.key)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM j GROUP BY row
+""")
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.drop_repeated(documents(spark, sf_dir), copies=3, least_chars=20).drop("kept")
+
+
+def _codes_sql(parts: int = 4, rounds: int = 4) -> str:
+    """The rounds unrolled; sums of doubles are exact below 2**53."""
+    steps = [f"""WITH k AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (SELECT vec_id, part, v[part * len(v) // {parts} + 1:(part + 1) * len(v) // {parts}] AS v FROM k, range({parts}) r(part)),
+c0 AS (SELECT part, vec.entry, p.v AS c FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k ORDER BY vec_id LIMIT 256) vec USING (vec_id))"""]
+    for i in range(rounds + 1):
+        steps.append(f"""d{i} AS (SELECT vec_id, part, v, entry, list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c) AS d FROM p JOIN c{i} USING (part)),
+a{i} AS (SELECT vec_id, part, v, min({{'d': d, 'e': entry}}) AS best FROM d{i} GROUP BY vec_id, part, v)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (SELECT part, entry, list(value ORDER BY pos) AS c FROM (
+    SELECT part, entry, pos, floor(sum(x) / count(*)) AS value FROM (SELECT part, best.e AS entry, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a{i}) GROUP BY part, entry, pos) GROUP BY part, entry),
+c{i + 1} AS (SELECT part, entry, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (part, entry))""")
+    return ",\n".join(steps) + f""",
+f AS (SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM (SELECT part, entry, unnest(c) AS x, generate_subscripts(c, 1) AS pos FROM c{rounds}))
+SELECT f.vec_id, f.code, f.error, CAST(sum(f.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, h.codebooks_sha256 FROM f JOIN k USING (vec_id), h"""
+
+
+@query("op13_vector_codes", _codes_sql())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), parts=4, entries=256, rounds=4, scale=1024)
+    return found.rows.drop("label").withColumn("codebooks_sha256", F.lit(found.codebooks_sha256()))
