@@ -122,14 +122,18 @@ def repair_scan(x: ColumnLike, cfg: DetectionConfig) -> Column:
     return squeeze(out)
 
 
-def clean_excerpt(x: ColumnLike, limit: int = 4000) -> Column:
-    """B5 - drop control characters, squeeze blanks inside lines, at most one empty line, capped."""
+def clean_excerpt(x: ColumnLike, limit: int | None = None) -> Column:
+    """B5 - drop control characters, squeeze blanks inside lines, at most one empty line; cut only if a limit is given."""
     out = F.regexp_replace(text(x), fixed.CONTROL_CHARS, "")
     out = F.regexp_replace(out, r"[ \t]+", " ")
     out = F.regexp_replace(out, r"\n{3,}", "\n\n")
     out = replace_all(F.replace(out, F.lit("LEINº"), F.lit("LEI Nº")),
                       [r for r in fixed.GLUED_TITLES if "LEIN[" not in r[0]])
-    return F.substring(strip(out), 1, limit)
+    return cut_at(strip(out), limit)
+
+
+def cut_at(x: Column, limit: int | None) -> Column:
+    return x if limit is None else F.substring(x, 1, limit)
 
 
 def strip(x: Column) -> Column:

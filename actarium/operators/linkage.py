@@ -236,27 +236,47 @@ def match_keys(df: DataFrame) -> DataFrame:
 
 
 def match_reprocessed(new: DataFrame, old: DataFrame, scope: tuple[str, ...] = ("edition_id",)) -> DataFrame:
-    """E7 - pairs (new_id, old_id, level). Levels are tried from the strictest key to the loosest; within a level equal
-    keys are paired in order of their ids, and every old act is used once.
-
-    Both sides travel as one narrow table (ids and hashes). The position inside a key is counted per chunk of ids (see
-    ``windows.numbered``), and pairs meet by (key, position), so a key that holds many copies is spread out. Each level
-    reads the table twice, hence the checkpoint after each.
-    """
-    def side(df: DataFrame, is_new: bool) -> DataFrame:
-        return match_keys(df).select(*scope, F.col("act_id").alias("id"), F.lit(is_new).alias("is_new"), "k1", "k2", "k3", "k4")
-
-    rows = side(new, True).unionByName(side(old, False)).withColumns({"mate": F.lit(None).cast("bigint"), "level": F.lit(None).cast("int")})
-    for level, k in enumerate(("k1", "k2", "k3", "k4"), start=1):
-        rows = cut(rows)
-        done, open_ = rows.where("mate is not null"), rows.where("mate is null")
-        n = numbered(open_, [*scope, k, "is_new"], "id", name="at")
-        w = Window.partitionBy(*scope, k, "at")
-        both = F.count("*").over(w) == 2
-        mate = F.when(F.col("is_new"), F.min(F.when(~F.col("is_new"), F.col("id"))).over(w)).otherwise(F.min(F.when(F.col("is_new"), F.col("id"))).over(w))
-        n = n.withColumn("_m", F.when(both, mate)).withColumn("level", F.when(F.col("_m").isNotNull(), level)).withColumn("mate", F.col("_m"))
-        rows = done.unionByName(n.drop("_m", "at"))
-    return rows.where("is_new and mate is not null").select(F.col("id").alias("new_id"), F.col("mate").alias("old_id"), "level")
+    """E7 - pairs (new_id, old_id, level). The rule goes act by act: each new act, in order of its id, takes the first old
+    act that is still free under its strictest key, else under the next one, down to the loosest.
+
+    That order of choice is what deferred acceptance finds, in rounds over all editions at once: every open new act
+    proposes, every old act keeps the lowest id that has asked for it, and an act that loses its place is open again. The
+    i-th open act of a key proposes to the i-th old act that the first of them could get; those before it were asked by
+    lower ids, so that skipping them changes nothing. A key without an old act for an open one sends it to its next key.
+    Rounds end when nothing is open; there are more than a few only where acts displace each other in a chain.
+
+    Both sides travel as narrow tables (ids and hashes); positions are counted per chunk of ids (see ``windows.numbered``),
+    so that a key that holds many copies is spread out."""
+    def side(df: DataFrame) -> DataFrame:
+        where = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in scope])
+        keys = F.array(*[F.md5(F.concat_ws("|", where, F.lit(str(i)), F.col(f"k{i}"))) for i in range(1, 5)])
+        return match_keys(df).select(F.col("act_id").cast("bigint").alias("id"), keys.alias("keys"))
+
+    news, olds = cut(side(new)), cut(side(old).withColumnRenamed("id", "old_id"))
+    log, rounds = None, 0  # every proposal so far: id, level, old_id (null: the key had no old act left)
+    while True:
+        if log is None:
+            open_, free = news.withColumn("level", F.lit(1)), olds.withColumn("holder", F.lit(None).cast("bigint"))
+        else:
+            # an old act keeps the lowest id that has ever asked for it
+            held = log.where("old_id is not null").groupBy("old_id").agg(F.min("id").alias("holder"))
+            passed = log.where("old_id is null").groupBy("id").agg((F.max("level") + 1).alias("level"))
+            open_ = news.join(passed, "id", "left").withColumn("level", F.coalesce("level", F.lit(1))).join(held.select(F.col("holder").alias("id")), "id", "left_anti")
+            free = olds.join(held, "old_id", "left")
+        asking = open_.where("level <= 4").select("id", "level", F.element_at("keys", F.col("level")).alias("key"))
+        first = asking.groupBy("key").agg(F.min("id").alias("first"))
+        offers = free.select("old_id", "holder", F.explode("keys").alias("key")).join(first, "key").where("holder is null or holder > first")
+        asked = numbered(asking, ["key"], "id", name="at").join(numbered(offers.select("key", "old_id"), ["key"], "old_id", name="at"), ["key", "at"], "left")
+        asked = cut(asked.select("id", "level", "old_id"))
+        if asked.isEmpty():
+            break
+        log, rounds = asked if log is None else log.unionByName(asked), rounds + 1
+        if rounds % 8 == 0:
+            log = cut(log)
+    if log is None:
+        return news.select(F.col("id").alias("new_id"), F.lit(None).cast("bigint").alias("old_id"), F.lit(None).cast("int").alias("level")).limit(0)
+    mates = log.where("old_id is not null").groupBy("old_id").agg(F.min_by(F.struct("id", "level"), "id").alias("m"))
+    return mates.select(F.col("m.id").alias("new_id"), "old_id", F.col("m.level").alias("level"))
 
 
 def merge_reprocessed(new: DataFrame, old: DataFrame, pairs: DataFrame | None = None, scope: tuple[str, ...] = ("edition_id",)) -> DataFrame:

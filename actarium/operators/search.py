@@ -7,51 +7,54 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..config import DetectionConfig, QualityConfig, fold_py
-from ..functions.text import (ColumnLike, any_contains, compute_once, count_of, digits, filled, fold, let, query_tokens, text)
+from ..functions.text import ColumnLike, any_contains, compute_once, count_of, digits, filled, fold, let, text
 from ..functions.values import json_object_or_empty
+from . import ranking
 
 # ---- H1-H4, H13 queues ---------------------------------------------------------------------
 
 
+def _signals(n: Column, cfg: DetectionConfig) -> dict[str, Column]:
+    """H1 - what a folded text shows; a text has a sign if one of its parts has."""
+    key, d = cfg.key, digits(n)
+    return {
+        "ours": F.contains(n, F.lit(key)), "named": n.rlike(rf"\b{key}\b") | any_contains(n, (f"{key}-pr", f"{key}/pr")),
+        "weak": any_contains(n, (key[:-2] + " " + key[-2:], key[:-1] + " " + key[-1:])), "tax": any_contains(d, cfg.tax_roots), "postal": any_contains(d, cfg.postal_prefixes),
+        "organ": any_contains(n, fixed.CANDIDACY_ORGANS), "kind": any_contains(n, fixed.CANDIDACY_TYPES), "money": n.rlike(r"r\$\s*[\d.,]+"), "news": any_contains(n, fixed.CANDIDACY_NEWS),
+        **{f"near{i}": F.contains(n, F.lit(m)) for i, m in enumerate(cfg.neighbour_keys)}, **{f"hall{i}": F.contains(n, F.lit(f"prefeitura municipal de {m}")) for i, m in enumerate(cfg.neighbour_keys)}}
+
+
+def _rated(s: Column, cfg: DetectionConfig) -> Column:
+    """H1 - score, reasons and priority of a struct of signs."""
+    neighbour = F.coalesce(*[F.when(s[f"near{i}"] & ~s["ours"], f"vizinho:{m}").when(s[f"hall{i}"], f"prefeitura vizinha:{m}") for i, m in enumerate(cfg.neighbour_keys)], F.lit(None))
+    points = [
+        (F.when(s["named"], 35).when(s["weak"], 20), F.when(s["named"], "menciona o alvo").otherwise("possível alvo (leitura fraca)")),
+        (F.when(s["tax"], 25), F.lit("CNPJ do alvo")), (F.when(s["postal"], 15), F.lit("CEP do alvo")), (F.when(s["organ"], 20), F.lit("órgão oficial")),
+        (F.when(s["kind"], 12), F.lit("tipo de ato")), (F.when(s["money"], 5), F.lit("valor monetário")), (F.when(neighbour.isNotNull(), -40), neighbour),
+        (F.when(s["news"] & ~s["ours"], -15), F.lit("possível matéria"))]
+    hits = F.filter(F.array(*[F.struct(p.cast("int").alias("p"), r.alias("r")) for p, r in points]), lambda x: x["p"].isNotNull())
+
+    def rate(h: Column) -> Column:
+        total = F.aggregate(h, F.lit(0), lambda a, x: a + x["p"])
+        return let(F.greatest(F.lit(0), F.least(F.lit(100), total)), lambda v: F.struct(
+            v.alias("score"), F.transform(h, lambda x: x["r"]).alias("reasons"), F.when(v >= 55, 0).when(v >= 25, 1).otherwise(2).alias("priority")))
+
+    return let(hits, rate)
+
+
 def candidacy(title: ColumnLike, body: ColumnLike, cfg: DetectionConfig) -> Column:
     """H1 - struct(score 0-100, reasons, priority 0/1/2): does this look like an official act of the target?"""
-    key = cfg.key
-    weak = (key[:-2] + " " + key[-2:], key[:-1] + " " + key[-1:])
-
-    def judge(n: Column) -> Column:
-        ours = F.contains(n, F.lit(key))
-        named = n.rlike(rf"\b{key}\b") | any_contains(n, (f"{key}-pr", f"{key}/pr"))
-        d = digits(n)
-        neighbour = F.coalesce(*[F.when(F.contains(n, F.lit(m)) & ~ours, f"vizinho:{m}").when(
-            F.contains(n, F.lit(f"prefeitura municipal de {m}")), f"prefeitura vizinha:{m}") for m in cfg.neighbour_keys], F.lit(None))
-        signals = [
-            (F.when(named, 35).when(any_contains(n, weak), 20), F.when(named, "menciona o alvo").otherwise("possível alvo (leitura fraca)")),
-            (F.when(any_contains(d, cfg.tax_roots), 25), F.lit("CNPJ do alvo")),
-            (F.when(any_contains(d, cfg.postal_prefixes), 15), F.lit("CEP do alvo")),
-            (F.when(any_contains(n, fixed.CANDIDACY_ORGANS), 20), F.lit("órgão oficial")),
-            (F.when(any_contains(n, fixed.CANDIDACY_TYPES), 12), F.lit("tipo de ato")),
-            (F.when(n.rlike(r"r\$\s*[\d.,]+"), 5), F.lit("valor monetário")),
-            (F.when(neighbour.isNotNull(), -40), neighbour),
-            (F.when(any_contains(n, fixed.CANDIDACY_NEWS) & ~ours, -15), F.lit("possível matéria")),
-        ]
-        hits = F.filter(F.array(*[F.struct(p.cast("int").alias("p"), r.alias("r")) for p, r in signals]), lambda s: s["p"].isNotNull())
-
-        def rate(h: Column) -> Column:
-            total = F.aggregate(h, F.lit(0), lambda a, s: a + s["p"])
-            return let(F.greatest(F.lit(0), F.least(F.lit(100), total)), lambda s: F.struct(
-                s.alias("score"), F.transform(h, lambda x: x["r"]).alias("reasons"), F.when(s >= 55, 0).when(s >= 25, 1).otherwise(2).alias("priority")))
-
-        return let(hits, rate)
-
-    return let(fold(F.concat(text(title), F.lit("\n"), text(body))), judge)
-
-
-def edition_blob(pages: DataFrame, n_pages: int = 8, n_chars: int = 2000) -> DataFrame:
-    """H1 - first pages of an edition, each cut, for the score after reading (rank limit before the shuffle)."""
-    w = Window.partitionBy("edition_id").orderBy("page")
-    top = pages.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= n_pages)
-    return top.groupBy("edition_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", F.substring(text("text"), 1, n_chars).alias("t")))),
-                                                                  lambda s: s["t"]), "\n").alias("blob"))
+    return let(fold(F.concat(text(title), F.lit("\n"), text(body))), lambda n: let(F.struct(*[c.alias(k) for k, c in _signals(n, cfg).items()]), lambda s: _rated(s, cfg)))
+
+
+def edition_candidacy(editions: DataFrame, pages: DataFrame, cfg: DetectionConfig) -> DataFrame:
+    """H1 after reading - edition_id, score, reasons, priority from the title and every page. Signs are found page by page and
+    combined before the shuffle, so that no edition is put together."""
+    names = list(_signals(F.lit(""), cfg))
+    parts = editions.select("edition_id", text("title").alias("_t")).unionByName(pages.join(editions.select("edition_id"), "edition_id", "left_semi").select("edition_id", text("text").alias("_t")))
+    n = compute_once(parts, _n=fold("_t"))
+    found = compute_once(n, **_signals(F.col("_n"), cfg)).groupBy("edition_id").agg(F.struct(*[F.bool_or(c).alias(c) for c in names]).alias("s"))
+    return found.select("edition_id", _rated(F.col("s"), cfg).alias("c")).select("edition_id", "c.*")
 
 
 def rescore_pending(editions: DataFrame, cfg: DetectionConfig) -> DataFrame:
@@ -121,7 +124,7 @@ SEARCHED = ("act_type", "number", "organ", "subject", "summary", "excerpt", "val
 
 
 def search_text(acts: DataFrame) -> Column:
-    return fold(F.array_join(F.array(*[text(c) for c in SEARCHED if c in acts.columns]), " "))
+    return ranking.search_text(acts, SEARCHED)
 
 
 def boost_tenths(acts: DataFrame) -> Column:
@@ -150,53 +153,11 @@ def _tokens_py(q: str) -> list[str]:
     return re.findall(r"[a-z0-9]{2,}", fold_py(q))
 
 
-def _grams(word: Column) -> Column:
-    """Distinct two- and three-letter pieces of a word."""
-    n = F.length(word)
-
-    def cut(size: int) -> Column:
-        return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(word, i, F.lit(size)))).otherwise(
-            F.array().cast("array<string>"))
-
-    return F.array_distinct(F.concat(cut(2), cut(3)))
-
-
-def token_hits(texts: DataFrame, tokens: DataFrame, key: str = "act_id") -> DataFrame:
-    """Occurrences of many tokens inside many texts: (key, token, n). texts: key, blob (folded); tokens: token.
-
-    A token holds letters and digits only, so it lies within one word. The distinct words are matched to the tokens by an
-    equi-join on the first two or three letters of the token (no text x token comparison), and the texts are joined by
-    word. Words that occur in very many texts are split by the adaptive skew join.
-    """
-    words = F.regexp_extract_all("blob", F.lit("([a-z0-9]{2,})"), F.lit(1))
-    post = texts.select(key, words.alias("ws")).select(key, "ws", F.explode_outer(F.array_distinct("ws")).alias("word")).where("word is not null").select(
-        key, "word", (F.size("ws") - F.size(F.array_remove("ws", F.col("word")))).alias("times"))
-    vocab = post.select("word").distinct()
-    tok = tokens.select("token").distinct().withColumn("gram", F.substring("token", 1, 3))
-    pairs = vocab.select("word", F.explode(_grams(F.col("word"))).alias("gram")).join(tok, "gram").where(F.contains("word", "token"))
-    pairs = pairs.select("word", "token", count_of(F.col("word"), F.col("token")).alias("per"))
-    return post.join(pairs, "word").groupBy(key, "token").agg(F.sum(F.col("times") * F.col("per")).alias("n"))
-
-
 def rank_acts_many(acts: DataFrame, queries: DataFrame, k: int = 30) -> DataFrame:
-    """H5 for a table of search texts (query_id, query): the k best acts of each.
-
-    Only (query, act) pairs that share a token are formed. Acts that score by their boosts alone rank alike for every
-    query: at most 2k of them can ever be needed, and these are added to each query. Top-k is a ranked window whose limit
-    is applied before the shuffle.
-    """
-    qt = queries.select("query_id", F.explode(query_tokens("query")).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("mult"))
-    info = acts.select("act_id", F.coalesce("pub_date", F.lit("")).alias("day"), boost_tenths(acts).alias("boost"))
-    hits = token_hits(acts.select("act_id", search_text(acts).alias("blob")), qt)
-    matched = hits.join(qt, "token").groupBy("query_id", "act_id").agg(F.sum(F.col("mult") * (30 + 3 * F.col("n"))).alias("s"))
-    matched = matched.join(info, "act_id").select("query_id", "act_id", "day", (F.col("s") + F.col("boost")).alias("s"))
-    best = info.where("boost > 0").orderBy(F.desc("boost"), "day", F.desc("act_id")).limit(2 * k)
-    best = best.agg(F.collect_list(F.struct("act_id", "day", "boost")).alias("top")).withColumn("one", F.lit(1))
-    filler = qt.select("query_id").distinct().withColumn("one", F.lit(1)).join(F.broadcast(best), "one").select(
-        "query_id", F.explode("top").alias("t")).select("query_id", "t.act_id", "t.day", F.col("t.boost").alias("s"))
-    both = matched.unionByName(filler).groupBy("query_id", "act_id").agg(F.max("day").alias("day"), F.max("s").alias("s"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("s"), "day", F.desc("act_id"))
-    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "act_id", F.round(F.col("s") / 10.0, 2).alias("score"))
+    """H5 for a table of search texts (query_id, query): the k best acts of each, found tile by tile (see `ranking`). A text
+    without tokens gets the newest acts."""
+    rows = acts.select("act_id", "pub_date", boost_tenths(acts).alias("boost"), search_text(acts).alias("blob"))
+    return ranking.rank_many(rows, queries, k).select("query_id", "rank", "act_id", F.round(F.col("s") / 10.0, 2).alias("score"))
 
 
 def similar_query(act_type: ColumnLike = "act_type", organ: ColumnLike = "organ", subject: ColumnLike = "subject", summary: ColumnLike = "summary",
@@ -207,11 +168,13 @@ def similar_query(act_type: ColumnLike = "act_type", organ: ColumnLike = "organ"
 
 
 def similar_acts(acts: DataFrame, targets: DataFrame, k: int = 6) -> DataFrame:
-    """H8 - the k acts most like each target, the target itself left out."""
-    queries = targets.select(F.col("act_id").alias("query_id"), similar_query().alias("query"))
-    r = rank_acts_many(acts, queries, k + 1).where("act_id != query_id")
-    w = Window.partitionBy("query_id").orderBy("rank")
-    return r.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """H8 - the k acts most like each target, the target itself left out. Targets with one search text are ranked once."""
+    asked = targets.select(F.col("act_id").alias("target_id"), similar_query().alias("query"))
+    texts = asked.groupBy("query").agg(F.min("target_id").alias("query_id"))
+    found = rank_acts_many(acts, texts, k + 1).join(texts, "query_id").drop("query_id")
+    r = asked.join(found, "query").where("act_id != target_id")
+    w = Window.partitionBy("target_id").orderBy("rank")
+    return r.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("target_id").alias("query_id"), "rank", "act_id", "score")
 
 
 # ---- H6, H7, H9-H12 ------------------------------------------------------------------------
@@ -225,8 +188,6 @@ def _like(c: str, term: str) -> Column:
     return F.contains(F.lower(text(c)), F.lit(term.lower()))
 
 
-
-
 def newest_first(df: DataFrame, k: int | None = None) -> DataFrame:
     out = df.orderBy(F.desc_nulls_last("pub_date"), F.desc("act_id"))
     return out.limit(k) if k else out
@@ -268,32 +229,51 @@ def global_search(acts: DataFrame, editions: DataFrame, q: str) -> DataFrame:
         a.select(F.lit("act").alias("kind"), F.col("act_id").alias("id"), F.concat_ws(" ", "act_type", "number", "subject").alias("label")))
 
 
-def _stretches(organ: Column, starts: Column, size: int) -> Column:
-    return F.transform(starts, lambda i: organ.substr(i, F.lit(size)))
+def _grams(x: Column, size: int) -> Column:
+    """Distinct stretches of `size` letters."""
+    return F.when(F.length(x) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - size + 1), lambda i: x.substr(i, F.lit(size))))).otherwise(
+        F.array().cast("array<string>"))
+
 
+def containing(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """(needle, text) of all texts that contain a needle; both tables hold their strings once, needles are not empty.
 
-def _heads(organ: Column) -> Column:
-    """All distinct stretches of up to three letters, the empty one included."""
-    every = F.sequence(F.lit(1), F.greatest(F.length(organ), F.lit(1)))
-    return F.array_distinct(F.flatten(F.array(F.array(F.lit("")), *(_stretches(organ, every, n) for n in (1, 2, 3)))))
+    A needle meets the texts by its rarest stretch of three letters (or of its own length, if shorter) only: the stretches
+    of all texts are counted first."""
+    held = texts.select("text", F.explode(F.concat(*(_grams(F.col("text"), n) for n in (1, 2, 3)))).alias("gram"))
+    counts = held.groupBy("gram").agg(F.count("*").alias("n"))
+    n = F.length("needle")
+    own = needles.select("needle", F.explode(F.when(n == 1, _grams(F.col("needle"), 1)).when(n == 2, _grams(F.col("needle"), 2)).otherwise(_grams(F.col("needle"), 3))).alias("gram"))
+    rarest = own.join(counts, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least")).where("least.n > 0")
+    return rarest.select("needle", F.col("least.gram").alias("gram")).join(held, "gram").where(F.contains("text", "needle")).select("needle", "text")
 
 
 def act_timeline(acts: DataFrame, editions: DataFrame, targets: DataFrame, k: int = 12) -> DataFrame:
-    """H9 - related acts of each target in order of time: same number, else acts of the contract chain of the same organ.
-
-    Numbered targets meet the acts by an equi-join; the others by the first letters of their organ, which any organ that
-    contains it holds somewhere."""
-    num = F.lower(F.trim(text("number")))
-    t = targets.select(F.col("act_id").alias("target_id"), num.alias("t_num"), fold(text("act_type")).alias("t_type"),
-                       F.lower(F.substring(text("organ"), 1, 40)).alias("t_org"))
-    a = acts.withColumn("_num", num)
-    by_number = a.join(t.where("t_num != ''").withColumnRenamed("t_num", "_num"), "_num").where("act_id != target_id").select("target_id", "act_id", "edition_id")
-    chain = a.where(any_contains(fold(text("act_type")), fixed.CHAIN_TYPES)).select("act_id", "edition_id", F.lower(text("organ")).alias("_org"))
-    loose = t.where("t_num = '' and t_type != ''")
-    by_chain = chain.withColumn("_head", F.explode(_heads(F.col("_org")))).join(loose.withColumn("_head", F.substring("t_org", 1, 3)), "_head")
-    by_chain = by_chain.where(F.contains(F.col("_org"), F.col("t_org"))).where("act_id != target_id").select("target_id", "act_id", "edition_id")
-    j = by_number.unionByName(by_chain).join(editions.select("edition_id", "pub_date"), "edition_id")
-    w = Window.partitionBy("target_id").orderBy(F.asc_nulls_first("pub_date"), "act_id")
+    """H9 - related acts of each target in order of time: same number, else acts of the contract chain whose organ contains
+    the target's.
+
+    What a target gets depends on its number or organ alone, so the first k + 1 acts are ranked once per number and per
+    organ (the limit is applied before the shuffle), and the targets meet these short lists."""
+    earliest = [F.asc_nulls_first("pub_date"), F.asc("act_id")]
+
+    def first(df: DataFrame, key: str, n: int) -> DataFrame:
+        return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*earliest))).where(F.col("rank") <= n).drop("rank")
+
+    found = ["act_id", "edition_id", "pub_date"]
+    a = acts.select("act_id", "edition_id", F.lower(F.trim(text("number"))).alias("key"), any_contains(fold(text("act_type")), fixed.CHAIN_TYPES).alias("chain"),
+                    F.lower(text("organ")).alias("text")).join(editions.select("edition_id", "pub_date"), "edition_id")
+    t = targets.select(F.col("act_id").alias("target_id"), F.lower(F.trim(text("number"))).alias("key"), fold(text("act_type")).alias("type"),
+                       F.lower(F.substring(text("organ"), 1, 40)).alias("needle"))
+    by_number = t.where("key != ''").join(first(a.where("key != ''"), "key", k + 1).select("key", *found), "key")
+    loose = t.where("key = '' and type != ''").select("target_id", "needle")
+    chain = a.where("chain").select("text", *found)
+    lists = first(chain, "text", k + 1)
+    pairs = containing(loose.where("needle != ''").select("needle").distinct(), lists.select("text").distinct())
+    per_needle = first(pairs.join(lists, "text").drop("text"), "needle", k + 1)
+    anywhere = chain.orderBy(*earliest).limit(k + 1).select(F.lit("").alias("needle"), *found)
+    by_chain = loose.join(per_needle.select("needle", *found).unionByName(anywhere), "needle")
+    j = by_number.select("target_id", *found).unionByName(by_chain.select("target_id", *found)).where("act_id != target_id")
+    w = Window.partitionBy("target_id").orderBy(*earliest)
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

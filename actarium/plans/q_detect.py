@@ -114,9 +114,9 @@ fb3 AS (SELECT *, list_transform(list_filter(list_transform(range(1, len(ms) + 1
   lambda p: p.o - length(string_split(t[:p.o], chr(10))[-1])) AS ls FROM fb2),
 fb4 AS (SELECT *, {spaced_sql('list_concat(heads, ls)', 100)} AS st FROM fb3),
 fb5 AS (SELECT *, list_transform(range(1, len(st) + 1), lambda i: CASE WHEN i < len(st) THEN st[i + 1] ELSE least(length(t), st[i] + CASE WHEN length(t) - st[i] < 60 THEN 800 ELSE 2200 END) END) AS en FROM fb4),
-fb6 AS (SELECT edition_id, page, method, CASE WHEN len(st) = 0 THEN CASE WHEN {Q.any_of('f', fixed.OFFICIAL_SIGNALS)} THEN [{{'block': CAST(9000 AS INTEGER), 'text': t[:4000]}}] ELSE [] END
+fb6 AS (SELECT edition_id, page, method, CASE WHEN len(st) = 0 THEN CASE WHEN {Q.any_of('f', fixed.OFFICIAL_SIGNALS)} THEN [{{'block': CAST(9000 AS INTEGER), 'text': t}}] ELSE [] END
   ELSE list_transform(list_filter(list_transform(range(1, len(st) + 1), lambda i: {{'block': CAST(9099 + i AS INTEGER), 'text': {Q.strip('substr(t, st[i] + 1, en[i] - st[i])')}}}),
-    lambda s: length(s.text) >= 50 AND {ours_sql('s.text')}), lambda s: {{'block': s.block, 'text': s.text[:3500]}}) END AS ws FROM fb5),
+    lambda s: length(s.text) >= 50 AND {ours_sql('s.text')}), lambda s: {{'block': s.block, 'text': s.text}}) END AS ws FROM fb5),
 fall AS (SELECT edition_id, page, method, unnest(ws) AS s, generate_subscripts(ws, 1) AS n FROM fb6)"""
 
 SEG_CTE = f"""{SPLIT_CTE},{FALL_CTE},
@@ -505,7 +505,7 @@ g4 AS (SELECT edition_id, page, seg_no, block, CASE WHEN category = 'materia_jor
   coalesce(kind, CASE WHEN need_long AND ours AND regexp_matches(f, 'aditivo|contrato|clausula') THEN CASE WHEN contains(f, 'aditivo') THEN 'Termo Aditivo' ELSE 'Contrato' END END) AS kind,
   num, text, subj FROM g3),
 g5 AS (SELECT edition_id, page, seg_no, block, category, organ, {Q.act_type('kind')} AS act_type, {Q.valid_number('num')} AS number, {date_sql('text')} AS doc_date, {shorten_sql('subj')} AS subject,
-  {value_sql('text')} AS value, {Q.repair('text')}[:2000] AS excerpt FROM g4)"""
+  {value_sql('text')} AS value, {Q.repair('text')} AS excerpt FROM g4)"""
 _ACOLS = "edition_id, page, seg_no, block, category, organ, act_type, number, doc_date, subject, value, excerpt"
 
 

@@ -42,8 +42,8 @@ for _p, _r in (fixed.GLUED_TITLES[0], fixed.GLUED_TITLES[2], fixed.GLUED_TITLES[
     _CLEAN = Q.sub(_CLEAN, _p, _r)
 
 
-@query("B5_clean_excerpt", f"""SELECT 'd' || CAST(doc_id AS VARCHAR) AS id, {Q.strip(_CLEAN)}[:4000] AS text FROM documents
-  UNION ALL SELECT 'p' || CAST(page AS VARCHAR), {Q.strip(_CLEAN)}[:4000] FROM gz_pages""")
+@query("B5_clean_excerpt", f"""SELECT 'd' || CAST(doc_id AS VARCHAR) AS id, {Q.strip(_CLEAN)} AS text FROM documents
+  UNION ALL SELECT 'p' || CAST(page AS VARCHAR), {Q.strip(_CLEAN)} FROM gz_pages""")
 def _(t):
     docs = t.documents.select(F.concat(F.lit("d"), F.col("doc_id")).alias("id"), "text")
     pages = t.gz_pages.select(F.concat(F.lit("p"), F.col("page")).alias("id"), "text")

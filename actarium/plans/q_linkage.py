@@ -124,16 +124,18 @@ def _keys_sql(x: str) -> str:
     return f"{p} || '|' || {n} || '|' || {h} AS k1, {p} || '|' || {h} AS k2, {p} || '|' || {n} AS k3, substr(sha1(lower({x}.excerpt[:120])), 1, 12) AS k4"
 
 
-def _level_sql(i: int) -> str:
-    prev_n = f"WHERE id NOT IN (SELECT nid FROM m{i - 1})" if i > 1 else ""
-    prev_o = f"WHERE id NOT IN (SELECT oid FROM m{i - 1})" if i > 1 else ""
-    hit = f"""SELECT a.id AS nid, b.id AS oid, CAST({i} AS INTEGER) AS level FROM (SELECT *, row_number() OVER (PARTITION BY edition_id, k{i} ORDER BY id) AS at FROM n {prev_n}) a
-      JOIN (SELECT *, row_number() OVER (PARTITION BY edition_id, k{i} ORDER BY id) AS at FROM o {prev_o}) b ON a.edition_id = b.edition_id AND a.k{i} = b.k{i} AND a.at = b.at"""
-    return f"m{i} AS MATERIALIZED ({hit}" + (f" UNION ALL SELECT * FROM m{i - 1})" if i > 1 else ")")
-
-
-@query("E7_merge_reprocessed", f"""WITH {_NEW}, n AS (SELECT act_id AS id, edition_id, {_keys_sql('new')} FROM new), o AS (SELECT act_id AS id, edition_id, {_keys_sql('gz_acts')} FROM gz_acts),
-{', '.join(_level_sql(i) for i in (1, 2, 3, 4))}
+def _first_free(i: int) -> str:
+    """The first old act under key i that is still free."""
+    return f"list_transform(list_filter(o.olds, lambda x: x.k{i} = n.k{i} AND NOT list_contains(r.used, x.id))[1:1], lambda x: {{'id': x.id, 'level': {i}}})[1]"
+
+
+# act by act within each edition
+@query("E7_merge_reprocessed", f"""WITH RECURSIVE {_NEW}, n AS (SELECT *, row_number() OVER (PARTITION BY edition_id ORDER BY id) AS i FROM (SELECT act_id AS id, edition_id, {_keys_sql('new')} FROM new)),
+o AS (SELECT edition_id, list({{'id': id, 'k1': k1, 'k2': k2, 'k3': k3, 'k4': k4}} ORDER BY id) AS olds FROM (SELECT act_id AS id, edition_id, {_keys_sql('gz_acts')} FROM gz_acts) GROUP BY 1),
+r AS (SELECT DISTINCT edition_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS nid, CAST(NULL AS BIGINT) AS oid, CAST(NULL AS INTEGER) AS level FROM n
+  UNION ALL SELECT edition_id, i, CASE WHEN p IS NULL THEN used ELSE list_append(used, p.id) END, nid, p.id, p.level FROM (
+    SELECT r.edition_id, n.i, r.used, n.id AS nid, coalesce({', '.join(_first_free(i) for i in (1, 2, 3, 4))}) AS p FROM r JOIN n ON n.edition_id = r.edition_id AND n.i = r.i + 1 JOIN o ON o.edition_id = r.edition_id) s),
+m4 AS (SELECT nid, oid, level FROM r WHERE oid IS NOT NULL)
 SELECT w.act_id, coalesce(nullif(w.number, ''), p.number) AS number, nullif(p.summary, '') AS summary, nullif(p.feedback, '') AS feedback, p.attempts, m.oid AS old_id, m.level
 FROM new w LEFT JOIN m4 m ON m.nid = w.act_id LEFT JOIN gz_acts p ON p.act_id = m.oid""")
 def _(t):

@@ -13,31 +13,39 @@ from .registry import query
 KEY = "nation_5"
 
 
-def candidacy_sql(n: str) -> str:
-    """(score, priority, reasons) over a folded blob."""
+def signs_sql(n: str) -> str:
+    """Signs of a folded text as columns."""
     d = Q.digits(n)
-    ours = f"contains({n}, '{KEY}')"
     named = f"(regexp_matches({n}, '\\b{KEY}\\b') OR contains({n}, '{KEY}-pr') OR contains({n}, '{KEY}/pr'))"
-    nb = "CASE " + " ".join(f"WHEN contains({n}, '{m}') AND NOT {ours} THEN 'vizinho:{m}' WHEN contains({n}, 'prefeitura municipal de {m}') THEN 'prefeitura vizinha:{m}'" for m in Q.NEIGHBOURS) + " END"
-    weak = f"(contains({n}, 'nation _5') OR contains({n}, 'nation_ 5'))"
-    parts = [(f"{named} OR {weak}", f"CASE WHEN {named} THEN 35 ELSE 20 END", f"CASE WHEN {named} THEN 'menciona o alvo' ELSE 'possível alvo (leitura fraca)' END"),
-             (f"contains({d}, '11222333') OR contains({d}, '44555666')", "25", "'CNPJ do alvo'"), (f"contains({d}, '87670')", "15", "'CEP do alvo'"),
-             (Q.any_of(n, fixed.CANDIDACY_ORGANS), "20", "'órgão oficial'"), (Q.any_of(n, fixed.CANDIDACY_TYPES), "12", "'tipo de ato'"), (f"regexp_matches({n}, 'r\\$\\s*[\\d.,]+')", "5", "'valor monetário'"),
-             (f"({nb}) IS NOT NULL", "-40", f"({nb})"), (f"{Q.any_of(n, fixed.CANDIDACY_NEWS)} AND NOT {ours}", "-15", "'possível matéria'")]
+    found = {"ours": f"contains({n}, '{KEY}')", "named": named, "weak": f"contains({n}, 'nation _5') OR contains({n}, 'nation_ 5')", "tax": f"contains({d}, '11222333') OR contains({d}, '44555666')",
+             "postal": f"contains({d}, '87670')", "organ": Q.any_of(n, fixed.CANDIDACY_ORGANS), "kind": Q.any_of(n, fixed.CANDIDACY_TYPES), "money": f"regexp_matches({n}, 'r\\$\\s*[\\d.,]+')",
+             "news": Q.any_of(n, fixed.CANDIDACY_NEWS)}
+    found |= {f"near{i}": f"contains({n}, '{m}')" for i, m in enumerate(Q.NEIGHBOURS)} | {f"hall{i}": f"contains({n}, 'prefeitura municipal de {m}')" for i, m in enumerate(Q.NEIGHBOURS)}
+    return ", ".join(f"({x}) AS {k}" for k, x in found.items())
+
+
+_SIGNS = ["ours", "named", "weak", "tax", "postal", "organ", "kind", "money", "news", *[f"near{i}" for i in range(len(Q.NEIGHBOURS))], *[f"hall{i}" for i in range(len(Q.NEIGHBOURS))]]
+
+
+def rated_sql() -> str:
+    """(score, reasons) over the signs."""
+    nb = "CASE " + " ".join(f"WHEN near{i} AND NOT ours THEN 'vizinho:{m}' WHEN hall{i} THEN 'prefeitura vizinha:{m}'" for i, m in enumerate(Q.NEIGHBOURS)) + " END"
+    parts = [("named OR weak", "CASE WHEN named THEN 35 ELSE 20 END", "CASE WHEN named THEN 'menciona o alvo' ELSE 'possível alvo (leitura fraca)' END"), ("tax", "25", "'CNPJ do alvo'"), ("postal", "15", "'CEP do alvo'"),
+             ("organ", "20", "'órgão oficial'"), ("kind", "12", "'tipo de ato'"), ("money", "5", "'valor monetário'"), (f"({nb}) IS NOT NULL", "-40", f"({nb})"), ("news AND NOT ours", "-15", "'possível matéria'")]
     score = "greatest(0, least(100, " + " + ".join(f"CASE WHEN {c} THEN {p} ELSE 0 END" for c, p, _ in parts) + "))"
     reasons = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN {r} END" for c, _, r in parts) + "], lambda r: r IS NOT NULL), '|')"
     return f"CAST({score} AS INTEGER) AS score, {reasons} AS reasons"
 
 
-@query("H1_candidacy_score", f"""WITH b AS (SELECT edition_id, string_agg(text[:2000], chr(10) ORDER BY page) AS t FROM (SELECT *, row_number() OVER (PARTITION BY edition_id ORDER BY page) AS rn FROM gz_pages) WHERE rn <= 8 GROUP BY 1),
-s AS (SELECT e.edition_id, {candidacy_sql(Q.fold("e.title || chr(10) || coalesce(b.t, '')"))} FROM gz_editions e LEFT JOIN b USING (edition_id))
+@query("H1_candidacy_score", f"""WITH x AS (SELECT edition_id, {Q.fold("title")} AS n FROM gz_editions UNION ALL SELECT edition_id, {Q.fold("text")} FROM gz_pages JOIN gz_editions USING (edition_id)),
+g AS (SELECT edition_id, {', '.join(f'bool_or({c}) AS {c}' for c in _SIGNS)} FROM (SELECT edition_id, {signs_sql('n')} FROM x) GROUP BY 1),
+s AS (SELECT edition_id, {rated_sql()} FROM g)
 SELECT *, CAST(CASE WHEN score >= 55 THEN 0 WHEN score >= 25 THEN 1 ELSE 2 END AS INTEGER) AS priority FROM s""")
 def _(t):
-    j = t.gz_editions.select("edition_id", "title").join(H.edition_blob(t.gz_pages), "edition_id", "left")
-    return j.select("edition_id", H.candidacy("title", "blob", CONFIG).alias("c")).select("edition_id", "c.score", F.array_join("c.reasons", "|").alias("reasons"), "c.priority")
+    return H.edition_candidacy(t.gz_editions, t.spread("gz_pages"), CONFIG).select("edition_id", "score", F.array_join("reasons", "|").alias("reasons"), "priority")
 
 
-@query("H2_rescore_pending", f"""WITH s AS (SELECT edition_id, processed, candidacy, priority, {candidacy_sql(Q.fold("title || chr(10)"))} FROM gz_editions)
+@query("H2_rescore_pending", f"""WITH x AS (SELECT edition_id, processed, candidacy, priority, {signs_sql(Q.fold("title || chr(10)"))} FROM gz_editions), s AS (SELECT edition_id, processed, candidacy, priority, {rated_sql()} FROM x)
 SELECT edition_id, CASE WHEN processed = 0 THEN score ELSE candidacy END AS candidacy, CASE WHEN processed = 0 THEN CAST(CASE WHEN score >= 55 THEN 0 WHEN score >= 25 THEN 1 ELSE 2 END AS INTEGER) ELSE priority END AS priority FROM s""")
 def _(t):
     return H.rescore_pending(t.gz_editions, CONFIG).select("edition_id", "candidacy", "priority")
@@ -76,14 +84,11 @@ def _(t):
     return H.rank_acts_many(acts, t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 30)
 
 
-_ONE = ("obra", "asfalto", "decreto", "nation_5")
-
-
-@query("H5_rank_acts_one", f"""WITH {_ROWS}, s AS (SELECT act_id, day, boost + {' + '.join(f"CASE WHEN contains(b, '{w}') THEN 30 + 3 * CAST((length(b) - length(replace(b, '{w}', ''))) // {len(w)} AS BIGINT) ELSE 0 END" for w in ('obra', 'asfalto', 'decreto', 'nation'))} AS s FROM rows)
+@query("H5_rank_acts_one", f"""WITH {_ROWS}, s AS (SELECT act_id, day, boost + {' + '.join(f"CASE WHEN contains(b, '{w}') THEN 30 + 3 * CAST((length(b) - length(replace(b, '{w}', ''))) // {len(w)} AS BIGINT) ELSE 0 END" for w in ('obra', 'de', 'asfalto', 'decreto', 'nation'))} AS s FROM rows)
 SELECT act_id, round(s / 10.0, 2)::DOUBLE AS score FROM s WHERE s > 0 ORDER BY s DESC, day, act_id DESC LIMIT 50""")
 def _(t):
     acts = H.with_edition(t.spread("gz_acts"), t.gz_editions)
-    return H.rank_acts(acts, "Obra de asfalto, DECRETO nation".replace(" de ", " "), 50).select("act_id", "score")
+    return H.rank_acts(acts, "Obra de asfalto, DECRETO nation", 50).select("act_id", "score")
 
 
 @query("H6_filter_acts", f"""SELECT a.act_id, e.pub_date FROM gz_acts a JOIN gz_editions e USING (edition_id)
@@ -103,28 +108,29 @@ def _(t):
     return H.global_search(t.gz_acts, t.gz_editions, "edital")
 
 
-_TG = "tg AS (SELECT a.*, e.pub_date FROM gz_acts a JOIN gz_editions e USING (edition_id) ORDER BY e.pub_date DESC NULLS LAST, a.act_id DESC LIMIT 8)"
-
-
-@query("H8_similar_acts", f"""WITH {_ROWS}, {_TG}, q0 AS (SELECT act_id AS query_id, concat_ws(' ', nullif(act_type, ''), nullif(organ, ''), coalesce(nullif(subject, ''), nullif(summary, '')), nullif(themes, '')) AS x FROM tg),
+# every act whose id is divisible by 100 asks, all acts answer
+@query("H8_similar_acts", f"""WITH {_ROWS}, q0 AS (SELECT act_id AS query_id, concat_ws(' ', nullif(act_type, ''), nullif(organ, ''), coalesce(nullif(subject, ''), nullif(summary, '')), nullif(themes, '')) AS x FROM gz_acts JOIN gz_editions e USING (edition_id) WHERE act_id % 100 = 0),
 q AS (SELECT query_id, tok, count(*) AS m FROM (SELECT query_id, unnest(regexp_extract_all({Q.fold('x')}, '[a-z0-9]{{2,}}')) AS tok FROM q0) GROUP BY ALL),
-s AS (SELECT query_id, act_id, any_value(day) AS day, any_value(boost) + sum(CASE WHEN contains(b, tok) THEN m * (30 + 3 * CAST((length(b) - length(replace(b, tok, ''))) // length(tok) AS BIGINT)) ELSE 0 END) AS s FROM q, rows WHERE act_id <> query_id GROUP BY ALL)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, act_id, round(s / 10.0, 2)::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, day, act_id DESC) AS rank FROM s WHERE s > 0) WHERE rank <= 6""")
+s AS (SELECT query_id, act_id, any_value(day) AS day, any_value(boost) + sum(CASE WHEN contains(b, tok) THEN m * (30 + 3 * CAST((length(b) - length(replace(b, tok, ''))) // length(tok) AS BIGINT)) ELSE 0 END) AS s FROM q, rows WHERE act_id <> query_id GROUP BY ALL),
+n AS (SELECT act_id, row_number() OVER (ORDER BY e.pub_date DESC NULLS LAST, act_id DESC) AS place FROM gz_acts JOIN gz_editions e USING (edition_id)),
+none AS (SELECT query_id, n.act_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank FROM q0, (SELECT * FROM n WHERE place <= 7) n WHERE n.act_id <> query_id AND query_id NOT IN (SELECT query_id FROM q))
+SELECT query_id, CAST(rank AS INTEGER) AS rank, act_id, round(s / 10.0, 2)::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, day, act_id DESC) AS rank FROM s WHERE s > 0) WHERE rank <= 6
+UNION ALL SELECT query_id, CAST(rank AS INTEGER), act_id, NULL FROM none WHERE rank <= 6""")
 def _(t):
     acts = H.with_edition(t.spread("gz_acts"), t.gz_editions)
-    return H.similar_acts(acts, H.newest_first(acts, 8), 6)
+    return H.similar_acts(acts, acts.where("act_id % 100 = 0"), 6)
 
 
 _CH = Q.any_of(Q.fold(Q.txt("a.act_type")), fixed.CHAIN_TYPES)
 
 
-@query("H9_act_timeline", f"""WITH {_TG}, r AS (SELECT g.act_id AS target_id, a.act_id, a.edition_id FROM tg g JOIN gz_acts a ON a.act_id <> g.act_id AND CASE WHEN trim(coalesce(g.number, '')) <> '' THEN lower(trim(coalesce(a.number, ''))) = lower(trim(g.number))
-  ELSE coalesce(g.act_type, '') <> '' AND {_CH} AND contains(lower(coalesce(a.organ, '')), lower(coalesce(g.organ, '')[:40])) END)
+@query("H9_act_timeline", f"""WITH n AS (SELECT act_id, edition_id, lower(trim(coalesce(number, ''))) AS num FROM gz_acts), c AS (SELECT act_id, edition_id, lower(coalesce(organ, '')) AS org FROM gz_acts a WHERE {_CH}),
+r AS (SELECT g.act_id AS target_id, a.act_id, a.edition_id FROM n g JOIN n a ON g.num = a.num WHERE g.num <> '' AND a.act_id <> g.act_id
+  UNION ALL SELECT g.act_id, c.act_id, c.edition_id FROM gz_acts g JOIN c ON contains(c.org, lower(coalesce(g.organ, '')[:40])) WHERE trim(coalesce(g.number, '')) = '' AND coalesce(g.act_type, '') <> '' AND c.act_id <> g.act_id)
 SELECT target_id, act_id, edition_id, pub_date, CAST(rank AS INTEGER) AS rank FROM (SELECT r.*, e.pub_date, row_number() OVER (PARTITION BY target_id ORDER BY e.pub_date NULLS FIRST, act_id) AS rank FROM r JOIN gz_editions e USING (edition_id)) WHERE rank <= 12""")
 def _(t):
     acts = t.spread("gz_acts")
-    targets = H.newest_first(H.with_edition(acts, t.gz_editions), 8)
-    return H.act_timeline(acts, t.gz_editions, targets).select("target_id", "act_id", "edition_id", "pub_date", "rank")
+    return H.act_timeline(acts, t.gz_editions, acts).select("target_id", "act_id", "edition_id", "pub_date", "rank")
 
 
 @query("H10_latest_acts", "SELECT a.act_id, a.importance, e.pub_date FROM gz_acts a JOIN gz_editions e USING (edition_id) WHERE coalesce(a.importance, 0) >= 3 ORDER BY e.pub_date DESC NULLS LAST, a.act_id DESC LIMIT 15")

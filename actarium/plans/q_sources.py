@@ -38,12 +38,16 @@ _DOC = "'--- Página ' || page || ' (' || method || ') ---' || chr(10) || text"
 
 @query("A3_assemble_document", f"SELECT edition_id, string_agg({_DOC}, chr(10) || chr(10) ORDER BY page) AS document FROM gz_pages GROUP BY 1")
 def _(t):
-    return O.assemble_document(t.spread("gz_pages"))
+    path = t.scratch("paged-text")
+    O.write_paged_text(t.spread("gz_pages"), path)
+    return O.read_documents(t.spark, path).withColumn("edition_id", F.col("edition_id").cast("bigint"))
 
 
 @query("A3_read_paged_text", "SELECT edition_id, page, method, text FROM gz_pages")
 def _(t):
-    return O.split_paged_text(O.assemble_document(t.spread("gz_pages")))
+    path = t.scratch("paged-text")
+    O.write_paged_text(t.spread("gz_pages"), path)
+    return O.read_paged_text(t.spark, path).withColumn("edition_id", F.col("edition_id").cast("bigint"))
 
 
 _DAY = "lpad(CAST(1 + page_id % 31 AS STRING), 2, '0')"

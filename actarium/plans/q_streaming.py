@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import QualityConfig
+from ..streaming import cooldown as C
 from ..streaming import jobs as J
 from ..streaming import streams as S
 from . import sqlx as Q
@@ -27,9 +28,8 @@ def _(t):
         part = e if n == 1 else e.where("edition_id % 4 > 0")
         part.select("url", F.when((F.col("edition_id") % 3 == 0) & late, "").otherwise(F.concat("title", F.lit(f" v{n}"))).alias("title"),
                     F.when((F.col("edition_id") % 2 == 0) & late, F.lit(None)).otherwise(F.lit(f"2002-01-0{n}")).alias("pub_date"), F.lit(n).alias("seq")).write.mode("append").parquet(src)
-    table = S.EditionTable(t.spark, tab)
-    S.stream_editions(S.read_stream(t.spark, src, "url string, title string, pub_date string, seq int", 4), table, ckpt)
-    return table.read().select("url", "title", "pub_date")
+    S.stream_editions(S.read_stream(t.spark, src, "url string, title string, pub_date string, seq int", 4), tab, ckpt)
+    return S.edition_table(t.spark, tab).select("url", "title", "pub_date")
 
 
 @query("K2_stream_detect", f"WITH {FIELDS_CTE}, {ACTS_CTE}, {RAW_CTE} SELECT {_ACOLS} FROM raw WHERE NOT ff")
@@ -49,15 +49,23 @@ SELECT CAST(user_id AS VARCHAR) AS key, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS
 @query("K3_cooldown_alerts", _COOL)
 def _(t):
     e = _ev(t).select(F.col("user_id").cast("string").alias("key"), "ts")
-    return J.cooldown_alerts(e).where("emitted").select("key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
+    return C.cooldown_alerts(e).where("emitted").select("key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
 
 
-@query("K3_cooldown_stream", _COOL)
+def _deliveries(t, events, src, parts=4):
+    """The events in some files, each a later stretch of time; the files of a stream are read in the order they are written in."""
+    ends = events.agg(F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("b")).first()
+    part = F.least(F.floor((F.unix_micros("ts") - ends["a"]) * parts / F.lit(ends["b"] - ends["a"] + 1)), F.lit(parts - 1))
+    for i in range(parts):
+        events.where(part == i).coalesce(1).write.mode("append").parquet(src)
+    return S.read_stream(t.spark, src, events.schema)
+
+
+@query("K3_cooldown_stream", f"SELECT * FROM ({_COOL}) WHERE CAST(ts AS TIMESTAMP) <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
 def _(t):
     src, ckpt, out = t.scratch("events"), t.scratch("ckpt"), t.scratch("alerts")
     e = _ev(t).select(F.col("user_id").cast("string").alias("key"), "ts")
-    e.write.parquet(src)
-    S.to_parquet(S.cooldown_stream(S.read_stream(t.spark, src, e.schema, 1000)), out, ckpt)
+    S.to_parquet(C.cooldown_stream(_deliveries(t, e, src)), out, ckpt)
     return t.spark.read.parquet(out).select("key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
 
 
@@ -81,6 +89,14 @@ def _(t):
     return J.admitted(_ev(t).select("event_id", "ts"), _Q5).select("event_id", "hour_rank", "day_rank")
 
 
+@query("K5_budget_cycles", """WITH c AS (SELECT *, row_number() OVER (PARTITION BY time_bucket(INTERVAL 20 MINUTE, ts) ORDER BY ts, event_id) AS cr FROM events),
+h AS (SELECT *, row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, event_id) AS hr FROM c WHERE cr <= 3), d AS (SELECT *, row_number() OVER (PARTITION BY date_trunc('day', ts) ORDER BY ts, event_id) AS dr FROM h WHERE hr <= 7)
+SELECT event_id, CAST(cr AS INTEGER) AS cycle_rank, CAST(hr AS INTEGER) AS hour_rank, CAST(dr AS INTEGER) AS day_rank FROM d WHERE dr <= 120""")
+def _(t):
+    q = QualityConfig(per_cycle=5, calls_per_cycle=3, per_hour=7, per_day=120)
+    return J.admitted(_ev(t).select("event_id", "ts"), q, cycle_minutes=20).select("event_id", "cycle_rank", "hour_rank", "day_rank")
+
+
 @query("K5_budget_left", f"""SELECT h AS hour_used, d AS day_used, least(5, greatest(0, 15 - h), greatest(0, 4000 - d)) AS admit FROM (SELECT count(*) FILTER (date_trunc('hour', ts) = TIMESTAMP '{AS_OF_TS}') AS h, count(*) FILTER (date_trunc('day', ts) = TIMESTAMP '2024-01-30') AS d FROM events)""")
 def _(t):
     return J.budget_left(_ev(t), F.lit(AS_OF_TS).cast("timestamp"), QualityConfig(per_day=4000))
@@ -93,6 +109,32 @@ def _(t):
     return J.liveness(e, F.lit(AS_OF_TS).cast("timestamp"))
 
 
+_ALIVE = """WITH h AS (SELECT CAST(user_id AS VARCHAR) AS process, ts, ts + CASE WHEN event_type IN ('view', 'click') THEN INTERVAL 180 SECOND ELSE INTERVAL 600 SECOND END AS fin FROM events),
+b AS (SELECT *, max(fin) OVER (PARTITION BY process ORDER BY ts, fin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS open FROM h),
+g AS (SELECT *, sum(CASE WHEN open IS NULL OR ts > open THEN 1 ELSE 0 END) OVER (PARTITION BY process ORDER BY ts, fin) AS s FROM b)
+SELECT process, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(fin), '%Y-%m-%d %H:%M:%S.%f') AS "end", count(*) AS beats FROM g GROUP BY process, s"""
+
+
+def _signs(t):
+    return _ev(t).select(F.col("user_id").cast("string").alias("process"), F.when(F.col("event_type").isin("view", "click"), "heartbeat").otherwise("cycle").alias("kind"), "ts")
+
+
+def _written_sessions(df):
+    return df.select("process", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("start", "end")], "beats")
+
+
+@query("K6_alive_sessions", _ALIVE)
+def _(t):
+    return _written_sessions(J.alive_sessions(_signs(t)))
+
+
+@query("K6_alive_stream", f"""SELECT * FROM ({_ALIVE}) WHERE CAST("end" AS TIMESTAMP) <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def _(t):
+    src, ckpt, out = t.scratch("signs"), t.scratch("ckpt"), t.scratch("alive")
+    S.stream_alive(_deliveries(t, _signs(t), src), out, ckpt)
+    return _written_sessions(t.spark.read.parquet(out))
+
+
 @query("K7_failure_quarantine", """WITH a AS (SELECT user_id, event_id, event_type = 'purchase' AS ok, props FROM events), l AS (SELECT user_id, max(event_id) FILTER (ok) AS lo FROM a GROUP BY 1),
 f AS (SELECT a.user_id, count(*) AS n, arg_max(props, event_id) AS m FROM a JOIN l USING (user_id) WHERE NOT ok AND (lo IS NULL OR event_id > lo) GROUP BY 1)
 SELECT l.user_id AS key, coalesce(n, 0) AS failures, m AS last_message, coalesce(n, 0) >= 3 AS quarantined FROM l LEFT JOIN f USING (user_id)""")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import text
+from .stream_writer import write_files
 
 BLOCK = "struct<pagina:int,bloco:int,texto:string,bbox:array<int>>"
 DOCUMENT = f"edition_id bigint, cache_version int, texto_completo string, avisos array<string>, paginas array<struct<pagina:int,texto:string,metodo:string,blocks:array<{BLOCK}>>>"
@@ -34,8 +35,14 @@ def document_blocks(documents: DataFrame) -> DataFrame:
     return b.select("edition_id", F.coalesce("b.pagina", "page").alias("page"), F.coalesce("b.bloco", F.lit(0)).alias("block"), "seq", text("b.texto").alias("text"), *box)
 
 
-def write_ocr_json(pages: DataFrame, path: str, blocks: DataFrame | None = None) -> None:
-    """A2 - one nested document per edition (a JSON line)."""
+def _inner(json: Column, field: str) -> Column:
+    """The value of the only field of a JSON object, as JSON."""
+    return json.substr(F.lit(len(field) + 5), F.length(json) - len(field) - 5)
+
+
+def document_pieces(pages: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """A2 - the JSON documents (one line per edition) in pieces of a page at most: edition_id, part, page, piece, in this
+    order, and what stands between pieces of a part. Every page occurs twice, once in the list of pages and once in the whole text."""
     p = pages
     if blocks is not None:
         b = blocks.groupBy("edition_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct(
@@ -44,22 +51,35 @@ def write_ocr_json(pages: DataFrame, path: str, blocks: DataFrame | None = None)
         p = p.join(b, ["edition_id", "page"], "left")
     else:
         p = p.withColumn("blocks", F.array().cast(f"array<{BLOCK}>"))
-    items = F.array_sort(F.collect_list(F.struct("page", F.struct(F.col("page").alias("pagina"), F.col("text").alias("texto"), F.col("method").alias("metodo"), "blocks").alias("x"))))
-    d = p.groupBy("edition_id").agg(items.alias("items"))
-    d = d.select("edition_id", F.lit(2).alias("cache_version"), _document_text(F.transform("items", lambda s: s["x"])).alias("texto_completo"),
-                 F.array().cast("array<string>").alias("avisos"), F.transform("items", lambda s: s["x"]).alias("paginas"))
-    d.write.mode("overwrite").json(path)
+    page = F.to_json(F.struct(F.col("page").alias("pagina"), F.col("text").alias("texto"), F.col("method").alias("metodo"), "blocks"))
+    said = _inner(F.to_json(F.struct(page_text().alias("x"))), "x")
+    inside = F.inline(F.array(F.struct(F.lit(1).alias("part"), page.alias("body")), F.struct(F.lit(3).alias("part"), said.substr(F.lit(2), F.length(said) - 2).alias("body"))))
+    bodies = p.select("edition_id", F.col("page").cast("bigint").alias("page"), inside)
+    bodies = bodies.select("edition_id", "part", "page", F.when(F.col("part") == 1, ",").otherwise("\\n\\n").alias("between"), F.col("body").alias("piece"))
+    head = F.concat(F.lit('{"edition_id":'), F.col("edition_id").cast("string"), F.lit(',"cache_version":2,"avisos":[],"paginas":['))
+    frame = [F.struct(F.lit(i).alias("part"), F.lit(0).cast("bigint").alias("page"), F.lit("").alias("between"), x.alias("piece")) for i, x in (
+        (0, head), (2, F.lit('],"texto_completo":"')), (4, F.lit('"}\n')))]
+    return bodies.unionByName(pages.select("edition_id").distinct().select("edition_id", F.inline(F.array(*frame))))
+
+
+def write_ocr_json(pages: DataFrame, path: str, blocks: DataFrame | None = None) -> int:
+    """A2 - one nested document per edition (a JSON line), streamed into the files; no row holds an edition."""
+    return write_files(document_pieces(pages, blocks), path, None, ["edition_id", "part", "page"], ".json")
+
+
+def page_text() -> Column:
+    return F.concat(F.lit("--- Página "), F.col("page").cast("string"), F.lit(" ("), text("method"), F.lit(") ---\n"), text("text"))
 
 
-def _document_text(pages: Column) -> Column:
-    return F.array_join(F.transform(pages, lambda p: F.concat(
-        F.lit("--- Página "), p["pagina"].cast("string"), F.lit(" ("), p["metodo"], F.lit(") ---\n"), p["texto"])), "\n\n")
+def write_paged_text(pages: DataFrame, path: str) -> int:
+    """A3 - one text file per edition with its page markers, streamed page by page."""
+    return write_files(pages.select("edition_id", "page", F.lit("\n\n").alias("between"), page_text().alias("piece")), path, "edition_id", ["page"], ".txt")
 
 
-def assemble_document(pages: DataFrame) -> DataFrame:
-    """A3 - text of an edition with its page markers. The text itself is the result, so its pages meet in one row."""
-    items = F.array_sort(F.collect_list(F.struct(F.col("page").alias("pagina"), F.col("text").alias("texto"), F.col("method").alias("metodo"))))
-    return pages.groupBy("edition_id").agg(_document_text(items).alias("document"))
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """A3 - text files as (edition_id, document); the file name is the edition."""
+    d = spark.read.text(path, wholetext=True)
+    return d.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("edition_id"), F.col("value").alias("document"))
 
 
 def split_paged_text(documents: DataFrame) -> DataFrame:
@@ -72,6 +92,5 @@ def split_paged_text(documents: DataFrame) -> DataFrame:
 
 
 def read_paged_text(spark: SparkSession, path: str) -> DataFrame:
-    """A3 - pages of text files; the file path identifies the edition."""
-    d = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("edition_id"), F.col("value").alias("document"))
-    return split_paged_text(d)
+    """A3 - pages of text files."""
+    return split_paged_text(read_documents(spark, path))

@@ -1,10 +1,7 @@
-"""K3-K9, K11 - budgets, liveness, stuck jobs, quarantine and run statistics over event tables (batch twins)."""
+"""K4-K9, K11 - budgets, liveness, stuck jobs, quarantine and run statistics over event tables (batch twins)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,33 +10,6 @@ from ..functions.text import text
 from ..operators.quality import one_row
 from ..operators.windows import CHUNK
 
-COOLDOWN = "key string, ts timestamp, emitted boolean"
-
-
-def cooldown_alerts(events: DataFrame, minutes: int = 60) -> DataFrame:
-    """K3 (batch twin) - an alert passes if its key has not passed one within the cooldown. Input: key, ts.
-
-    The decision depends on the last passed alert only, so a key is read in order of time in one pass with that single
-    value as state; nothing is collected.
-    """
-    gap = pd.Timedelta(minutes=minutes)
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last = None, None
-        for b in batches:
-            out = []
-            for k, t in zip(b["key"].array, b["ts"].array):
-                if k != key:
-                    key, last = k, None
-                passed = last is None or t - last >= gap
-                if passed:
-                    last = t
-                out.append(passed)
-            yield b.assign(emitted=out)
-
-    return events.select("key", "ts").repartition("key").sortWithinPartitions("key", "ts").mapInPandas(fold, COOLDOWN)
-
-
 def stuck_jobs(jobs: DataFrame, as_of: Column, max_minutes: int = 30) -> DataFrame:
     """K4 - running rows not updated within the limit become errors; a limit of 0 closes all running rows."""
     run = F.col("status") == "rodando"
@@ -55,23 +25,33 @@ def interrupted_editions(jobs: DataFrame) -> DataFrame:
     return jobs.where("status = 'rodando' and edition_id is not null").select("edition_id").distinct()
 
 
-def admitted(events: DataFrame, q: QualityConfig = QualityConfig()) -> DataFrame:
-    """K5 - events admitted under the hourly and the daily cap, in order of time. Input: event_id, ts.
+def admitted(events: DataFrame, q: QualityConfig = QualityConfig(), cycle_minutes: int | None = None) -> DataFrame:
+    """K5 - events admitted under the caps, in order of time. Input: event_id, ts.
+
+    Within a cycle (tumbling windows of ``cycle_minutes``, if given) the first ``per_cycle`` are candidates (no more than
+    ``calls_per_cycle``, if that is above 0), of an hour's candidates the first ``per_hour``, and of a day's candidates the
+    first ``per_day`` pass. All ranks are limits, so they are applied before the shuffle and no bucket is gathered."""
+    def first(df: DataFrame, bucket: Column, cap: int, name: str) -> DataFrame:
+        w = Window.partitionBy(bucket).orderBy("ts", "event_id")
+        return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= max(0, cap))
 
-    Within an hour the first ``per_hour`` are candidates, and of a day's candidates the first ``per_day`` pass. Both ranks
-    are limits, so they are applied before the shuffle and no bucket is gathered."""
-    h = Window.partitionBy(F.date_trunc("hour", "ts")).orderBy("ts", "event_id")
-    c = events.withColumn("hour_rank", F.row_number().over(h)).where(F.col("hour_rank") <= q.per_hour)
-    d = Window.partitionBy(F.date_trunc("day", "ts")).orderBy("ts", "event_id")
-    return c.withColumn("day_rank", F.row_number().over(d)).where(F.col("day_rank") <= q.per_day)
+    c = events
+    if cycle_minutes is not None:
+        c = first(c, F.window("ts", f"{cycle_minutes} minutes")["start"], cycle_cap(q), "cycle_rank")
+    c = first(c, F.date_trunc("hour", "ts"), q.per_hour, "hour_rank")
+    return first(c, F.date_trunc("day", "ts"), q.per_day, "day_rank")
+
+
+def cycle_cap(q: QualityConfig) -> int:
+    """K5 - how many may start in a cycle."""
+    return min(q.per_cycle, q.calls_per_cycle) if q.calls_per_cycle > 0 else q.per_cycle
 
 
 def budget_left(calls: DataFrame, as_of: Column, q: QualityConfig = QualityConfig()) -> DataFrame:
     """K5 - how many may start now: the least of the cycle cap and what hour and day have left."""
     n = calls.agg(F.count_if(F.date_trunc("hour", "ts") == F.date_trunc("hour", as_of)).alias("hour_used"),
                   F.count_if(F.date_trunc("day", "ts") == F.date_trunc("day", as_of)).alias("day_used"))
-    cycle = min(q.per_cycle, q.calls_per_cycle) if q.calls_per_cycle > 0 else q.per_cycle
-    left = F.least(F.lit(max(0, cycle)).cast("bigint"), F.greatest(F.lit(0), q.per_hour - F.col("hour_used")), F.greatest(F.lit(0), q.per_day - F.col("day_used")))
+    left = F.least(F.lit(max(0, cycle_cap(q))).cast("bigint"), F.greatest(F.lit(0), q.per_hour - F.col("hour_used")), F.greatest(F.lit(0), q.per_day - F.col("day_used")))
     return n.withColumn("admit", left)
 
 
@@ -87,6 +67,19 @@ def liveness(heartbeats: DataFrame, as_of: Column, q: QualityConfig = QualityCon
     return g.select("process", age("hb").alias("heartbeat_age"), age("cy").alias("cycle_age"), alive.alias("alive"))
 
 
+def alive_sessions(heartbeats: DataFrame, q: QualityConfig = QualityConfig(), watermark: str | None = None) -> DataFrame:
+    """K6 - the stretches of time in which a process counted as alive: (process, start, end, beats).
+
+    Every sign of life opens a session window as long as its kind keeps a process alive; sessions that touch are one, and
+    the end is when the process is found dead unless a later sign comes. The same expression serves batch and stream; a
+    stream needs a watermark and gives a session once nothing can be added to it."""
+    h = heartbeats.where(F.col("kind").isin("heartbeat", "cycle"))
+    h = h.withWatermark("ts", watermark) if watermark else h
+    lasting = F.when(F.col("kind") == "heartbeat", F.lit(f"{q.heartbeat_seconds} seconds")).otherwise(F.lit(f"{q.cycle_seconds} seconds"))
+    g = h.groupBy(F.session_window("ts", lasting).alias("w"), "process").agg(F.count("*").alias("beats"))
+    return g.select("process", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "beats")
+
+
 def failure_counts(attempts: DataFrame, q: QualityConfig = QualityConfig()) -> DataFrame:
     """K7 - failures since the last success per key, and who is in quarantine. Input: key, seq, ok, message.
 
@@ -105,24 +98,38 @@ def release(editions: DataFrame, released: DataFrame) -> DataFrame:
                           "failure_msg": F.when(F.col("_hit"), None).otherwise(F.col("failure_msg"))}).drop("_hit")
 
 
-def streaks(df: DataFrame, order: str, flag: Column, chunk: int = CHUNK) -> DataFrame:
+_RUN = "struct<n:bigint,before:bigint,after:bigint,best:bigint>"
+
+
+def _joined(a: Column, b: Column) -> Column:
+    """Two neighbouring stretches as one: length, run at the start, run at the end, longest run."""
+    return F.struct(
+        (a["n"] + b["n"]).alias("n"), F.when(a["before"] == a["n"], a["n"] + b["before"]).otherwise(a["before"]).alias("before"),
+        F.when(b["after"] == b["n"], b["n"] + a["after"]).otherwise(b["after"]).alias("after"),
+        F.greatest(a["best"], b["best"], a["after"] + b["before"]).alias("best"))
+
+
+def streaks(df: DataFrame, order: str, flag: Column, chunk: int = CHUNK, fan: int = 64) -> DataFrame:
     """Longest and current run of rows with ``flag`` in order of a unique integer column: (best, current) in one row.
 
-    The sequence is cut into chunks; each chunk is reduced to its length, first and last break and best inner run. Only
-    these summaries (one row per ``chunk`` ids) are put in sequence."""
-    d = df.select(F.floor(F.col(order) / chunk).alias("_c"), F.col(order).alias("_o"), flag.alias("_f"))
+    The sequence is cut into chunks of ``chunk`` ids, each summed up by its length, the runs at its ends and its longest
+    run. Neighbouring summaries join associatively, so they are merged in a tree, ``fan`` of them at a time."""
+    d = df.select(F.floor(F.col(order) / chunk).cast("bigint").alias("_c"), F.col(order).alias("_o"), flag.alias("_f"))
     w = Window.partitionBy("_c").orderBy("_o")
     d = d.withColumn("_p", F.row_number().over(w))
-    brk = F.when(~F.col("_f"), F.col("_p"))
+    brk = F.when(~F.coalesce("_f", F.lit(False)), F.col("_p"))
     d = d.withColumn("_since", F.col("_p") - F.coalesce(F.max(brk).over(w), F.lit(0)))
-    s = d.groupBy("_c").agg(F.count("*").alias("n"), F.min(brk).alias("first"), F.max(brk).alias("last"), F.max("_since").alias("inner"))
-    prev = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("off", F.coalesce(F.sum("n").over(prev), F.lit(0))).withColumn("glast", F.col("off") + F.col("last"))
-    s = s.withColumn("carry", F.col("off") - F.coalesce(F.max("glast").over(prev), F.lit(0)))
-    s = s.withColumn("joined", F.col("carry") + F.coalesce(F.col("first") - 1, F.col("n")))
-    s = s.withColumn("tail", F.col("off") + F.col("n") - F.coalesce(F.max("glast").over(upto), F.lit(0)))
-    return s.agg(F.coalesce(F.greatest(F.max("inner"), F.max("joined")), F.lit(0)).alias("best"), F.coalesce(F.max_by("tail", "_c"), F.lit(0)).alias("current"))
+    n = F.count("*")
+    s = d.groupBy("_c").agg(F.struct(n.alias("n"), F.coalesce(F.min(brk) - 1, n).alias("before"), F.coalesce(n - F.max(brk), n).alias("after"),
+                                     F.max("_since").alias("best")).cast(_RUN).alias("r"))
+    ends = df.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
+    low, high = (ends["a"] // chunk, ends["b"] // chunk) if ends["a"] is not None else (0, 0)
+    while low != high:
+        low, high = low // fan, high // fan
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("_c", "r"))), lambda x: x["r"])
+        s = s.groupBy(F.floor(F.col("_c") / fan).cast("bigint").alias("_up")).agg(parts.alias("all")).select(
+            F.col("_up").alias("_c"), F.aggregate(F.slice("all", F.lit(2), F.size("all")), F.get("all", F.lit(0)), lambda a, b: _joined(a, b).cast(_RUN)).alias("r"))
+    return s.agg(F.coalesce(F.max("r.best"), F.lit(0)).alias("best"), F.coalesce(F.max("r.after"), F.lit(0)).alias("current"))
 
 
 def run_stats(results: DataFrame, pending: int, last: int = 20) -> DataFrame:
