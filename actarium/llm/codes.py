@@ -145,7 +145,8 @@ def compress(vectors: DataFrame, parts: int = 4, entries: int = 256, rounds: int
     least = kept.orderBy(*by_id).first()
     dim = len(least["v"]) if least else 0
     kept = kept.where(F.size("v") == dim)
-    start = integers(np.array([r["v"] for r in kept.orderBy(*by_id).limit(entries).collect()], np.float64).reshape(-1, dim), scale)
+    foremost = [r["v"] for r in kept.orderBy(*by_id).limit(entries).collect()]
+    start = integers(np.array(foremost, np.float64).reshape(len(foremost), dim), scale)
     cut = bounds(dim, parts)
     codebooks = [start[:, a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 

@@ -114,14 +114,14 @@ def has_bit(pattern: np.ndarray, bit: np.ndarray) -> np.ndarray:
     return (pattern[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
 
-def parted(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, Callable[[Callable, str], DataFrame]]:
-    """docs in two: those that may be among the keys (rank, mark), by a bit pattern of a fixed size, and those that are not.
+def parted(docs: DataFrame, keys: DataFrame, mark: str = "mark") -> tuple[DataFrame, Callable[[Callable, str], DataFrame]]:
+    """docs in two: those whose mark (a hash of the text) may be among the keys, by a bit pattern of a fixed size, and those whose is not.
     Only the first part needs a shuffle to be joined with them. The second one is given as a function that maps it."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits_of(keys, F.shiftrightunsigned("mark", 64 - _DOCUMENT_BITS), _DOCUMENT_BITS))
+    shared = docs.sparkSession.sparkContext.broadcast(bits_of(keys, F.shiftrightunsigned(mark, 64 - _DOCUMENT_BITS), _DOCUMENT_BITS))
 
     def side(batches, inside: bool):
         for batch in batches:
-            yield batch.filter(pa.array(has_bit(shared.value, batch.column("mark").to_numpy().view(np.uint64) >> np.uint64(64 - _DOCUMENT_BITS)) == inside))
+            yield batch.filter(pa.array(has_bit(shared.value, batch.column(mark).to_numpy().view(np.uint64) >> np.uint64(64 - _DOCUMENT_BITS)) == inside))
 
     def others(fn: Callable, schema) -> DataFrame:
         return docs.mapInArrow(lambda batches: fn(side(batches, False)), schema)

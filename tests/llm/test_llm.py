@@ -495,8 +495,8 @@ def test_mixing_rates_of_a_skewed_corpus(spark):
 
 
 def test_pipeline(spark, tmp_path, rows):
-    docs = spark.createDataFrame(rows, SCHEMA).select("doc_id", "text", "lang", "source", "n_chars")
-    planted = docs.unionByName(spark.createDataFrame([(700, prose(random.Random(1), 80) + " mail me at some.one@mail.org", "en", "s", 1)], docs.schema))
+    docs = spark.createDataFrame(rows, SCHEMA)  # with columns that clash with those of the operators
+    planted = docs.unionByName(spark.createDataFrame([(700, prose(random.Random(1), 80) + " mail me at some.one@mail.org", "en", "s", 1, 5, "r", "m", "l")], docs.schema))
     planted.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(6)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     table, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
@@ -504,6 +504,7 @@ def test_pipeline(spark, tmp_path, rows):
         table = corpus_pipeline.written(stage(spark, table, str(tmp_path)), name)
         assert table.columns == docs.columns
         seen[name] = table.collect()
+        assert {(r["key"], r["rank"], r["mark"], r["label"]) for r in seen[name]} <= {(5, "r", "m", "l"), (1, "r", "m", "l"), (None,) * 4}
     failed = [r for r in seen["quality_rules"] if len(words(r.text)) < 50]
     assert not failed and {0, 3, 700} <= {r.doc_id for r in seen["quality_rules"]}
     items = sorted({(-1 if r.doc_id is None else r.doc_id, r.text) for r in seen["quality_rules"]})
@@ -517,5 +518,5 @@ def test_pipeline(spark, tmp_path, rows):
 
 
 def test_all_queries_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "personal_data", "mixing_to_targets", "byte_bpe"]
