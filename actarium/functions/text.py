@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -80,11 +81,19 @@ def replace_all(x: Column, rules: Iterable[tuple[str, str]]) -> Column:
     return x
 
 
+def _literal_start(pattern: str) -> str:
+    """Plain letters that every match of a pattern begins with, in lower case ('' if there is no telling)."""
+    start = re.match(r"[A-Za-z]*", pattern)[0]
+    if "|" in pattern:
+        return ""
+    return (start[:-1] if pattern[len(start):len(start) + 1] in ("?", "*", "{") else start).lower()
+
+
 def scan_rules(cfg: DetectionConfig) -> list[tuple[str, str, str]]:
     """Ordered rewrite list of B3 as (trigger, pattern, replacement). Rules are data; the target name and tax ids come
     from the config. A trigger is a lower-case piece every match holds; '' means the pattern is always tried."""
     rules = [(t, *r) for t, r in zip(fixed.GLUED_TRIGGERS, fixed.GLUED_TITLES)]
-    rules += [("", rf"(?i)\b{v}\b", cfg.target) for v in cfg.scan_variants]
+    rules += [(_literal_start(v), rf"(?i)\b{v}\b", cfg.target) for v in cfg.scan_variants]
     rules += [(t, *r) for t, r in zip(fixed.CUT_TRIGGERS, fixed.CUT_TITLES)]
     if cfg.truncated_stem:
         stem = cfg.truncated_stem
@@ -102,24 +111,37 @@ def scan_rules(cfg: DetectionConfig) -> list[tuple[str, str, str]]:
 def normalize_scan(x: ColumnLike, cfg: DetectionConfig) -> Column:
     """B3 - undo frequent scan errors in titles, the target name and its tax ids.
 
-    Most rules do not apply to most texts, so a cheap search for the trigger decides whether a pattern is run."""
-    out = text(x)
-    for trigger, pattern, replacement in scan_rules(cfg):
-        out = let(out, lambda t: F.when(
-            F.contains(F.lower(t), F.lit(trigger)) if trigger else F.lit(True), F.regexp_replace(t, rx(pattern), replacement)).otherwise(t))
-    return out
+    Most rules do not apply to most texts, so a cheap search for the trigger decides whether a pattern is run: in the text as
+    it came, made lower-case once, for its own trigger and those of earlier rules that may write it."""
+    rules = scan_rules(cfg)
 
+    def wanted(low: Column, i: int) -> Column:
+        trigger = rules[i][0]
+        any_of = {trigger, *(t for t, _, written in rules[:i] if trigger in written.lower())}
+        return F.lit(True) if "" in any_of else any_contains(low, sorted(any_of))
+
+    def chain(t: Column, low: Column) -> Column:
+        out = t
+        for i, (_, pattern, replacement) in enumerate(rules):
+            out = let(out, lambda now: F.when(wanted(low, i), F.regexp_replace(now, rx(pattern), replacement)).otherwise(now))
+        return out
 
-def repair_scan(x: ColumnLike, cfg: DetectionConfig) -> Column:
-    """B4 - B3 plus literal repairs, then squeezed."""
-    out = normalize_scan(x, cfg)
+    return let(text(x), lambda t: let(F.lower(t), lambda low: chain(t, low)))
+
+
+def repair_scan(x: ColumnLike, cfg: DetectionConfig, clean: bool = False) -> Column:
+    """B4 - B3 plus literal repairs, then squeezed. ``clean`` says that B3 has been done (it is idempotent)."""
+    out = text(x) if clean else normalize_scan(x, cfg)
     for wrong, right in fixed.LITERAL_REPAIRS:
         out = F.replace(out, F.lit(wrong), F.lit(right))
     key = cfg.key.replace("_", "[_]")
     mail = f"prefeitura@{cfg.key}.pr.gov.br"
-    out = F.regexp_replace(out, rf"(?i)prefeitura[gq@d]{key}\.?\s*pr\.?\s*gov\.?\s*br", mail)
-    out = F.regexp_replace(out, rf"(?i)www {key}\.pr gov br", f"www.{cfg.key}.pr.gov.br")
-    return squeeze(out)
+
+    def addresses(t: Column) -> Column:
+        mended = F.regexp_replace(F.regexp_replace(t, rf"(?i)prefeitura[gq@d]{key}\.?\s*pr\.?\s*gov\.?\s*br", mail), rf"(?i)www {key}\.pr gov br", f"www.{cfg.key}.pr.gov.br")
+        return F.when(F.contains(F.lower(t), F.lit("gov")), mended).otherwise(t)
+
+    return squeeze(let(out, addresses))
 
 
 def clean_excerpt(x: ColumnLike, limit: int | None = None) -> Column:

@@ -22,6 +22,21 @@ def scanned(x: ColumnLike, cfg: DetectionConfig, clean: bool) -> Column:
     return text(x) if clean else normalize_scan(x, cfg)
 
 
+def line_rows(lines: Column, folded: Column | None = None) -> Column:
+    """Lines with their folded text and two marks: title, subject label."""
+    if folded is None:
+        pairs = F.transform(lines, lambda s: F.struct(s.alias("s"), fold(s).alias("f")))
+    else:
+        pairs = F.arrays_zip(lines.alias("s"), folded.alias("f"))
+    return F.transform(pairs, lambda r: F.struct(
+        r["s"].alias("s"), r["f"].alias("f"), r["f"].rlike(fixed.TITLE_LINE).alias("title"), r["f"].rlike(fixed.SUBJECT_LABEL).alias("label")))
+
+
+def squeezed_lines(x: Column) -> Column:
+    """As `lines_of`, with one pass over the whole text."""
+    return F.filter(F.transform(F.split(F.regexp_replace(x, r"[^\S\n]+", " "), "\n"), lambda s: F.trim(s)), lambda s: F.length(s) > 0)
+
+
 def head(x: ColumnLike, n: int) -> Column:
     """Folded first n characters of the squeezed text."""
     return fold(F.substring(squeeze(text(x)), 1, n))
@@ -32,11 +47,12 @@ def head(x: ColumnLike, n: int) -> Column:
 
 def sponsor_context(x: Column, start: Column, end: Column, cfg: DetectionConfig) -> Column:
     """D4 - the surroundings are an advertisement. Configured words that fold alike count twice."""
-    def test(c: Column) -> Column:
-        hits = sum((F.contains(c, F.lit(fold_py(w))).cast("int") for w in cfg.ignored_context if w.strip()), F.lit(0))
-        return F.contains(c, F.lit(fixed.SPONSOR_PHRASE)) | (hits >= 2)
+    return let(fold(context(x, start, end, 180)), lambda c: _sponsored(c, cfg))
+
 
-    return let(fold(context(x, start, end, 180)), test)
+def _sponsored(c: Column, cfg: DetectionConfig) -> Column:
+    hits = sum((F.contains(c, F.lit(fold_py(w))).cast("int") for w in cfg.ignored_context if w.strip()), F.lit(0))
+    return F.contains(c, F.lit(fixed.SPONSOR_PHRASE)) | (hits >= 2)
 
 
 def glued_mention(x: Column, start: Column, end: Column) -> Column:
@@ -55,10 +71,14 @@ def brand_context(x: Column, start: Column, end: Column, cfg: DetectionConfig) -
 
 def category(x: ColumnLike, cfg: DetectionConfig) -> Column:
     """D7 - sponsor, official publication or news."""
-    t = text(x)
+    return let(fold(text(x)), lambda f: category_of(f, cfg))
+
+
+def category_of(folded: Column, cfg: DetectionConfig) -> Column:
+    """D7 on a folded text; the surroundings of its first character tell a sponsor."""
     return (
-        F.when(sponsor_context(t, F.lit(0), F.least(F.length(t), F.lit(1)), cfg), "patrocinador_distribuicao")
-        .when(any_contains(fold(t), fixed.OFFICIAL_SIGNALS), "publicacao_oficial")
+        F.when(let(F.substring(folded, 1, 181), lambda c: _sponsored(c, cfg)), "patrocinador_distribuicao")
+        .when(any_contains(folded, fixed.OFFICIAL_SIGNALS), "publicacao_oficial")
         .otherwise("materia_jornalistica"))
 
 
@@ -96,7 +116,7 @@ def line_starts_act(x: ColumnLike) -> Column:
 
 def has_act_header(x: ColumnLike) -> Column:
     """D15 - any line is a title or carries a subject label."""
-    return F.exists(lines_of(x), lambda s: let(fold(s), lambda f: f.rlike(fixed.TITLE_LINE) | f.rlike(fixed.SUBJECT_LABEL)))
+    return F.exists(line_rows(lines_of(x)), lambda r: r["title"] | r["label"])
 
 
 # ---- D8 organ ------------------------------------------------------------------------------
@@ -104,12 +124,16 @@ def has_act_header(x: ColumnLike) -> Column:
 
 def extract_organ(x: ColumnLike, cfg: DetectionConfig, clean: bool = False) -> Column:
     """D8 - own organ by the head of the text, truncated headers, councils and funds, then the tax id."""
+    return let(scanned(x, cfg, clean), lambda n: organ_of(n, fold(n), fold(squeeze(n)), cfg))
+
+
+def organ_of(n: Column, folded: Column, flat: Column, cfg: DetectionConfig) -> Column:
+    """D8 on a normalised text, the folded one, and the folded one in one line."""
     k, t, stem = cfg.key, cfg.target, cfg.stem
     exec_, council = f"Prefeitura Municipal de {t}", f"Câmara Municipal de {t}"
 
-    def rules(n: Column) -> Column:
-        flat = let(squeeze(n), lambda q: F.struct(
-            n.alias("n"), fold(F.substring(q, 1, 280)).alias("head"), fold(F.substring(q, 1, 800)).alias("full"), fold(n).alias("whole")))
+    def rules(flat: Column) -> Column:
+        parts = F.struct(n.alias("n"), F.substring(flat, 1, 280).alias("head"), F.substring(flat, 1, 800).alias("full"), folded.alias("whole"))
 
         def choose(v: Column) -> Column:
             h, full, whole = v["head"], v["full"], v["whole"]
@@ -134,9 +158,9 @@ def extract_organ(x: ColumnLike, cfg: DetectionConfig, clean: bool = False) -> C
                 out = out.when(F.contains(v["n"], F.lit(tax[:15])), F.when(is_council, council).otherwise(f"Município de {t}"))
             return out
 
-        return let(flat, choose)
+        return let(parts, choose)
 
-    return let(scanned(x, cfg, clean), rules)
+    return let(flat, rules)
 
 
 # ---- D9 type and number --------------------------------------------------------------------
@@ -185,14 +209,19 @@ def _title_of(row: Column) -> Column:
 def extract_type_number(x: ColumnLike, cfg: DetectionConfig, clean: bool = False) -> Column:
     """D9 - struct(act_type, number) of the first line that announces an act; the first three lines are also tried
     as one line, since scans break titles."""
-    def scan(lines: Column) -> Column:
-        joined = F.when(F.size(lines) > 0, F.array(F.array_join(F.slice(lines, 1, 3), " "))).otherwise(F.array().cast("array<string>"))
-        rows = F.transform(F.concat(lines, joined), lambda s: F.struct(s.alias("line"), fold(s).alias("f")))
-        titled = F.filter(rows, lambda r: r["f"].rlike(fixed.TITLE_TYPE))
-        hits = F.filter(F.transform(titled, _title_of), lambda s: s.isNotNull())
-        return F.try_element_at(hits, F.lit(1))
+    return let(line_rows(lines_of(scanned(x, cfg, clean))), type_number_of)
+
 
-    return let(lines_of(scanned(x, cfg, clean)), scan)
+def type_number_of(rows: Column) -> Column:
+    """D9 on the lines of a text (see `line_rows`)."""
+    def pair(s: Column, f: Column) -> Column:
+        return F.struct(s.alias("line"), f.alias("f"))
+
+    first = F.slice(rows, 1, 3)
+    joined = F.when(F.size(rows) > 0, F.array(pair(F.array_join(F.transform(first, lambda r: r["s"]), " "), F.array_join(F.transform(first, lambda r: r["f"]), " "))))
+    every = F.concat(F.transform(rows, lambda r: pair(r["s"], r["f"])), F.coalesce(joined, F.array().cast("array<struct<line:string,f:string>>")))
+    titled = F.filter(every, lambda r: r["f"].rlike(fixed.TITLE_TYPE))
+    return F.try_element_at(F.filter(F.transform(titled, _title_of), lambda s: s.isNotNull()), F.lit(1))
 
 
 # ---- D10 / D11 numbers ---------------------------------------------------------------------
@@ -252,6 +281,11 @@ def extract_date(x: ColumnLike, cfg: DetectionConfig, clean: bool = False) -> Co
 
 def extract_subject(x: ColumnLike, cfg: DetectionConfig, clean: bool = False) -> Column:
     """D13 - subject line of the act (300 characters)."""
+    return let(line_rows(lines_of(scanned(x, cfg, clean))), lambda rows: subject_of(rows, cfg))
+
+
+def subject_of(rows: Column, cfg: DetectionConfig) -> Column:
+    """D13 on the lines of a text (see `line_rows`)."""
     label = rx(fixed.SUBJECT_LABEL_RAW)
 
     def labelled(s: Column) -> Column:
@@ -260,13 +294,6 @@ def extract_subject(x: ColumnLike, cfg: DetectionConfig, clean: bool = False) ->
     def first(arr: Column) -> Column:
         return F.try_element_at(arr, F.lit(1))["s"]
 
-    def from_lines(lines: Column) -> Column:
-        rows = F.transform(lines, lambda s: let(fold(s), lambda f: F.struct(
-            s.alias("s"), f.alias("f"), f.rlike(fixed.TITLE_LINE).alias("title"), f.rlike(fixed.SUBJECT_LABEL).alias("label"))))
-        return let(rows, from_rows)
-
-    def from_rows(rows: Column) -> Column:
-        return let(F.array_position(F.transform(rows, lambda r: r["title"]), True).cast("int"), lambda at: pick(rows, at))
 
     def pick(rows: Column, at: Column) -> Column:
         title = F.try_element_at(rows, F.nullif(at, F.lit(0)))
@@ -283,7 +310,7 @@ def extract_subject(x: ColumnLike, cfg: DetectionConfig, clean: bool = False) ->
         out = F.when(at > 0, after_title).otherwise(F.coalesce(labelled(anywhere), keyword, plain))
         return F.substring(squeeze(out), 1, 300)
 
-    return let(lines_of(scanned(x, cfg, clean)), from_lines)
+    return let(F.array_position(F.transform(rows, lambda r: r["title"]), True).cast("int"), lambda at: pick(rows, at))
 
 
 def shorten_subject(x: ColumnLike, cfg: DetectionConfig) -> Column:
@@ -313,6 +340,11 @@ def _organ_of(names: str) -> str:
 def foreign_entity(x: ColumnLike, cfg: DetectionConfig) -> Column:
     """D16 - the text belongs to a neighbour: an organ of the neighbour in the first 600 characters (unless own tax id
     and own organ dominate), or a short header with the neighbour's name."""
+    return foreign_of(fold(squeeze(text(x))), has_entity_taxid(x, cfg), cfg)
+
+
+def foreign_of(flat: Column, own_tax: Column, cfg: DetectionConfig) -> Column:
+    """D16 on the folded text in one line."""
     names = cfg.neighbour_keys
     if not names:
         return F.lit(False)
@@ -322,7 +354,7 @@ def foreign_entity(x: ColumnLike, cfg: DetectionConfig) -> Column:
         h600 = F.substring(full, 1, 600)
         own_organ = F.substring(full, 1, 500).rlike(rf"\b(prefeitura|camara|municipio|prefeito)(\s+\w+){{0,4}}\s+{k}\b") | any_contains(
             F.substring(full, 1, 400), (f"prefeitura municipal de {k}", f"camara municipal de {k}", f"municipio de {k}"))
-        own = has_entity_taxid(x, cfg) & own_organ
+        own = own_organ & own_tax
         dominant = F.lit(False)
         for n in names:
             dominant = dominant | (F.contains(F.substring(full, 1, 120), F.lit(n)) & h600.rlike(_organ_of(n)))
@@ -333,7 +365,7 @@ def foreign_entity(x: ColumnLike, cfg: DetectionConfig) -> Column:
             & ~F.contains(F.substring(full, 1, 120), F.lit(k)) & any_contains(F.substring(full, 1, 140), names))
         return by_organ | short
 
-    return let(fold(squeeze(text(x))), test)
+    return let(flat, test)
 
 
 def suspect_foreign(organ: ColumnLike, excerpt: ColumnLike, cfg: DetectionConfig) -> Column:
