@@ -314,9 +314,34 @@ def clean_pages(suggested: ColumnLike, excerpt_pages: ColumnLike) -> Column:
     return F.slice(F.when(F.size(s) > 0, s).otherwise(F.slice(excerpt_pages, 1, 5)), 1, 8)
 
 
-def pending_enrichment(acts: DataFrame, k: int = 100) -> DataFrame:
+def citations(answers: DataFrame, items: DataFrame, key: str = "act_id") -> DataFrame:
+    """F15 - item numbers that an answer cites as the acts they stand for: (key, place, cited_id, edition_id, act_type, number).
+
+    answers: key, cited (array of texts, in order); items: key, idx (from 1), cited_id, edition_id, act_type, number.
+    What is no number, and numbers of no item, are left out; an item cited twice stays twice."""
+    asked = answers.select(key, F.posexplode("cited").alias("place", "_c")).select(key, "place", F.col("_c").try_cast("int").alias("idx"))
+    return asked.where("idx is not null").join(items, [key, "idx"]).select(key, "place", "cited_id", "edition_id", "act_type", "number")
+
+
+def similar_items(acts: DataFrame, similar: DataFrame) -> DataFrame:
+    """F14, F15 - the acts like each act as numbered items, in the order of their rank. similar: query_id, rank, act_id (H8)."""
+    s = similar.withColumnRenamed("act_id", "cited_id").withColumnsRenamed({"query_id": "act_id", "rank": "idx"})
+    about = acts.select(F.col("act_id").alias("cited_id"), *[c for c in acts.columns if c != "act_id"])
+    return s.join(about, "cited_id")
+
+
+def similar_context(items: DataFrame, key: str = "act_id", n: int = 6) -> DataFrame:
+    """F14 - the six most similar acts of an act."""
+    line = F.concat(F.lit("id="), F.col("cited_id").cast("string"), F.lit(" "), text("act_type"), F.lit(" "), text("number"), F.lit(" "), text("organ"), F.lit(" valor="),
+                    F.coalesce(F.nullif(F.col("value"), F.lit("")), F.lit("—")), F.lit(" data="), F.coalesce("pub_date", "doc_date", F.lit("?")), F.lit("\n"),
+                    F.substring(F.coalesce(F.nullif(F.col("summary"), F.lit("")), text("subject")), 1, 180))
+    return context_pack(items, key, [F.col("idx")], line, n, "\n")
+
+
+def pending_enrichment(acts: DataFrame, k: int | None = None) -> DataFrame:
     """F17 - acts without a summary or not processed, by edition and id."""
-    return acts.where((F.col("enriched") == 0) | ~filled("summary")).orderBy("edition_id", "act_id").limit(k)
+    out = acts.where((F.col("enriched") == 0) | ~filled("summary")).orderBy("edition_id", "act_id")
+    return out.limit(k) if k else out
 
 
 def retry_pending(acts: DataFrame, responses: DataFrame, cfg: DetectionConfig) -> DataFrame:

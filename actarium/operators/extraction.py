@@ -227,12 +227,21 @@ def type_number_of(rows: Column) -> Column:
 # ---- D10 / D11 numbers ---------------------------------------------------------------------
 
 
+def marked_numbers(folded: Column) -> Column:
+    """D10 - all numbers behind a number sign in a folded text, parts joined by slashes. One fixed pattern finds them all."""
+    found = F.regexp_extract_all(folded, F.lit(r"n(?:[o°.]?\s*|umero\s*[:\s]*)(?=(\d+(?:\s*[/\-.]\s*\d+)*)\b)"), F.lit(1))
+    return F.transform(found, lambda s: F.regexp_replace(s, r"\s*[/\-.]\s*", "/"))
+
+
 def number_anchored(number: ColumnLike, x: ColumnLike) -> Column:
-    """D10 - the number stands behind a number sign in the text."""
+    """D10 - the number stands behind a number sign in the text, whole or followed by further parts. Numbers of other
+    characters than digits and slashes, which are rare, are searched for as patterns."""
     def anchored(n: Column) -> Column:
+        f = fold(text(x))
         quoted = F.regexp_replace(F.regexp_replace(n, r"([^a-z0-9/])", r"\\$1"), r"/", r"\\s*[/\\-.]\\s*")
         pattern = F.concat(F.lit(r"(?:n[o°.]?\s*|numero\s*[:\s]*)"), quoted, F.lit(r"\b"))
-        return (F.length(n) > 0) & (F.length(text(x)) > 0) & F.regexp_like(fold(text(x)), pattern)
+        among = F.exists(marked_numbers(f), lambda m: (m == n) | F.startswith(m, F.concat(n, F.lit("/"))))
+        return (F.length(n) > 0) & (F.length(text(x)) > 0) & F.when(n.rlike(r"^\d+(/\d+)*$"), among).otherwise(F.regexp_like(f, pattern))
 
     return let(let(text(number), lambda r: fold(F.coalesce(valid_act_number(r), strip(r)))), anchored)
 

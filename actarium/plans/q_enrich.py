@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..operators import enrichment as N
 from ..functions.text import text
+from ..operators import search as H
 from . import sqlx as Q
+from .q_search import ROWS_CTE
 from .projections import CONFIG
 from .q_detect import anchored_sql, preferred_sql
 from .q_functions import norm_date_sql, variants_sql
@@ -237,6 +239,59 @@ def _(t):
     return N.timeline_context(j)
 
 
+# the questions are the benchmark texts; every act whose id is divisible by 100 is compared with those like it
+@query("F14_context_question", f"""WITH {ROWS_CTE}, q AS (SELECT item_id AS query_id, tok, count(*) AS m FROM (SELECT item_id, unnest(regexp_extract_all({Q.fold('text')}, '[a-z0-9]{{2,}}')) AS tok FROM benchmark) GROUP BY ALL),
+s AS (SELECT query_id, act_id, any_value(day) AS day, any_value(boost) + sum(CASE WHEN contains(b, tok) THEN m * (30 + 3 * CAST((length(b) - length(replace(b, tok, ''))) // length(tok) AS BIGINT)) ELSE 0 END) AS s FROM q, rows GROUP BY ALL),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, day, act_id DESC) AS rank FROM s WHERE s > 0) WHERE rank <= 8)
+SELECT query_id, string_agg('[' || rank || '] id=' || act_id || ' tipo=' || coalesce(act_type, '') || ' num=' || coalesce(number, '') || chr(10) || 'resumo=' || coalesce(nullif(summary, ''), subject, '') || chr(10) || 'trecho=' || coalesce(excerpt, '')[:500], chr(10) || chr(10) ORDER BY rank) AS context,
+  count(*) AS n_items FROM t JOIN gz_acts a USING (act_id) GROUP BY 1""")
+def _(t):
+    acts = H.with_edition(t.spread("gz_acts"), t.gz_editions)
+    ranked = H.rank_acts_many(acts, t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 8)
+    return N.question_context(ranked.join(t.gz_acts, "act_id"))
+
+
+def _similar(t):
+    acts = H.with_edition(t.spread("gz_acts"), t.gz_editions)
+    return N.similar_items(acts, H.similar_acts(acts, acts.where("act_id % 100 = 0"), 6).drop("score"))
+
+
+_LIKE = f"""{ROWS_CTE}, q0 AS (SELECT act_id AS query_id, concat_ws(' ', nullif(act_type, ''), nullif(organ, ''), coalesce(nullif(subject, ''), nullif(summary, '')), nullif(themes, '')) AS x FROM gz_acts JOIN gz_editions e USING (edition_id) WHERE act_id % 100 = 0),
+q AS (SELECT query_id, tok, count(*) AS m FROM (SELECT query_id, unnest(regexp_extract_all({Q.fold('x')}, '[a-z0-9]{{2,}}')) AS tok FROM q0) GROUP BY ALL),
+s AS (SELECT query_id, act_id, any_value(day) AS day, any_value(boost) + sum(CASE WHEN contains(b, tok) THEN m * (30 + 3 * CAST((length(b) - length(replace(b, tok, ''))) // length(tok) AS BIGINT)) ELSE 0 END) AS s FROM q, rows WHERE act_id <> query_id GROUP BY ALL),
+newest AS (SELECT act_id, row_number() OVER (ORDER BY e.pub_date DESC NULLS LAST, act_id DESC) AS place FROM gz_acts JOIN gz_editions e USING (edition_id)),
+it AS (SELECT query_id, act_id AS cited_id, idx FROM (SELECT query_id, act_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, day, act_id DESC) AS idx FROM s WHERE s > 0) WHERE idx <= 6
+  UNION ALL SELECT * FROM (SELECT query_id, act_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS idx FROM q0, (SELECT * FROM newest WHERE place <= 7) n WHERE act_id <> query_id AND query_id NOT IN (SELECT query_id FROM q)) WHERE idx <= 6)"""
+
+
+@query("F14_context_similar", f"""WITH {_LIKE}
+SELECT it.query_id AS act_id, string_agg('[' || idx || '] id=' || cited_id || ' ' || coalesce(act_type, '') || ' ' || coalesce(number, '') || ' ' || coalesce(organ, '') || ' valor=' || coalesce(nullif(value, ''), '—') || ' data=' || coalesce(e.pub_date, doc_date, '?') || chr(10) ||
+  coalesce(nullif(summary, ''), subject, '')[:180], chr(10) ORDER BY idx) AS context, count(*) AS n_items FROM it JOIN gz_acts a ON a.act_id = it.cited_id JOIN gz_editions e USING (edition_id) GROUP BY 1""")
+def _(t):
+    return N.similar_context(_similar(t))
+
+
+# the stand-in answers cite the numbers 1 + id % 9 and 3, and one text that is no number
+@query("F15_citations", f"""WITH {_LIKE}, an AS (SELECT query_id, unnest(['' || (1 + (query_id // 100) % 9), 'x', '3']) AS c, generate_subscripts([1, 2, 3], 1) - 1 AS place FROM q0)
+SELECT an.query_id AS act_id, CAST(place AS INTEGER) AS place, cited_id, a.edition_id, a.act_type, a.number FROM an JOIN it ON it.query_id = an.query_id AND it.idx = try_cast(an.c AS INTEGER) JOIN gz_acts a ON a.act_id = it.cited_id""")
+def _(t):
+    i = F.col("act_id")
+    answers = t.gz_acts.where("act_id % 100 = 0").select("act_id", F.array((1 + F.floor(i / 100) % 9).cast("string"), F.lit("x"), F.lit("3")).alias("cited"))
+    return N.citations(answers, _similar(t))
+
+
+@query("F15_clean_pages", """WITH s AS (SELECT edition_id, list(CASE WHEN mention_id % 3 = 0 THEN 'p' || page ELSE '' || page END ORDER BY page, mention_id) FILTER (edition_id % 4 > 0) AS said, list(page ORDER BY page, mention_id) AS pages FROM gz_mentions GROUP BY 1),
+c AS (SELECT edition_id, list_filter(list_transform(coalesce(said, []), lambda x: try_cast(x AS INTEGER)), lambda p: p IS NOT NULL) AS good, pages FROM s)
+SELECT edition_id, array_to_string(CASE WHEN len(good) > 0 THEN good[1:8] ELSE pages[1:5] END, ',') AS pages FROM c""")
+def _(t):
+    m = t.gz_mentions
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("page", "mention_id", c.alias("x")))), lambda s: s["x"])
+    said = F.when(F.col("mention_id") % 3 == 0, F.concat(F.lit("p"), F.col("page").cast("string"))).otherwise(F.col("page").cast("string"))
+    g = m.groupBy("edition_id").agg(ordered(said).alias("said"), ordered(F.col("page")).alias("pages"))
+    suggested = F.when(F.col("edition_id") % 4 > 0, F.col("said")).otherwise(F.array().cast("array<string>"))
+    return g.select("edition_id", F.array_join(F.transform(N.clean_pages(suggested, F.col("pages")), lambda p: p.cast("string")), ",").alias("pages"))
+
+
 @query("F15_align_indexed", f"""WITH {_PARSED}, it AS (SELECT edition_id, CAST(row_number() OVER (PARTITION BY edition_id ORDER BY page, mention_id) AS INTEGER) AS idx, mention_id, page, excerpt FROM gz_mentions),
 an AS (SELECT a.edition_id, p.i AS idx, arg_max_null(p.classificacao, p.act_id) AS c FROM par p JOIN gz_acts a USING (act_id) WHERE p.ok AND p.i IS NOT NULL GROUP BY ALL)
 SELECT it.edition_id, idx, mention_id, page, excerpt[:200] AS excerpt, lower(coalesce(nullif(c, ''), 'outro')) AS "class" FROM it LEFT JOIN an USING (edition_id, idx)""")
@@ -254,6 +309,6 @@ def _(t):
     return N.retry_pending(t.spread("gz_acts"), t.spread("gz_responses"), CONFIG)
 
 
-@query("F17_pending_enrichment", "SELECT act_id, edition_id FROM gz_acts WHERE enriched = 0 OR coalesce(summary, '') = '' ORDER BY edition_id, act_id LIMIT 100")
+@query("F17_pending_enrichment", "SELECT act_id, edition_id FROM gz_acts WHERE enriched = 0 OR coalesce(summary, '') = '' ")
 def _(t):
     return N.pending_enrichment(t.gz_acts).select("act_id", "edition_id")

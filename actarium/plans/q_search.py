@@ -72,11 +72,11 @@ def _(t):
     return H.agent_pick(t.gz_editions, 10, AS_OF_DAY, CONFIG).select("edition_id", "pick_score")
 
 
-_ROWS = f"""rows AS (SELECT a.act_id, coalesce(e.pub_date, '') AS day, {Q.fold(" || ' ' || ".join(Q.txt(c) for c in ('a.act_type', 'a.number', 'a.organ', 'a.subject', 'a.summary', 'a.excerpt', 'a.value', 'e.title')))} AS b,
+ROWS_CTE = f"""rows AS (SELECT a.act_id, coalesce(e.pub_date, '') AS day, {Q.fold(" || ' ' || ".join(Q.txt(c) for c in ('a.act_type', 'a.number', 'a.organ', 'a.subject', 'a.summary', 'a.excerpt', 'a.value', 'e.title')))} AS b,
   CASE WHEN coalesce(a.summary, '') <> '' THEN 5 ELSE 0 END + CASE WHEN coalesce(a.value, '') <> '' THEN 2 ELSE 0 END AS boost FROM gz_acts a JOIN gz_editions e USING (edition_id))"""
 
 
-@query("H5_rank_acts", f"""WITH {_ROWS}, q AS (SELECT item_id AS query_id, tok, count(*) AS m FROM (SELECT item_id, unnest(regexp_extract_all({Q.fold('text')}, '[a-z0-9]{{2,}}')) AS tok FROM benchmark) GROUP BY ALL),
+@query("H5_rank_acts", f"""WITH {ROWS_CTE}, q AS (SELECT item_id AS query_id, tok, count(*) AS m FROM (SELECT item_id, unnest(regexp_extract_all({Q.fold('text')}, '[a-z0-9]{{2,}}')) AS tok FROM benchmark) GROUP BY ALL),
 s AS (SELECT query_id, act_id, any_value(day) AS day, any_value(boost) + sum(CASE WHEN contains(b, tok) THEN m * (30 + 3 * CAST((length(b) - length(replace(b, tok, ''))) // length(tok) AS BIGINT)) ELSE 0 END) AS s FROM q, rows GROUP BY ALL)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, act_id, round(s / 10.0, 2)::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, day, act_id DESC) AS rank FROM s WHERE s > 0) WHERE rank <= 30""")
 def _(t):
@@ -84,7 +84,7 @@ def _(t):
     return H.rank_acts_many(acts, t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 30)
 
 
-@query("H5_rank_acts_one", f"""WITH {_ROWS}, s AS (SELECT act_id, day, boost + {' + '.join(f"CASE WHEN contains(b, '{w}') THEN 30 + 3 * CAST((length(b) - length(replace(b, '{w}', ''))) // {len(w)} AS BIGINT) ELSE 0 END" for w in ('obra', 'de', 'asfalto', 'decreto', 'nation'))} AS s FROM rows)
+@query("H5_rank_acts_one", f"""WITH {ROWS_CTE}, s AS (SELECT act_id, day, boost + {' + '.join(f"CASE WHEN contains(b, '{w}') THEN 30 + 3 * CAST((length(b) - length(replace(b, '{w}', ''))) // {len(w)} AS BIGINT) ELSE 0 END" for w in ('obra', 'de', 'asfalto', 'decreto', 'nation'))} AS s FROM rows)
 SELECT act_id, round(s / 10.0, 2)::DOUBLE AS score FROM s WHERE s > 0 ORDER BY s DESC, day, act_id DESC LIMIT 50""")
 def _(t):
     acts = H.with_edition(t.spread("gz_acts"), t.gz_editions)
@@ -109,7 +109,7 @@ def _(t):
 
 
 # every act whose id is divisible by 100 asks, all acts answer
-@query("H8_similar_acts", f"""WITH {_ROWS}, q0 AS (SELECT act_id AS query_id, concat_ws(' ', nullif(act_type, ''), nullif(organ, ''), coalesce(nullif(subject, ''), nullif(summary, '')), nullif(themes, '')) AS x FROM gz_acts JOIN gz_editions e USING (edition_id) WHERE act_id % 100 = 0),
+@query("H8_similar_acts", f"""WITH {ROWS_CTE}, q0 AS (SELECT act_id AS query_id, concat_ws(' ', nullif(act_type, ''), nullif(organ, ''), coalesce(nullif(subject, ''), nullif(summary, '')), nullif(themes, '')) AS x FROM gz_acts JOIN gz_editions e USING (edition_id) WHERE act_id % 100 = 0),
 q AS (SELECT query_id, tok, count(*) AS m FROM (SELECT query_id, unnest(regexp_extract_all({Q.fold('x')}, '[a-z0-9]{{2,}}')) AS tok FROM q0) GROUP BY ALL),
 s AS (SELECT query_id, act_id, any_value(day) AS day, any_value(boost) + sum(CASE WHEN contains(b, tok) THEN m * (30 + 3 * CAST((length(b) - length(replace(b, tok, ''))) // length(tok) AS BIGINT)) ELSE 0 END) AS s FROM q, rows WHERE act_id <> query_id GROUP BY ALL),
 n AS (SELECT act_id, row_number() OVER (ORDER BY e.pub_date DESC NULLS LAST, act_id DESC) AS place FROM gz_acts JOIN gz_editions e USING (edition_id)),
