@@ -13,7 +13,7 @@ from ..functions.values import (money_digit_variants, normalize_act_type, normal
                                 normalize_organ, normalize_theme, parse_money, repair_json, valid_act_number)
 from .extraction import preferred_number, reliable_number
 from .linkage import optional
-from .windows import with_previous
+from .windows import at_most, with_previous
 
 RESPONSE = (
     "acao string, motivo string, pertence_a_alvo boolean, tem_mencao_alvo boolean, texto_corrigido string, orgao string, tipo string, "
@@ -251,13 +251,13 @@ def is_fiscal(act_type: ColumnLike, themes: ColumnLike, subject: ColumnLike, sum
     return any_contains(fold(F.array_join(F.array(*[text(x) for x in (act_type, themes, subject, summary, excerpt)]), " ")), fixed.FISCAL_KEYS)
 
 
-def fiscal_listing(acts: DataFrame, editions: DataFrame, k: int = 40) -> DataFrame:
+def fiscal_listing(acts: DataFrame, editions: DataFrame, k: int | None = None) -> DataFrame:
     """F13 - newest fiscal acts by type, theme, subject or summary."""
     kind, themes, subj, summ = (fold(text(c)) for c in ("act_type", "themes", "subject", "summary"))
     hit = (any_contains(kind, ("rgf", "rreo", "lrf", "balanc", "demonstrat", "fiscal")) | F.contains(themes, F.lit("fiscal"))
            | F.contains(subj, F.lit("lrf")) | F.contains(summ, F.lit("gestao fiscal")))
     e = editions.select("edition_id", F.col("title").alias("edition_title"), "pub_date")
-    return acts.where(hit).join(e, "edition_id").orderBy(F.desc_nulls_last("pub_date"), F.desc("act_id")).limit(k)
+    return at_most(acts.where(hit).join(e, "edition_id").orderBy(F.desc_nulls_last("pub_date"), F.desc("act_id")), k)
 
 
 def context_pack(rows: DataFrame, key: str, order: list[Column], line: Column, n: int, sep: str = "\n---\n", numbered_lines: bool = True) -> DataFrame:
@@ -340,8 +340,7 @@ def similar_context(items: DataFrame, key: str = "act_id", n: int = 6) -> DataFr
 
 def pending_enrichment(acts: DataFrame, k: int | None = None) -> DataFrame:
     """F17 - acts without a summary or not processed, by edition and id."""
-    out = acts.where((F.col("enriched") == 0) | ~filled("summary")).orderBy("edition_id", "act_id")
-    return out.limit(k) if k else out
+    return at_most(acts.where((F.col("enriched") == 0) | ~filled("summary")).orderBy("edition_id", "act_id"), k)
 
 
 def retry_pending(acts: DataFrame, responses: DataFrame, cfg: DetectionConfig) -> DataFrame:

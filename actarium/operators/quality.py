@@ -12,6 +12,7 @@ from ..functions.values import (flag_list, is_generic_type, json_object_or_empty
                                 reference_year, valid_act_number, year_in)
 from .extraction import number_anchored
 from .linkage import optional
+from .windows import at_most
 
 # ---- year repair ---------------------------------------------------------------------------
 
@@ -252,9 +253,9 @@ def persist_gaps(diagnosed: DataFrame) -> DataFrame:
                             F.when(F.col("severity") != "none", "pendente").otherwise("ok").alias("gap_status"))
 
 
-def pending_gaps(gaps: DataFrame, k: int = 30) -> DataFrame:
+def pending_gaps(gaps: DataFrame, k: int | None = None) -> DataFrame:
     """G10 - open gaps, highest score first."""
-    return gaps.where("gap_status = 'pendente'").orderBy(F.desc(F.coalesce("gap_score", F.lit(0))), F.desc_nulls_last("pub_date"), F.desc("edition_id")).limit(k)
+    return at_most(gaps.where("gap_status = 'pendente'").orderBy(F.desc(F.coalesce("gap_score", F.lit(0))), F.desc_nulls_last("pub_date"), F.desc("edition_id")), k)
 
 
 def under_detected(editions: DataFrame, hits: DataFrame, acts: DataFrame, since: str, k: int | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions.text import filled, first_match, nonblank, text
 from ..functions.values import format_money, parse_money
 from .quality import one_row, only_mentions
 from .search import pending_queue, with_edition
+from .windows import at_most
 
 def month_of(c: str = "pub_date") -> Column:
     return F.substring(F.col(c), 1, 7)
@@ -237,9 +238,9 @@ def review_counters(editions: DataFrame, acts: DataFrame) -> DataFrame:
         F.count("*").alias("total"), F.count_if(r.isNull() | r.isin("", "pendente")).alias("pending"), F.count_if(r == "revisada").alias("reviewed"), F.count_if(r == "ignorada").alias("ignored"))
 
 
-def anomaly_list(acts: DataFrame, editions: DataFrame, k: int = 40) -> DataFrame:
+def anomaly_list(acts: DataFrame, editions: DataFrame, k: int | None = None) -> DataFrame:
     """I17 - newest anomalies."""
-    return with_edition(acts.where("anomaly = 1"), editions).orderBy(F.desc("act_id")).limit(k)
+    return at_most(with_edition(acts.where("anomaly = 1"), editions).orderBy(F.desc("act_id")), k)
 
 
 def facets(acts: DataFrame, editions: DataFrame) -> DataFrame:
@@ -296,9 +297,9 @@ def log_errors(lines: DataFrame, k: int = 30) -> DataFrame:
     return last.join(hit.agg(F.count("*").alias("total")).withColumn("_o", F.lit(1)), "_o").drop("_o")
 
 
-def failed_editions(editions: DataFrame, k: int = 30) -> DataFrame:
+def failed_editions(editions: DataFrame, k: int | None = None) -> DataFrame:
     """I24 - editions by failures."""
-    return editions.where(F.coalesce("failures", F.lit(0)) > 0).orderBy(F.desc("failures"), F.desc("edition_id")).limit(k).select(
+    return at_most(editions.where(F.coalesce("failures", F.lit(0)) > 0).orderBy(F.desc("failures"), F.desc("edition_id")), k).select(
         "edition_id", "pub_date", "failures", F.substring(text("failure_msg"), 1, 150).alias("message"))
 
 

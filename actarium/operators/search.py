@@ -194,7 +194,7 @@ def newest_first(df: DataFrame, k: int | None = None) -> DataFrame:
 
 
 def filter_acts(acts: DataFrame, editions: DataFrame, q: str = "", month: str = "", act_type: str = "", level: str = "", organ: str = "", type_like: str = "",
-                since: str = "", until: str = "", only_target: bool = False, k: int | None = 50) -> DataFrame:
+                since: str = "", until: str = "", only_target: bool = False, k: int | None = None) -> DataFrame:
     """H6 - filtered listing; only the given filters are applied, those on one side are pushed below the join."""
     j = with_edition(acts, editions)
     if q:

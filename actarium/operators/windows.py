@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 16
 
 
+def at_most(df: DataFrame, k: int | None) -> DataFrame:
+    """The first k rows of an ordered list, or all of it."""
+    return df if k is None else df.limit(k)
+
+
 def numbered(df: DataFrame, part: list[str], order: str, chunk: int = CHUNK, name: str = "_rn") -> DataFrame:
     """1-based position of each row inside its key, by a unique integer ``order`` column.
 

@@ -214,7 +214,7 @@ def _(t):
 
 @query("F13_fiscal_listing", f"""SELECT a.act_id, a.act_type, e.title AS edition_title, e.pub_date FROM gz_acts a JOIN gz_editions e USING (edition_id)
 WHERE {Q.any_of(Q.fold(Q.txt('act_type')), ('rgf', 'rreo', 'lrf', 'balanc', 'demonstrat', 'fiscal'))} OR contains(lower({Q.txt('themes')}), 'fiscal') OR contains({Q.fold(Q.txt('subject'))}, 'lrf') OR contains({Q.fold(Q.txt('summary'))}, 'gestao fiscal')
-ORDER BY pub_date DESC NULLS LAST, act_id DESC LIMIT 40""")
+ORDER BY pub_date DESC NULLS LAST, act_id DESC""")
 def _(t):
     return N.fiscal_listing(t.gz_acts, t.gz_editions).select("act_id", "act_type", "edition_title", "pub_date")
 

@@ -157,7 +157,7 @@ def _(t):
     return _gaps(t, "audit").select("edition_id", "hits", "headers", "n_acts", "severity", "action", "score")
 
 
-@query("G10_pending_gaps", f"WITH {gap_cte('reprocess')} SELECT edition_id, title, pub_date, severity AS gap_severity, score AS gap_score, hits AS gap_hits, headers AS gap_headers, action AS gap_action, 'pendente' AS gap_status FROM gap WHERE severity <> 'none' ORDER BY score DESC, pub_date DESC NULLS LAST, edition_id DESC LIMIT 30")
+@query("G10_pending_gaps", f"WITH {gap_cte('reprocess')} SELECT edition_id, title, pub_date, severity AS gap_severity, score AS gap_score, hits AS gap_hits, headers AS gap_headers, action AS gap_action, 'pendente' AS gap_status FROM gap WHERE severity <> 'none' ORDER BY score DESC, pub_date DESC NULLS LAST, edition_id DESC")
 def _(t):
     return G.pending_gaps(G.persist_gaps(_gaps(t)))
 

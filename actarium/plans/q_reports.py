@@ -143,7 +143,7 @@ def _(t):
     return R.review_counters(t.gz_editions, t.gz_acts)
 
 
-@query("I17_anomaly_list", "SELECT act_id, anomaly_reason, e.title AS edition_title, e.pub_date FROM gz_acts JOIN gz_editions e USING (edition_id) WHERE anomaly = 1 ORDER BY act_id DESC LIMIT 40")
+@query("I17_anomaly_list", "SELECT act_id, anomaly_reason, e.title AS edition_title, e.pub_date FROM gz_acts JOIN gz_editions e USING (edition_id) WHERE anomaly = 1 ORDER BY act_id DESC")
 def _(t):
     return R.anomaly_list(t.gz_acts, t.gz_editions).select("act_id", "anomaly_reason", "edition_title", "pub_date")
 
@@ -188,7 +188,7 @@ def _(t):
     return R.log_errors(lines)
 
 
-@query("I24_failed_editions", "SELECT edition_id, pub_date, failures, coalesce(failure_msg, '')[:150] AS message FROM gz_editions WHERE failures > 0 ORDER BY failures DESC, edition_id DESC LIMIT 30")
+@query("I24_failed_editions", "SELECT edition_id, pub_date, failures, coalesce(failure_msg, '')[:150] AS message FROM gz_editions WHERE failures > 0 ORDER BY failures DESC, edition_id DESC")
 def _(t):
     return R.failed_editions(t.gz_editions)
 

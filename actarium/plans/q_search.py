@@ -97,7 +97,7 @@ def _(t):
     return H.filter_acts(t.gz_acts, t.gz_editions, q="Contrato", since="1996-01-01", until="2000-12-31", organ="prefeitura", only_target=True, level="revisar", k=None).select("act_id", "pub_date")
 
 
-@query("H6_filter_acts_month", "SELECT a.act_id, e.pub_date, e.title AS edition_title FROM gz_acts a JOIN gz_editions e USING (edition_id) WHERE e.pub_date LIKE '1998-03%' AND lower(coalesce(a.act_type, '')) = 'dispensa' ORDER BY e.pub_date DESC, a.act_id DESC LIMIT 50")
+@query("H6_filter_acts_month", "SELECT a.act_id, e.pub_date, e.title AS edition_title FROM gz_acts a JOIN gz_editions e USING (edition_id) WHERE e.pub_date LIKE '1998-03%' AND lower(coalesce(a.act_type, '')) = 'dispensa' ORDER BY e.pub_date DESC, a.act_id DESC")
 def _(t):
     return H.filter_acts(t.gz_acts, t.gz_editions, month="1998-03", act_type="Dispensa").select("act_id", "pub_date", "edition_title")
 
