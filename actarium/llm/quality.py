@@ -5,9 +5,12 @@ Base rules look at each text alone. The verdict for the rest comes from minimum-
 start, and a limit on the scaled Mahalanobis distance of the transformed statistics. DataFrame functions only; each step
 is a partial aggregate over a narrow table of statistics, so that one source with most of the rows needs no special care.
 
+The same estimates are made for every language, and for all rows: a row is judged by its (lang, source) if that has at least
+`min_group` passing rows, else by its language, if that has, else by all rows. So every passing row has a verdict, whatever
+the size of its source.
+
 Defined results: a null or empty text has no words and fails the base rules; null lang or source form groups of their own;
-repeated rows are judged as rows; groups with fewer than `min_group` passing rows have no verdict and keep their rows;
-all columns but doc_id, text, lang and source are ignored; an empty table gives an empty result.
+repeated rows are judged as rows; all columns but doc_id, text, lang and source are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -98,18 +101,19 @@ def _factor(groups: DataFrame) -> DataFrame:
                 rest = rest - F.col(f"c_{i}_{k}") * F.col(f"c_{j}_{k}")
             groups = groups.withColumn(f"c_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(floors[i] ** 2 / 100))) if i == j else rest / F.col(f"c_{j}_{j}"))
     cells = [F.col(f"c_{i}_{j}") if j <= i else F.lit(0.0) for i in range(d) for j in range(d)]
-    return groups.select("lang", "source", "m", F.array(*cells).alias("c"))
+    return groups.select("group", "m", F.array(*cells).alias("c"))
 
 
-def _joined(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    g = groups.withColumnsRenamed({"lang": "g_lang", "source": "g_source"})
-    return rows.join(g, rows["lang"].eqNullSafe(g["g_lang"]) & rows["source"].eqNullSafe(g["g_source"])).drop("g_lang", "g_source")
+def _groups() -> Column:
+    """The groups of a row from the narrowest to all rows; nulls have groups of their own."""
+    lang, source = (F.coalesce(F.concat(F.lit("="), c), F.lit("-")) for c in ("lang", "source"))
+    return F.array(F.concat(F.lit("2"), F.length(lang), lang, source), F.concat(F.lit("1"), lang), F.lit("0"))
 
 
 def _start(rows: DataFrame) -> DataFrame:
     """Medians, and spreads from quartiles, without correlation."""
     names = list(DIMENSIONS)
-    q = rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.percentile_approx(n, [0.25, 0.5, 0.75], 1000).alias(n) for n in names))
+    q = rows.groupBy("group").agg(F.count("*").alias("n"), *(F.percentile_approx(n, [0.25, 0.5, 0.75], 1000).alias(n) for n in names))
     q = q.withColumn("m", F.array(*(F.col(n)[1] for n in names)))
     for i, n in enumerate(names):
         for j in range(i + 1):
@@ -120,12 +124,12 @@ def _start(rows: DataFrame) -> DataFrame:
 def _concentrated(rows: DataFrame, groups: DataFrame, share: float) -> DataFrame:
     """One concentration step: mean and covariance of the rows of least distance."""
     names = list(DIMENSIONS)
-    near = _with_distance(_joined(rows, groups))
-    limits = near.groupBy("lang", "source", "m").agg(F.percentile_approx("distance", share, 10000).alias("limit"))
-    near = _joined(near.drop("m"), limits).where("distance <= limit")
+    near = _with_distance(rows.join(groups, "group"))
+    limits = near.groupBy("group", "m").agg(F.percentile_approx("distance", share, 10000).alias("limit"))
+    near = near.drop("m").join(limits, "group").where("distance <= limit")
     # products are taken about the previous centre, which keeps the sums small
     shifted = [F.col(n) - F.col("m")[i] for i, n in enumerate(names)]
-    sums = near.groupBy("lang", "source").agg(
+    sums = near.groupBy("group").agg(
         F.first("m").alias("old"), *(F.avg(x).alias(f"a_{i}") for i, x in enumerate(shifted)),
         *(F.avg(shifted[i] * shifted[j]).alias(f"p_{i}_{j}") for i in range(len(names)) for j in range(i + 1)))
     sums = sums.withColumn("m", F.array(*(F.col("old")[i] + F.col(f"a_{i}") for i in range(len(names)))))
@@ -136,20 +140,25 @@ def _concentrated(rows: DataFrame, groups: DataFrame, share: float) -> DataFrame
 
 
 def outliers(stats: DataFrame, share: float = 0.75, steps: int = 3, min_group: int = 40, cutoff: float = 200.0) -> DataFrame:
-    """Statistics with base_failed, distance (null without a verdict) and kept. `stats` is read several times and should be a table.
+    """Statistics with base_failed, distance (null where the base rules fail) and kept. `stats` is read several times and should be a table.
 
-    share: part of a group's rows that its estimate rests on; cutoff: limit on the squared distance, scaled so that the
-    group's median is that of a normal distribution."""
+    share: part of a group's rows that its estimate rests on; min_group: rows from which a group is judged by its own
+    estimate; cutoff: limit on the squared distance, scaled so that the group's median is that of a normal distribution."""
     rows = stats.select("*", base_failed().alias("base_failed"), *_vector())
-    good = rows.where("not base_failed").select("lang", "source", *DIMENSIONS)
-    large = good.groupBy("lang", "source").agg(F.count("*").alias("size")).where(F.col("size") >= min_group).drop("size")
-    groups = written(_joined(_start(good), large), "mcd-0")
+    passing = rows.where("not base_failed").select(F.explode(_groups()).alias("group"), *DIMENSIONS)
+    sizes = passing.groupBy("group").agg(F.count("*").alias("size")).where((F.col("size") >= min_group) | (F.col("group") == "0")).drop("size")
+    groups = written(_start(passing).join(sizes, "group"), "mcd-0")
+    # a narrow table of the rows of the groups that are judged, which the steps read
+    good = written(passing.join(sizes, "group"), "mcd-rows")
     for step in range(steps):
         groups = written(_concentrated(good, groups, share), f"mcd-{step + 1}")
-    scale = _with_distance(_joined(good, groups)).groupBy("lang", "source").agg(F.greatest(F.percentile_approx("distance", 0.5, 10000), F.lit(1e-9)).alias("middle"))
-    final = _joined(groups, scale)
-    g = final.withColumnsRenamed({"lang": "g_lang", "source": "g_source"})
-    judged = rows.join(g, rows["lang"].eqNullSafe(g["g_lang"]) & rows["source"].eqNullSafe(g["g_source"]), "left").drop("g_lang", "g_source")
+    scale = _with_distance(good.join(groups, "group")).groupBy("group").agg(F.greatest(F.percentile_approx("distance", 0.5, 10000), F.lit(1e-9)).alias("middle"))
+    final = written(groups.join(scale, "group"), "mcd-scaled")
+    # the group that judges each combination of language and source: the narrowest one that has an estimate
+    kinds = stats.select("lang", "source").distinct().select("lang", "source", F.explode(_groups()).alias("group"))
+    judge = kinds.join(final, "group").groupBy("lang", "source").agg(F.max_by(F.struct("m", "c", "middle"), "group").alias("g")).select(
+        F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "g.*")
+    judged = rows.join(judge, rows["lang"].eqNullSafe(judge["g_lang"]) & rows["source"].eqNullSafe(judge["g_source"]), "left").drop("g_lang", "g_source")
     judged = _with_distance(judged).withColumn("distance", F.when(~F.col("base_failed"), F.col("distance") * _CHI2_MEDIAN / F.col("middle")))
     return judged.select(*stats.columns, "base_failed", "distance", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"))
 

@@ -319,6 +319,22 @@ def test_outliers_against_numpy(spark):
     assert np.allclose(d, [got[r[0]].distance for r in data if r[2] == "hot"], rtol=0.05)
 
 
+def test_outliers_of_small_groups_have_a_verdict(spark):
+    """A planted outlier goes from a source of five rows and from a null one; their ordinary rows stay, in a large table and a small one."""
+    rng = np.random.default_rng(4)
+
+    def row(i, lang, source, symbols=None):
+        n = int(rng.integers(100, 900))
+        return i, lang, source, n, int(n * rng.normal(5, 0.2)), int(rng.integers(0, 4)) if symbols is None else symbols, 0, 0
+
+    for large in (300, 12):
+        data = [row(i, "en", "hot") for i in range(large)] + [row(1000 + i, "en", "tiny") for i in range(4)] + [row(2000 + i, None, None) for i in range(4)] + [row(3000, "fr", "one")]
+        data += [(5000, "en", "tiny", 300, 1500, 400, 0, 0), (5001, None, None, 300, 1500, 400, 0, 0)]
+        stats = spark.createDataFrame(data, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+        got = {r.doc_id: r for r in quality.outliers(stats).collect()}
+        assert all(r.distance is not None for r in got.values()) and {i for i, r in got.items() if not r.kept} == {5000, 5001}
+
+
 def test_bpe_equals_tiktoken(spark, docs, rows, empty):
     import base64
 
