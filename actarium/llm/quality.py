@@ -110,10 +110,11 @@ def _groups() -> Column:
     return F.array(F.concat(F.lit("2"), F.length(lang), lang, source), F.concat(F.lit("1"), lang), F.lit("0"))
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians, and spreads from quartiles, without correlation."""
+def _start(rows: DataFrame, min_group: int) -> DataFrame:
+    """Medians, and spreads from quartiles, without correlation; for groups of some size, and for all rows."""
     names = list(DIMENSIONS)
     q = rows.groupBy("group").agg(F.count("*").alias("n"), *(F.percentile_approx(n, [0.25, 0.5, 0.75], 1000).alias(n) for n in names))
+    q = q.where((F.col("n") >= min_group) | (F.col("group") == "0"))
     q = q.withColumn("m", F.array(*(F.col(n)[1] for n in names)))
     for i, n in enumerate(names):
         for j in range(i + 1):
@@ -145,11 +146,9 @@ def outliers(stats: DataFrame, share: float = 0.75, steps: int = 3, min_group: i
     share: part of a group's rows that its estimate rests on; min_group: rows from which a group is judged by its own
     estimate; cutoff: limit on the squared distance, scaled so that the group's median is that of a normal distribution."""
     rows = stats.select("*", base_failed().alias("base_failed"), *_vector())
-    passing = rows.where("not base_failed").select(F.explode(_groups()).alias("group"), *DIMENSIONS)
-    sizes = passing.groupBy("group").agg(F.count("*").alias("size")).where((F.col("size") >= min_group) | (F.col("group") == "0")).drop("size")
-    groups = written(_start(passing).join(sizes, "group"), "mcd-0")
-    # a narrow table of the rows of the groups that are judged, which the steps read
-    good = written(passing.join(sizes, "group"), "mcd-rows")
+    # a narrow table, which the steps read; rows meet only the written estimates, never each other
+    good = written(rows.where("not base_failed").select(F.explode(_groups()).alias("group"), *DIMENSIONS), "mcd-rows")
+    groups = written(_start(good, min_group), "mcd-0")
     for step in range(steps):
         groups = written(_concentrated(good, groups, share), f"mcd-{step + 1}")
     scale = _with_distance(good.join(groups, "group")).groupBy("group").agg(F.greatest(F.percentile_approx("distance", 0.5, 10000), F.lit(1e-9)).alias("middle"))
