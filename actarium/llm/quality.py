@@ -126,7 +126,8 @@ def _concentrated(rows: DataFrame, groups: DataFrame, share: float) -> DataFrame
     """One concentration step: mean and covariance of the rows of least distance."""
     names = list(DIMENSIONS)
     near = _with_distance(rows.join(groups, "group"))
-    limits = near.groupBy("group", "m").agg(F.percentile_approx("distance", share, 10000).alias("limit"))
+    # written, so that its small size is known and the rows are not dealt by their group to meet it
+    limits = written(near.groupBy("group", "m").agg(F.percentile_approx("distance", share, 10000).alias("limit")), "mcd-limits")
     near = near.drop("m").join(limits, "group").where("distance <= limit")
     # products are taken about the previous centre, which keeps the sums small
     shifted = [F.col(n) - F.col("m")[i] for i, n in enumerate(names)]
