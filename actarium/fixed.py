@@ -122,7 +122,7 @@ LITERAL_REPAIRS = (
     ("Prefeito Mui ral", "Prefeito Municipal"), ("servidores públicas", "servidores públicos"),
     ("LEINº", "LEI Nº"),
 )
-CONTROL_CHARS = r"[\x00-\x08\x0b\x0c\x0e-\x1f​-‏﻿]"
+CONTROL_CHARS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\u200b-\u200f\ufeff]"
 
 # --- canonical labels -----------------------------------------------------------------------
 TYPE_LABELS = (
