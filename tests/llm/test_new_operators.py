@@ -8,6 +8,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,5 +212,5 @@ def test_query_equals_sql(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     want = con.execute(queries.ORACLES[name]).df()[df.columns]
-    as_rows = lambda found: collections.Counter(tuple(None if v != v else v for v in r) for r in found)
+    as_rows = lambda found: collections.Counter(tuple(None if pd.isna(v) else v for v in r) for r in found)
     assert as_rows(map(tuple, df.collect())) == as_rows(want.astype(object).itertuples(index=False))
