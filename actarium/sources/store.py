@@ -78,16 +78,23 @@ def mirror_tree(rows: DataFrame) -> DataFrame:
 def write_mirror(rows: DataFrame, path: str) -> None:
     """A12 on disk - one partition per edition (the date tree is in the columns); rewriting an edition replaces only its
     own partition. The rebalance puts an edition into few files and splits a very large one."""
-    out = rows.withColumn("record", render_json(rows)).select("act_id", "seq", "base", "record", "year", "month", "day", "edition_id")
-    out.hint("rebalance", "edition_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("edition_id").parquet(path)
+    mirror_records(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("edition_id").parquet(path)
+
+
+def mirror_records(rows: DataFrame) -> DataFrame:
+    """A12 - the stored rows; records are put together after the exchange, which then carries each field once."""
+    dealt = rows.select("base", "year", "month", "day", *[c for c in RECORD.values() if c in rows.columns]).hint("rebalance", "edition_id")
+    return dealt.withColumn("record", render_json(dealt)).select("act_id", "seq", "base", "record", "year", "month", "day", "edition_id")
+
+
+RECORD = {"id": "act_id", "edicao_id": "edition_id", "seq": "seq", "tipo": "act_type", "numero": "number", "orgao": "organ", "data_edicao": "pub_date", "data_documento": "doc_date",
+          "valor": "value", "pagina": "page", "assunto": "subject", "resumo": "summary", "categoria": "category", "trecho": "excerpt", "feedback": "feedback",
+          "edicao_titulo": "edition_title", "edicao_url": "edition_url"}
 
 
 def render_json(rows: DataFrame) -> Column:
     """A13 - the record of an act as JSON."""
-    fields = {"id": "act_id", "edicao_id": "edition_id", "seq": "seq", "tipo": "act_type", "numero": "number", "orgao": "organ", "data_edicao": "pub_date", "data_documento": "doc_date",
-              "valor": "value", "pagina": "page", "assunto": "subject", "resumo": "summary", "categoria": "category", "trecho": "excerpt", "feedback": "feedback",
-              "edicao_titulo": "edition_title", "edicao_url": "edition_url"}
-    return F.to_json(F.struct(*[F.col(c).alias(k) for k, c in fields.items() if c in rows.columns]), {"ignoreNullFields": "false"})
+    return F.to_json(F.struct(*[F.col(c).alias(k) for k, c in RECORD.items() if c in rows.columns]), {"ignoreNullFields": "false"})
 
 
 def _yaml(x: Column) -> Column:
