@@ -43,3 +43,27 @@ def test_pending_acts_are_all_listed(spark):
     want = [i for e in range(7) for i in range(500) if i % 7 == e and (i % 2 == 0 or i % 3 == 0)]
     assert [r["act_id"] for r in N.pending_enrichment(acts).collect()] == want
     assert N.pending_enrichment(acts, 10).count() == 10
+
+
+def test_typed_numbers_are_searched_for_where_their_word_stands(spark, cfg):
+    """A pattern never matches without its word, and the guarded search finds what the patterns find in every text."""
+    import random
+    import re
+
+    from actarium import fixed
+
+    rnd = random.Random(2)
+    pieces = ["extrato do ", "contrato ", "administrativo ", "termo aditivo ", "decreto municipal ", "portaria ", "dispensa ", "pregao eletronico ", "termo de ", "homologacao ", "e adjudicacao ",
+              "n. ", "no ", "12/2024 ", "7 - 25 ", "3/1999 ", "88 ", "\n", "x "]
+    texts = ["".join(rnd.choices(pieces, k=rnd.randrange(8))) for _ in range(400)]
+    assert not [1 for t in texts for p, w in zip(fixed.TYPED_NUMBERS, fixed.TYPED_TRIGGERS, strict=True) if re.search(p, t) and w not in t]
+
+    def latest(t):
+        clean = [n.replace(" ", "") for p in (*fixed.TYPED_NUMBERS, fixed.GENERIC_NUMBER) for n in re.findall(p, t)]
+        parts = [re.split("[/-]", re.sub(r"\s", "", n)) for n in clean]
+        years = [(int(y if len(y) == 4 else f"20{y}"), n) for n, y in parts]
+        return max((y for y, _ in years), default=None)
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.n for r in rows.select("i", N.resolve_number(F.lit(""), F.lit(None).cast("string"), "t", "t", F.lit(None).cast("string"), cfg).alias("n")).collect()}
+    assert {i: n and int(n.split("/")[1]) for i, n in got.items()} == {i: latest(t) for i, t in enumerate(texts)}
