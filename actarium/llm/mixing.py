@@ -85,6 +85,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, mix: Mix) -> DataFrame:
         return every.select("doc_id", "mark", "n_words", F.array(*(F.lit(float(k == only)) for k in range(len(DOMAINS)))).alias("p"))
     terms = CountVectorizer(inputCol="terms", outputCol="counted", vocabSize=mix.terms, minDF=mix.least_documents, binary=True).fit(training)
     fitted = LogisticRegression(maxIter=mix.iterations, regParam=mix.regularisation, family="multinomial").fit(written(with_features(training, terms).select("features", "label"), "training"))
+    fitted.setRawPredictionCol("").setPredictionCol("")
     p = vector_to_array("probability")
     n = fitted.numClasses
     return fitted.transform(with_features(every, terms)).select("doc_id", "mark", "n_words", F.array(*(p[k] if k < n else F.lit(0.0) for k in range(len(DOMAINS)))).alias("p"))
@@ -103,12 +104,15 @@ def rates(members: DataFrame, mix: Mix) -> DataFrame:
     scale = np.maximum(sums, total * 1e-9)
 
     def free(residuals):
-        return 1 - sum((F.col("p")[k] * float(residuals[k] / mix.pull) for k in d), F.lit(0.0))
+        # as one array, which stands beside the generated code: numbers in it would have every step compile its own
+        pulls = F.lit([float(r / mix.pull) for r in residuals])
+        return 1 - F.aggregate(F.zip_with("p", pulls, lambda share, pull: share * pull), F.lit(0.0), lambda total, x: total + x)
 
     def gradient(residuals):
         """What the residuals miss those of the rates that they give, and its derivatives."""
-        words, moves = F.col("n_words") * F.greatest(least, free(residuals)), F.when(free(residuals) > least, F.col("n_words")).otherwise(0)
-        found = members.agg(*(F.sum(words * F.col("p")[k]) for k in d), *(F.sum(moves * F.col("p")[k] * F.col("p")[j]) for k in d for j in d)).first()
+        words, moves = F.col("n_words") * F.greatest("least", "free"), F.when(F.col("free") > F.col("least"), F.col("n_words")).otherwise(0)
+        rated = members.select("n_words", "p", least.alias("least"), free(residuals).alias("free"))
+        found = rated.agg(*(F.sum(words * F.col("p")[k]) for k in d), *(F.sum(moves * F.col("p")[k] * F.col("p")[j]) for k in d for j in d)).first()
         at, bend = np.array(found[:len(DOMAINS)]), np.array(found[len(DOMAINS):]).reshape(len(DOMAINS), -1)
         return residuals - (at - targets) / scale, np.eye(len(DOMAINS)) + bend / (mix.pull * scale[:, None])
 

@@ -510,6 +510,22 @@ def test_mixing_rates_of_a_skewed_corpus(spark):
     assert [x.n_words for x in termed] == [5, 0, 0]
 
 
+def test_mixing_steps_share_their_code(spark):
+    """The steps of a fit differ in numbers alone, so that none of them compiles classes of its own."""
+    rng = np.random.default_rng(4)
+    p, n = rng.dirichlet([0.5, 0.02, 0.5], 300), rng.integers(1, 2000, 300)
+    members = spark.createDataFrame([(i, int(n[i]), [float(x) for x in p[i]]) for i in range(300)], "doc_id long, n_words long, p array<double>")
+    compiled = spark._jvm.org.apache.spark.metrics.source.CodegenMetrics.METRIC_COMPILATION_TIME()
+
+    def made(weights):
+        before = compiled.getCount()
+        mixing.rates(members, mixing.Mix(weights=weights)).count()
+        return compiled.getCount() - before
+
+    made((0.95, 0.05, 0.0))
+    assert made((0.9, 0.07, 0.03)) <= 4
+
+
 def test_pipeline(spark, tmp_path, rows):
     docs = spark.createDataFrame(rows, SCHEMA)  # with columns that clash with those of the operators
     planted = docs.unionByName(spark.createDataFrame([(700, prose(random.Random(1), 80) + " mail me at some.one@mail.org", "en", "s", 1, 5, "r", "m", "l")], docs.schema))
