@@ -80,7 +80,7 @@ def shard_spans(contents: list[np.ndarray], window: int) -> list[tuple[int, int,
 def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 5) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the kept words, joined by one space) of every row."""
     rows = small_batches(ranked(docs))
-    found = repeated(rows, Kind(True, window, gram), lambda contents: shard_spans(contents, window))
+    found = repeated(rows, Kind(True, window, gram), lambda shards: [shard_spans(contents, window) for contents in shards])
 
     def keep(batches):
         for batch in batches:

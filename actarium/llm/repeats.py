@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .seqhash import Rolling, chunks, mix, ragged, segments, window_min, word_hashes
+from .seqhash import Rolling, chunks, mix, ragged, window_min, word_hashes
 from .shared import written
 
 PATTERN_BITS, _DOCUMENT_BITS = 26, 24
 #: Runs of one key from which it is divided, and the number of further hashes.
 MANY, FURTHER = 64, 4
+#: Bytes of contents from which the keys that a task has gathered are searched.
+SEARCHED_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -87,15 +89,27 @@ def runs(p: Packed, kind: Kind) -> tuple[np.ndarray, ...]:
     return row[at], place[at] - p.first[row[at]], count, mix(grams[gram[at]], 3), content
 
 
-def divided(symbols: np.ndarray, kind: Kind) -> Iterator[tuple[int, int, int]]:
-    """(start, number of windows, further key) of the runs of one content under several further hashes."""
+def divided(symbols: np.ndarray, length: np.ndarray, kind: Kind) -> tuple[np.ndarray, ...]:
+    """Of contents that stand one after the other: content, start in it, number of windows and further key of their runs under
+    several further hashes."""
     rolling, keys = Rolling(symbols), None
     for seed in range(31, 31 + FURTHER):
         grams = rolling.grams(kind.gram, seed)
         least = mix(grams[chosen(grams, kind.window - kind.gram + 1)], seed)
         keys = least if keys is None else mix(keys + least)
-    for a, b in zip(*segments(keys), strict=True):
-        yield int(a), int(b - a), int(keys[a])
+    first, sizes = np.cumsum(length) - length, length - kind.window + 1
+    row, keys = np.repeat(np.arange(len(length)), sizes), keys[ragged(first, sizes)]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (keys[1:] != keys[:-1])
+    at = np.flatnonzero(new)
+    return row[at], at - (np.cumsum(sizes) - sizes)[row[at]], np.diff(np.append(at, len(row))), keys[at]
+
+
+def _binary(symbols: np.ndarray, length: np.ndarray) -> pa.Array:
+    """Stretches that stand one after the other, each as its bytes."""
+    at = np.zeros(len(length) + 1, np.int64)
+    np.cumsum(length * symbols.itemsize, out=at[1:])
+    return pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(symbols))])
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -129,10 +143,17 @@ def parted(docs: DataFrame, keys: DataFrame, mark: str = "mark") -> tuple[DataFr
     return docs.mapInArrow(lambda batches: side(batches, True), docs.schema), others
 
 
-def repeated(docs: DataFrame, kind: Kind, shard: Callable[[list[np.ndarray]], list[tuple[int, int, int]]]) -> DataFrame:
+def _pieces(places: np.ndarray, length: np.ndarray, most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """The places in stretches whose lengths come to about `most`."""
+    if len(places):
+        yield from np.split(places, np.flatnonzero(np.diff(np.cumsum(length[places]) // most)) + 1)
+
+
+def repeated(docs: DataFrame, kind: Kind, search_shards: Callable[[list[list[np.ndarray]]], list[list[tuple[int, int, int]]]]) -> DataFrame:
     """Intervals (rank, mark, start, end) of symbols that repeated windows cover, in `docs` (rank, mark, text).
 
-    shard gets the contents of a key in their order and returns (content, start, end) of the covered stretches."""
+    search_shards gets, for some keys, the contents of each in their order, and returns for each (content, start, end) of the
+    covered stretches."""
     def keys(batches):
         for batch in batches:
             for _, p in packed(batch.column("text"), kind):
@@ -166,30 +187,34 @@ def repeated(docs: DataFrame, kind: Kind, shard: Callable[[list[np.ndarray]], li
 
     def contents(batches):
         for batch in batches:
-            rank, mark, lists = batch.column("rank").to_pylist(), batch.column("mark").to_pylist(), batch.column("runs").to_pylist()
+            rank, mark, lists = batch.column("rank").to_numpy(), batch.column("mark").to_numpy(), batch.column("runs")
+            ends, fields = np.append(0, np.cumsum(lists.value_lengths().to_numpy())), lists.flatten()
+            starts, windows, keys, kinds_of = (fields.field(c).to_numpy() for c in ("start", "windows", "key", "kinds"))
             for first, p in packed(batch.column("text"), kind):
-                out: list[tuple] = []
-                for r in range(len(p.first)):
-                    who = rank[first + r], mark[first + r]
-                    for run in lists[first + r]:
-                        at = int(p.first[r]) + run["start"]
-                        symbols = p.symbols[at:at + run["windows"] + kind.window - 1]
-                        parts = [(0, run["windows"], 0)] if run["kinds"] <= MANY else divided(symbols, kind)
-                        for a, n, more in parts:
-                            out.append((run["key"] ^ (more - (1 << 64) if more >> 63 else more), *who, run["start"] + a, symbols[a:a + n + kind.window - 1].tobytes()))
-                if out:
-                    kinds_of = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds_of, strict=True)], names=["key", "rank", "mark", "start", "content"])
+                of_row = np.diff(ends[first:first + len(p.first) + 1])
+                runs_of = np.repeat(np.arange(len(of_row)), of_row)
+                own, whole = slice(int(ends[first]), int(ends[first + len(p.first)])), windows[ends[first]:ends[first + len(p.first)]].astype(np.int64) + kind.window - 1
+                ahead, few = p.first[runs_of] + starts[own], kinds_of[own] <= MANY
+                for division in (False, True):
+                    for chosen_runs in _pieces(np.flatnonzero(few != division), whole):
+                        symbols = p.symbols[ragged(ahead[chosen_runs], whole[chosen_runs])]
+                        key, begin, length, row = keys[own][chosen_runs], starts[own][chosen_runs].astype(np.int64), whole[chosen_runs], runs_of[chosen_runs]
+                        if division:
+                            which, inner, count, more = divided(symbols, length, kind)
+                            symbols = symbols[ragged((np.cumsum(length) - length)[which] + inner, count + kind.window - 1)]
+                            key, begin, length, row = key[which] ^ more.view(np.int64), begin[which] + inner, count + kind.window - 1, row[which]
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rank[first + row]), pa.array(mark[first + row]), pa.array(begin.astype(np.int32)), _binary(symbols, length)], names=["key", "rank", "mark", "start", "content"])
 
     shards = texts.mapInArrow(contents, "key long, rank long, mark long, start int, content binary")
     shards = shards.repartition("key").sortWithinPartitions("key", "rank", "mark", "start")
     dtype = np.uint64 if kind.words else np.uint8
 
     def search(batches):
-        key, rows = None, []
+        key, size, many = None, 0, []
 
         def done():
-            spans = [(rows[i][0], rows[i][1], rows[i][2] + a, rows[i][2] + b) for i, a, b in shard([np.frombuffer(r[3], dtype) for r in rows])]
+            found = search_shards([[np.frombuffer(r[3], dtype) for r in rows] for rows in many])
+            spans = [(rows[i][0], rows[i][1], rows[i][2] + a, rows[i][2] + b) for rows, stretches in zip(many, found, strict=True) for i, a, b in stretches]
             if spans:
                 kinds_of = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*spans, strict=True), kinds_of, strict=True)], names=["rank", "mark", "start", "end"])
@@ -197,11 +222,14 @@ def repeated(docs: DataFrame, kind: Kind, shard: Callable[[list[np.ndarray]], li
         for batch in batches:
             for k, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "rank", "mark", "start", "content")), strict=True):
                 if k != key:
-                    if rows:
+                    if size >= SEARCHED_BYTES:
                         yield from done()
-                    key, rows = k, []
-                rows.append(row)
-        if rows:
+                        size, many = 0, []
+                    key = k
+                    many.append([])
+                many[-1].append(row)
+                size += len(row[3])
+        if many:
             yield from done()
 
     inside = shards.mapInArrow(search, "rank long, mark long, start int, end int")

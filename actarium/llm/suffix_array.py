@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .repeats import Kind, covered, cut, repeated
-from .seqhash import Rolling, segments
+from .seqhash import Rolling, mix, ragged
 from .shared import ranked, small_batches
 
 
@@ -99,7 +99,18 @@ def suffix_array(text: list[int]) -> list[int]:
 
 def shard_spans(contents: list[np.ndarray], window: int) -> list[tuple[int, int, int]]:
     """(content, start, end) of the stretches covered by windows that start earlier in the shard."""
-    kept = candidates(contents, window)
+    return sorted_spans(contents, candidates([contents], window)[0], window)
+
+
+def sorted_spans(contents: list[np.ndarray], stretches: list[tuple[int, int, int]], window: int) -> list[tuple[int, int, int]]:
+    """Those of the stretches that candidates gave. Of equal ones, all but the first are covered whole; only the first ones
+    are sorted."""
+    kept, out, different = [], [], {}
+    for i, a, b in stretches:
+        if different.setdefault(contents[i][a:b].tobytes(), len(kept)) == len(kept):
+            kept.append((i, a, b))
+        else:
+            out.append((i, a, b))
     contents = [contents[i][a:b] for i, a, b in kept]
     raw = b"\0".join(c.tobytes() for c in contents)
     text, owner, first, full = [], [], [], []
@@ -124,7 +135,6 @@ def shard_spans(contents: list[np.ndarray], window: int) -> list[tuple[int, int,
                 if m != least:
                     spans.setdefault(owner[m], []).append(m)
         before, members = here, [p]
-    out = []
     for k, places in spans.items():
         i, begin, _ = kept[k]
         places.sort()
@@ -140,27 +150,34 @@ def shard_spans(contents: list[np.ndarray], window: int) -> list[tuple[int, int,
     return out
 
 
-def candidates(contents: list[np.ndarray], window: int) -> list[tuple[int, int, int]]:
-    """(content, start, end) of the stretches of windows whose hash occurs twice in the shard; no other window can repeat."""
-    text = np.concatenate([np.append(c.astype(np.int64) + 1, 0) for c in contents])
-    hashes = Rolling(text).grams(window, 4)
+def candidates(shards: list[list[np.ndarray]], window: int) -> list[list[tuple[int, int, int]]]:
+    """For each shard (content, start, end) of the stretches of windows whose hash occurs twice in it; no other window can
+    repeat."""
+    out: list[list[tuple[int, int, int]]] = [[] for _ in shards]
+    contents, number = [c for s in shards for c in s], np.array([len(s) for s in shards], np.int64)
+    length, shard = np.array([len(c) for c in contents], np.int64), np.repeat(np.arange(len(shards)), number)
+    first, sizes = np.cumsum(length + 1) - length - 1, length - window + 1
+    text = np.zeros(int(length.sum()) + len(length), np.int64)
+    text[ragged(first, length)] = np.concatenate(contents).astype(np.int64) + 1
+    at = ragged(first, sizes)
+    hashes = Rolling(text).grams(window, 4)[at] ^ np.repeat(mix(shard.astype(np.uint64)), sizes)
     order = np.argsort(hashes)
     same = hashes[order][1:] == hashes[order][:-1]
-    twice = np.zeros(len(text), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    out, at = [], 0
-    for i, c in enumerate(contents):
-        own = twice[at:at + len(c) - window + 1]
-        at += len(c) + 1
-        out += [(i, int(a), int(b) + window - 1) for a, b in zip(*segments(own), strict=True) if own[a]]
+    twice = np.zeros(len(text) + 1, bool)  # one ahead; no window starts at the end of a content
+    twice[at[order[1:][same]] + 1] = True
+    twice[at[order[:-1][same]] + 1] = True
+    edge = np.flatnonzero(twice[1:] != twice[:-1])
+    owner = np.searchsorted(first, edge[0::2], side="right") - 1
+    inner = owner - (np.cumsum(number) - number)[shard[owner]]
+    for s, *stretch in zip(*(x.tolist() for x in (shard[owner], inner, edge[0::2] - first[owner], edge[1::2] - first[owner] + window - 1)), strict=True):
+        out[s].append(tuple(stretch))
     return out
 
 
 def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 24) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every row."""
     rows = small_batches(ranked(docs))
-    found = repeated(rows, Kind(False, window, gram), lambda contents: shard_spans(contents, window))
+    found = repeated(rows, Kind(False, window, gram), lambda shards: [sorted_spans(c, s, window) for c, s in zip(shards, candidates(shards, window), strict=True)])
 
     def keep(batches):
         for batch in batches:

@@ -122,6 +122,28 @@ def test_shards(module):
             assert got[i] == want
 
 
+def test_copies_in_a_shard_are_sorted_once(monkeypatch):
+    """Contents that share a stretch between neighbours of their own: the stretch is sorted once, the others go whole."""
+    rng = np.random.default_rng(5)
+    shared, sizes, sort = rng.integers(65, 90, 30).astype(np.uint8), [], suffix_array.suffix_array
+    contents = [np.concatenate([np.full(8, 100 + i), shared, np.full(8, 100 + i)]).astype(np.uint8) for i in range(40)]
+    monkeypatch.setattr(suffix_array, "suffix_array", lambda text: sizes.append(len(text)) or sort(text))
+    assert sorted(suffix_array.shard_spans(contents, 20)) == [(i, 8, 38) for i in range(1, 40)]
+    assert sum(sizes) <= 2 * len(shared)
+
+
+def test_runs_of_many_contents_are_divided_at_once():
+    """Contents that stand one after the other are divided as each is by itself."""
+    from actarium.llm import repeats
+
+    rng, kind = np.random.default_rng(6), repeats.Kind(False, 20, 5)
+    contents = [rng.integers(0, 3, n).astype(np.uint8) for n in (20, 31, 90, 20, 45)]
+    found = [list(zip(*(x.tolist() for x in repeats.divided(c, np.array([len(c)]), kind)[1:]))) for c in contents]
+    row, *rest = repeats.divided(np.concatenate(contents), np.array([len(c) for c in contents]), kind)
+    assert list(zip(row.tolist(), *(x.tolist() for x in rest))) == [(i, *x) for i, xs in enumerate(found) for x in xs]
+    assert [sum(n for _, n, _ in xs) for xs in found] == [len(c) - 19 for c in contents]
+
+
 def test_repeats_with_divided_keys(spark, monkeypatch):
     """Keys with many different runs are divided by further hashes, with the same result."""
     from actarium.llm import repeats
