@@ -31,6 +31,9 @@ from pyspark.sql import functions as F
 from .shared import written
 
 DOMAINS = ("clean", "low", "toxic")
+#: Partitions of the rows that the classifier is fitted on, whose number is bounded: each step of the fit is one stage then, and
+#: the driver gets as many gradients.
+_TRAINING_PARTS = 2
 
 
 @dataclass(frozen=True)
@@ -84,7 +87,8 @@ def posteriors(docs: DataFrame, labels: DataFrame, mix: Mix) -> DataFrame:
         only = int(classes[0]) if classes else 0
         return every.select("doc_id", "mark", "n_words", F.array(*(F.lit(float(k == only)) for k in range(len(DOMAINS)))).alias("p"))
     terms = CountVectorizer(inputCol="terms", outputCol="counted", vocabSize=mix.terms, minDF=mix.least_documents, binary=True).fit(training)
-    fitted = LogisticRegression(maxIter=mix.iterations, regParam=mix.regularisation, family="multinomial").fit(written(with_features(training, terms).select("features", "label"), "training"))
+    features = written(with_features(training, terms).select("features", "label"), "training").coalesce(_TRAINING_PARTS)
+    fitted = LogisticRegression(maxIter=mix.iterations, regParam=mix.regularisation, family="multinomial").fit(features)
     fitted.setRawPredictionCol("").setPredictionCol("")
     p = vector_to_array("probability")
     n = fitted.numClasses

@@ -532,6 +532,22 @@ def test_mixing_rates_of_a_skewed_corpus(spark):
     assert [x.n_words for x in termed] == [5, 0, 0]
 
 
+def test_mixing_fits_in_few_tasks(spark, monkeypatch):
+    """However many tasks write the labelled rows, a step of the fit is one stage of few tasks."""
+    rng, seen = random.Random(9), []
+    table = spark.createDataFrame([(i, prose(rng, 30) + " %%%" * (i % 2)) for i in range(240)], "doc_id long, text string").repartition(12)
+    known = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(240)], "doc_id long, quality int, toxic int")
+    fit = mixing.LogisticRegression.fit
+    monkeypatch.setattr(mixing.LogisticRegression, "fit", lambda self, rows: (seen.append((rows.rdd.getNumPartitions(), rows.count())), fit(self, rows))[1])
+    kept = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))
+    try:
+        assert mixing.mixed(table, known).count() == 240
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", kept)
+    assert seen == [(mixing._TRAINING_PARTS, 240)]
+
+
 def test_mixing_steps_share_their_code(spark):
     """The steps of a fit differ in numbers alone, so that none of them compiles classes of its own."""
     rng = np.random.default_rng(4)
