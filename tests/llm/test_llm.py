@@ -490,6 +490,40 @@ def test_cross_entropy_difference_counts_every_word(spark, monkeypatch):
     assert got[36].score < got[37].score - 1
 
 
+def test_a_block_names_a_head_once_per_bucket():
+    rng = np.random.default_rng(5)
+    a = np.repeat(np.sort(rng.integers(9, 1 << 63, 2000).astype(np.uint64)), 8)
+    b, one = rng.integers(9, 1 << 63, len(a)).astype(np.uint64), np.ones(len(a), np.int64)
+    none = (np.zeros(0, np.uint64),) * 2
+    assert sum(len(h) + len(x) for _, h, x in lm._messages(a, b, one, one, none, 64)) < 12 * len(a)  # 18 with both ids of every bigram
+    parts = lm._messages(a, b, one, one, (a[:1], np.array([4], np.uint64)), 64)
+    held = [x for _, h, _ in parts for x in lm._unpacked(h, 2)[0]]
+    assert 1 < held.count(a[0]) <= 4 and held.count(a[8]) == 1
+
+
+def test_cross_entropy_difference_with_split_heads(spark, monkeypatch):
+    """A word that heads half of the bigrams is summed in several buckets; so is the start of a text."""
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 3000)
+    rng = random.Random(14)
+    texts = [" ".join(w for _ in range(60) for w in ("the", f"w{rng.randrange(500)}")) for _ in range(40)] + ["", "the"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in lm.cross_entropy_difference(table, spark.createDataFrame([(i,) for i in range(0, 40, 3)], "doc_id long")).collect()}
+    low = [t.split() for t in texts]
+    size = len({w for ws in low for w in ws}) + 2
+    for name, among in (("target_loss", low[0:40:3]), ("background_loss", low)):
+        pair = collections.Counter(p for ws in among for p in zip([None, *ws], ws))
+        kinds, heads, n1 = collections.Counter(h for h, _ in pair), collections.Counter(), collections.Counter()
+        for (h, w), c in pair.items():
+            heads[h] += c
+            n1[w] += c
+        for i, ws in enumerate(low):
+            want = [-math.log((pair[h, w] + (kinds[h] or 1) * (n1[w] + 1) / (sum(n1.values()) + size)) / ((heads[h] + kinds[h]) or 1)) for h, w in zip([None, *ws], ws)]
+            assert got[i][name] is None if not ws else abs(got[i][name] - sum(want) / len(ws)) < 2e-6
+    rows = table.select(F.lit(0).alias("block"), "text")
+    heads, parts = lm._split_heads(rows, spark.sparkContext.broadcast(None), 64)
+    assert len(heads) >= 1 and parts.max() > 64 and (np.diff(heads.astype(object)) > 0).all()
+
+
 def test_mixing(spark, docs, empty):
     rng = random.Random(8)
     rude = ["scum", "idiots", "vile"]
