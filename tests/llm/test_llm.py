@@ -10,6 +10,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,6 +192,20 @@ def test_near_duplicates(docs, rows, empty):
     check_components(jaccard.near_duplicates(docs).collect(), distinct_docs(rows))
 
 
+def test_shingles_of_many_texts_take_bounded_memory():
+    import tracemalloc
+
+    rng = random.Random(10)
+    texts = [prose(rng, 60) for _ in range(4000)]
+    column = pa.array(texts)
+    tracemalloc.start()
+    sizes = np.concatenate([n for _, n, _ in jaccard.shingle_sets(column, 3)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(column.buffers()[2]) > 1 << 20 and peak < 24 << 20  # 42 MB with a megabyte at once
+    assert sizes.tolist() == [len(set(zip(w, w[1:], w[2:]))) for w in ([x.lower() for x in words(t)] for t in texts)]
+
+
 def test_near_duplicates_frequent_tokens(spark, monkeypatch):
     """One group holds most rows, its tokens are frequent, and its blocks are several."""
     monkeypatch.setattr(jaccard, "FREQUENT", 5)
