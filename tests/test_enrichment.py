@@ -67,3 +67,17 @@ def test_typed_numbers_are_searched_for_where_their_word_stands(spark, cfg):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = {r.i: r.n for r in rows.select("i", N.resolve_number(F.lit(""), F.lit(None).cast("string"), "t", "t", F.lit(None).cast("string"), cfg).alias("n")).collect()}
     assert {i: n and int(n.split("/")[1]) for i, n in got.items()} == {i: latest(t) for i, t in enumerate(texts)}
+
+
+def test_similar_contexts_of_every_act(spark, tmp_path):
+    import __spark_entry__ as entry
+    tables = {
+        "nation": spark.createDataFrame([(0, "NATION_0")], "n_nationkey bigint, n_name string"),
+        "customer": spark.createDataFrame([(1, "C1", "BUILDING", 0)], "c_custkey bigint, c_name string, c_mktsegment string, c_nationkey bigint"),
+        "orders": spark.createDataFrame([(k, 1, "1996-01-0%d" % (1 + k % 5), "1-URGENT", "O", 100.0 * k) for k in range(95, 106)],
+                                        "o_orderkey bigint, o_custkey bigint, o_orderdate string, o_orderpriority string, o_orderstatus string, o_totalprice double"),
+        "lineitem": spark.createDataFrame([("1996-01-01",)], "l_shipdate string")}
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r["act_id"]: r["n_items"] for r in entry.queries()["F14_context_similar"](spark, str(tmp_path)).collect()}
+    assert got == dict.fromkeys(range(95, 106), 6)
