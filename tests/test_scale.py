@@ -71,6 +71,35 @@ def test_tile_ranks_some_queries_at_a_time(monkeypatch):
         assert sorted(got.get(q, [])) == sorted((int(ids[i]), score[i]) for i in best)
 
 
+@pytest.mark.parametrize("k, blank", [(7, 0), (40, 3)])
+def test_tile_adds_shared_tokens_once(monkeypatch, k, blank):
+    rng = np.random.default_rng(8)
+    words = ["de", "dede", "obra", "lei", *(f"r{i}" for i in range(40))]
+    odds = np.array([.2, .1, .2, .1] + [.01] * 40)
+    blobs = [" ".join(rng.choice(words, 8, p=odds)) for _ in range(1500)] + ["obra " * 9000] * (blank > 0) + [""] * blank
+    n = len(blobs)
+    boosts, days, ids = rng.integers(0, 3, n) * (rng.random(n) < .5), rng.integers(0, 4, n), rng.permutation(n).astype(np.int64)
+    queries = [Counter(str(w) for w in rng.choice([*words, "nichts"], rng.integers(1, 6))) for _ in range(120)] + [Counter(), Counter({"nichts": 2})]
+    rows, whole = [], np.bincount
+    monkeypatch.setattr(R, "_LANES", 64)
+    monkeypatch.setattr(R, "_SCORES", 12000)
+    monkeypatch.setattr(R.np, "bincount", lambda *a, **b: rows.append(1) or whole(*a, **b))
+    got = {}
+    for q, a, s in zip(*R.best_of_tile(blobs, boosts, days, ids, queries, k)):
+        got.setdefault(int(q), []).append((int(ids[a]), int(s)))
+    for q, tokens in enumerate(queries):
+        score = [int(boosts[i]) + sum(m * (30 + 3 * b.count(t)) for t, m in tokens.items() if t in b) for i, b in enumerate(blobs)]
+        best = sorted((i for i in range(n) if score[i]), key=lambda i: (-score[i], days[i], -ids[i]))[:k]
+        assert sorted(got.get(q, [])) == sorted((int(ids[i]), score[i]) for i in best), tokens
+    assert len(rows) <= 8  # the acts of a frequent token are counted once for all queries
+
+
+def test_acts_to_rank_are_read_once(spark):
+    acts = spark.range(30).select(F.col("id").alias("act_id"), F.lit("1999").alias("pub_date"), F.lit(0).alias("boost"), F.concat(F.lit("ato "), F.col("id").cast("string")).alias("blob"))
+    plan = R.rank_many(acts, acts.select(F.col("act_id").alias("query_id"), F.col("blob").alias("query")), 2)
+    assert "Range (" not in plan._jdf.queryExecution().optimizedPlan().toString() and plan.count() == 60
+
+
 def test_acts_are_not_repeated_for_some_hundred_queries(spark):
     acts = spark.range(300).select(F.col("id").alias("act_id"), F.lit("1999").alias("pub_date"), F.lit(0).alias("boost"), F.concat(F.lit("ato "), F.col("id").cast("string")).alias("blob"))
     asked = spark.range(1500).select(F.col("id").alias("query_id"), F.concat(F.lit("ato "), F.col("id").cast("string")).alias("query"))
