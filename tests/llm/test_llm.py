@@ -639,3 +639,19 @@ def test_pipeline(spark, tmp_path, rows):
 def test_all_queries_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "personal_data", "mixing_to_targets", "byte_bpe"]
+
+
+def test_jaccard_steps_end_with_their_shuffle_files(spark, monkeypatch):
+    from actarium.llm import graph, jaccard
+    ended, plain = [], jaccard.written
+
+    def spied(df, name, shuffles_end=False):
+        ended.append((name, shuffles_end))
+        return plain(df, name, shuffles_end)
+
+    monkeypatch.setattr(jaccard, "written", spied)
+    monkeypatch.setattr(graph, "written", spied)
+    docs = spark.createDataFrame([(i, f"a b c d e f g h {i // 2}") for i in range(6)], "doc_id long, text string")
+    # the classes themselves are written by the caller
+    assert {r["first"]["rank"] for r in jaccard.classes(docs, percent=80).collect()} <= {0, 2, 4}
+    assert len(ended) > 8 and [n for n, end in ended if not end] == ["sets"]
