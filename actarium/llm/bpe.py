@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame
 from .shared import small_batches
 
 _NONE = np.int32((1 << 31) - 1)
-_REMEMBERED = 1_000_000
+#: Pre-tokens that a worker remembers, a long one counting as several: some 30 MB.
+_REMEMBERED = 1 << 17
 _LONG = 128
-_CELLS = 1 << 21
+_CELLS = 1 << 18
 
 
 class Vocabulary:
@@ -153,6 +154,10 @@ class Vocabulary:
         return new, size
 
 
+def _room(words: list[str]) -> int:
+    return len(words) + sum(map(len, words)) // 16
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
     """One per worker process, so that tasks that follow each other share what it remembers."""
@@ -169,13 +174,15 @@ class Encoder:
     """Encodes texts; remembers pre-tokens, and forgets all of them when they are too many."""
 
     def __init__(self, v: Vocabulary):
-        self.v, self.known = v, {}
+        self.v, self.known, self.size = v, {}, 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.v.split(t) for t in texts]
         new = list(set().union(*split) - self.known.keys())
-        if len(self.known) + len(new) > _REMEMBERED:
+        self.size += _room(new)
+        if self.size > _REMEMBERED:
             self.known, new = {}, list(set().union(*split))
+            self.size = _room(new)
         self.known.update(zip(new, self.v.merge([w.encode() for w in new]), strict=True))
         known = self.known.__getitem__
         return [b"".join(map(known, s)) for s in split]

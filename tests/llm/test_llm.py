@@ -655,3 +655,15 @@ def test_jaccard_steps_end_with_their_shuffle_files(spark, monkeypatch):
     # the classes themselves are written by the caller
     assert {r["first"]["rank"] for r in jaccard.classes(docs, percent=80).collect()} <= {0, 2, 4}
     assert len(ended) > 8 and [n for n, end in ended if not end] == ["sets"]
+
+
+def test_encoder_remembers_a_bounded_size(monkeypatch):
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abab": 257}
+    texts = [f"{'ab' * 700}{i} kurz{i % 3}" for i in range(40)]
+    whole = bpe.Encoder(bpe.Vocabulary(ranks, r"\S+")).encode(texts)
+    monkeypatch.setattr(bpe, "_REMEMBERED", 500)
+    coder = bpe.Encoder(bpe.Vocabulary(ranks, r"\S+"))
+    for text, ids in zip(texts, whole, strict=True):
+        assert coder.encode([text]) == [ids]
+        assert sum(map(len, coder.known)) <= 16 * 500 + len(text)
+    assert coder.known
