@@ -1,13 +1,14 @@
 """Work that grows with the tables: rows dealt to tasks, streams in few batches, tiles of the search, records of the mirror."""
 
 import datetime as dt
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from actarium.functions.text import _triggered_rules, fold, normalize_scan
+from actarium.functions.text import _triggered_rules, fold, has_entity_taxid, normalize_scan, squeeze
 from actarium.operators import detection as D
 from actarium.operators import extraction as X
 from actarium.operators import ranking as R
@@ -140,3 +141,26 @@ def test_advertisement_is_judged_on_the_folded_text(spark, cfg):
     words = "Farmácia Loterias " + "x " * 20 + "AURORA"
     df = spark.createDataFrame([(1, 1, 0, 1, words), (1, 2, 0, 1, "Cidade de Aurora CEP 87670-000"), (1, 3, 0, 1, "Marca: Aurora")], "edition_id long, page int, seg_no int, block int, text string")
     assert sorted((r["page"], r["label"]) for r in D.find_mentions(df, cfg).collect()) == [(2, "Aurora"), (2, "CEP 87670-000")]
+
+
+def test_blanks_that_stand_alone_are_not_replaced(spark):
+    texts = ["a b", "  a \t b\n\n c ", "\t", "a\u000b b", "a  b \n", " a", "", None, "x  y", "a\r\n b"]
+    got = [tuple(r) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(squeeze("t"), X.squeezed_lines(F.col("t"))).collect()]
+    plain = lambda t, p: re.sub(p, " ", t, flags=re.A)
+    assert got == [(None, None) if t is None else (plain(t, r"\s+").strip(" "), [s for x in plain(t, r"[^\S\n]+").split("\n") if (s := x.strip(" "))]) for t in texts]
+    assert "*| " in str(squeeze("t"))
+
+
+def test_tax_digits_may_stand_apart(spark, cfg):
+    texts = ["11.222.333/0001-81", "1 1a2\n2-2.3", "11.222.4 44555 666", "112 2 2", "4x4555x6", "", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(has_entity_taxid("t", cfg)).collect()]
+    assert got == [any(c[:6] in re.sub(r"\D", "", t or "") for c in cfg.tax_roots) for t in texts] and any(got) and not all(got)
+    assert "regexp_replace" not in str(has_entity_taxid("t", cfg))
+
+
+def test_terms_are_looked_for_without_excerpts(spark, cfg):
+    texts = ["Aurora", "a Aurora b", "xAurora", "Marca: Aurora", "CEP 87.670-000", "CEP 87.111-000", "87670", "Prefeitura de Aurora", "Farmácia Loterias " + "x " * 20 + "AURORA", "nada", "", "CNPJ 11.222.333/0001-81"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(D.has_mention(F.col("t"), fold("t"), cfg).alias("h"), (F.size(D.mention_array(F.col("t"), cfg)) > 0).alias("m")).collect()
+    assert [r["h"] for r in got] == [r["m"] for r in got] and {r["h"] for r in got} == {True, False}
+    assert "..." not in str(D.has_mention(F.col("t"), fold("t"), cfg))
